@@ -1,4 +1,4 @@
 """Imports every query module, which fills the registry."""
 
-from locusloom.plans import variant_gene  # noqa: F401
+from locusloom.plans import documents, files, sumstats, variant_gene  # noqa: F401
 from locusloom.plans.variant_gene import flagship  # noqa: F401

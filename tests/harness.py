@@ -19,7 +19,7 @@ def session(cpus: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]").appName("locusloom-tests")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "8g")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -48,27 +48,27 @@ def _norm(v):
     return str(v)
 
 
-def compare(df, con, sql: str) -> str:
-    """'' when column names, row count and values agree, else what differs."""
+def compare(df, con, sql: str) -> tuple[str, int]:
+    """('' when column names, row count and values agree, else what differs; row count)."""
     cols = sorted(df.columns)
     mine = sorted(tuple(_norm(r[c]) for c in cols) for r in (x.asDict(recursive=True) for x in df.collect()))
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     if sorted(names) != cols:
-        return f"columns {cols} vs {sorted(names)}"
+        return f"columns {cols} vs {sorted(names)}", len(mine)
     kinds = {d[0]: str(d[1]) for d in cur.description}
     idx = [names.index(c) for c in cols]
     other = sorted(tuple(_norm(r[i]) for i in idx) for r in cur.fetchall())
     if len(mine) != len(other):
-        return f"rows {len(mine)} vs {len(other)}"
+        return f"rows {len(mine)} vs {len(other)}", len(mine)
     spark_kinds = dict(df.dtypes)
     simple = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     for c in cols:
         want = simple.get(spark_kinds[c])
         if want and want != kinds[c] and not (want == "VARCHAR" and kinds[c] == "STRING"):
-            return f"type of {c}: {spark_kinds[c]} vs {kinds[c]}"
+            return f"type of {c}: {spark_kinds[c]} vs {kinds[c]}", len(mine)
     bad = [(a, b) for a, b in zip(mine, other) if a != b]
-    return f"{len(bad)} rows differ, first {bad[0]}" if bad else ""
+    return (f"{len(bad)} rows differ, first {bad[0]}" if bad else ""), len(mine)
 
 
 def main(argv: list[str]) -> int:
@@ -85,15 +85,15 @@ def main(argv: list[str]) -> int:
         try:
             df = jobs[name](spark, sf_dir)
             if name in oracles:
-                why, n = compare(df, con, oracles[name]), ""
+                why, n = compare(df, con, oracles[name])
             else:
                 n = df.count()
                 why = "" if n else "no rows"
         except Exception as e:  # noqa: BLE001 - report and go on
-            why, n = f"{type(e).__name__}: {str(e)[:600]}", ""
+            why, n = f"{type(e).__name__}: {str(e)[:600]}", 0
         failed += bool(why)
         print(f"{'FAIL' if why else 'ok  '} {name:28s} {time.time() - t0:6.1f}s "
-              f"{'sql' if name in oracles else f'rows={n}'} {why}", flush=True)
+              f"{'sql' if name in oracles else 'rows'} n={n} {why}", flush=True)
     print("failed", failed)
     return failed
 
