@@ -82,3 +82,10 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     ranked = ranked.filter(F.col(name) <= k)
     return ranked if rank else ranked.drop(name)
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salt: int = 8) -> DataFrame:
+    """Equi-join whose hot keys are spread over ``salt`` tasks; ``small`` is copied per slot."""
+    left = big.withColumn("__slot", F.pmod(F.xxhash64(*big.columns), F.lit(salt)).cast("int"))
+    right = small.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return left.join(right, [*on, "__slot"], how).drop("__slot")

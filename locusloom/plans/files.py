@@ -49,21 +49,21 @@ def _(fx):
 
 
 @query("ld_file_roundtrip", """
-with c as (select c_custkey from customer where c_custkey < 1000000)
-select 'v'||cast(n_nationkey as varchar) as i, 'v'||cast(k as varchar) as j,
-  case when (n_nationkey+k)%11=0 then 0 else round(1.0::double/(1+abs(n_nationkey-k)),6) end as r
-from nation, (select n_nationkey as k from nation) t""".replace("with c as (select c_custkey from customer where c_custkey < 1000000)\n", ""))
+select cast(a.s_suppkey//10 as int) as region, 'v'||cast(a.s_suppkey as varchar) as i, 'v'||cast(b.s_suppkey as varchar) as j,
+  case when (a.s_suppkey+b.s_suppkey)%11=0 then 0 else round(1.0::double/(1+abs(a.s_suppkey-b.s_suppkey)),6) end as r
+from supplier a join supplier b on b.s_suppkey//10=a.s_suppkey//10""")
 def _(fx):
-    # one matrix row per nation: width and height are both the table's row count
+    # one 10 x 10 matrix per block of ten suppliers, one file per matrix
     path = scratch_path(fx.spark, "ld")
-    others = fx.nation.agg(F.sort_array(F.collect_list("n_nationkey")).alias("ks"))
-    k = F.col("n_nationkey")
-    cell = lambda j: F.when((k + j) % 11 == 0, F.lit("nan")).otherwise(
-        F.round(F.lit(1.0) / (1 + F.abs(k - j)), 6).cast("string"))
-    rows = fx.nation.join(others).orderBy(k).select(F.concat(F.lit("v"), k.cast("string")).alias("label"),
-                                                    F.array_join(F.transform("ks", cell), "\t").alias("value"))
-    rows.select("value").coalesce(1).write.text(f"{path}/m")
-    rows.select("label").coalesce(1).write.text(f"{path}/l")
+    k = F.col("s_suppkey")
+    region = F.floor(k / 10).cast("int")
+    cell = lambda step: F.when((k + region * 10 + step) % 11 == 0, F.lit("nan")).otherwise(
+        F.round(F.lit(1.0) / (1 + F.abs(k - region * 10 - step)), 6).cast("string"))
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), cell), "\t")
+    rows = fx.supplier.select(region.alias("region"), k, F.concat(F.lit("v"), k.cast("string")).alias("label"), line.alias("value"))
+    rows = rows.repartition("region").sortWithinPartitions("region", "s_suppkey")
+    rows.select("region", "value").write.partitionBy("region").text(f"{path}/m")
+    rows.select("region", F.col("label").alias("value")).write.partitionBy("region").text(f"{path}/l")
     return rd.read_ld_matrix(fx.spark, f"{path}/m", f"{path}/l")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -89,31 +89,34 @@ def read_bim(spark: SparkSession, path_glob: str) -> DataFrame:
     return spark.read.schema(BIM_SCHEMA).option("sep", "\t").csv(path_glob)
 
 
-def with_line_number(scan: DataFrame, name: str = "line") -> DataFrame:
+def with_line_number(scan: DataFrame, name: str = "line", keys: Sequence[str] = ()) -> DataFrame:
     """Number the rows of a file scan from 0, in order of file name and place in the file.
 
-    Rows of one file block reach one task in file order; blocks are numbered by their
-    counts, so no task ever sees more than one block.
+    ``keys`` (folder partitions) restart the count. Rows of one file block reach one task
+    in file order; blocks are numbered by their counts, so no task sees more than one block.
     """
     placed = scan.select(
         "*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__seq"),
     )
-    ranked = numbered(placed, [], F.col("__block"), [F.col("__seq")], "__k")
+    ranked = numbered(placed, keys, F.col("__block"), [F.col("__seq")], "__k")
     return ranked.withColumn(name, (F.col("__k") - 1).cast("long")).drop("__block", "__seq", "__k")
 
 
 def read_ld_matrix(spark: SparkSession, matrix_path: str, labels_path: str) -> DataFrame:
-    """Square tab-separated matrix + one label per line -> (i, j, r); missing values are 0."""
-    labels = with_line_number(spark.read.text(labels_path)).withColumn("label", F.trim("value"))
-    rows = with_line_number(spark.read.text(matrix_path))
-    cells = rows.select("line", F.posexplode(F.split("value", "\t")).alias("col", "cell"))
+    """Square tab-separated matrices + one label per line -> (region, i, j, r).
+
+    Both folders hold one ``region=...`` folder per matrix; missing values become 0.
+    """
+    labels = with_line_number(spark.read.text(labels_path), "line", ["region"]).withColumn("label", F.trim("value"))
+    rows = with_line_number(spark.read.text(matrix_path), "line", ["region"])
+    cells = rows.select("region", "line", F.posexplode(F.split("value", "\t")).alias("col", "cell"))
     r = F.coalesce(F.nanvl(F.col("cell").try_cast("double"), F.lit(0.0)), F.lit(0.0))
-    long = cells.select("line", F.col("col").cast("long").alias("col"), r.alias("r"))
+    long = cells.select("region", "line", F.col("col").cast("long").alias("col"), r.alias("r"))
     return (
-        long.join(labels.select("line", F.col("label").alias("i")), "line")
-        .join(labels.select(F.col("line").alias("col"), F.col("label").alias("j")), "col")
-        .select("i", "j", "r")
+        long.join(labels.select("region", "line", F.col("label").alias("i")), ["region", "line"])
+        .join(labels.select("region", F.col("line").alias("col"), F.col("label").alias("j")), ["region", "col"])
+        .select("region", "i", "j", "r")
     )
 
 
