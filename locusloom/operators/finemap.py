@@ -1,10 +1,282 @@
+"""Fine-mapping: Bayes-factor credible sets as SQL, sum-of-single-effects per region."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from locusloom.functions.running import numbered
 
+from locusloom.functions.running import numbered, running, salted_join, top_k
+from locusloom.functions.session import cut_lineage
+
+PRIOR_SD = 0.2
+COVERAGE, MIN_ABS_CORR = 0.95, 0.5
+L_GRID = tuple(range(1, 21))
+GROUP_ROWS = 20_000  # largest region worked on inside one task
 
-def region_batches(leads, size=5):
+
+def region_batches(leads: DataFrame, size: int = 5) -> DataFrame:
     """batch_id for fixed-size groups of regions in (chr, center) order."""
-    ranked = numbered(
-        leads.withColumn("__all", F.lit(0)), ["__all"], F.col("chr"), [F.col("chr"), F.col("center"), F.col("snp")], "__k"
-    )
-    return ranked.withColumn("batch_id", F.floor((F.col("__k") - 1) / size).cast("long")).drop("__k", "__all")
+    ranked = numbered(leads, [], F.col("chr"), [F.col("chr"), F.col("center"), F.col("snp")], "__k")
+    return ranked.withColumn("batch_id", F.floor((F.col("__k") - 1) / size).cast("long")).drop("__k")
+
+
+def pip_bucket(pip: Column) -> Column:
+    """Ordered bucket, 0 = highest probability; logarithmic, as most values are tiny."""
+    return F.floor(-F.log10(F.greatest(pip, F.lit(1e-300))) * 20).cast("long")
+
+
+def abf_pips(stats: DataFrame, keys: Sequence[str], prior_sd: float = PRIOR_SD) -> DataFrame:
+    """Posterior inclusion probability per region under one causal variant.
+
+    ``stats`` has ``z, se``. Two partial aggregates per region (maximum, then the shifted
+    sum); the region totals come back through a salted join.
+    """
+    keys = list(keys)
+    v, w = F.col("se") * F.col("se"), F.lit(prior_sd * prior_sd)
+    lbf = 0.5 * F.log(v / (v + w)) + 0.5 * F.col("z") * F.col("z") * w / (v + w)
+    scored = stats.withColumn("lbf", lbf)
+    top = scored.groupBy(*keys).agg(F.max("lbf").alias("__m"))
+    shifted = salted_join(scored, top, keys).withColumn("__e", F.exp(F.col("lbf") - F.col("__m")))
+    total = shifted.groupBy(*keys).agg(F.sum("__e").alias("__s"))
+    return salted_join(shifted, total, keys).withColumn("pip", F.col("__e") / F.col("__s")).drop("__m", "__e", "__s")
+
+
+def credible_set(pips: DataFrame, keys: Sequence[str], order: Sequence[Column], coverage: float = COVERAGE) -> DataFrame:
+    """Smallest leading set reaching ``coverage``: rows whose running sum before them is below it."""
+    out = running(pips, keys, pip_bucket(F.col("pip")), order, F.col("pip"), "__before", exclusive=True)
+    return out.filter(F.col("__before") < coverage).drop("__before")
+
+
+def padded_pip(members: DataFrame, pips: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Attach PIPs by key, 0.01 where there is none, clipped to [0, 1]."""
+    joined = members.join(pips.select(*key, "pip"), list(key), "left")
+    return joined.withColumn("pip", F.least(F.greatest(F.coalesce("pip", F.lit(0.01)), F.lit(0.0)), F.lit(1.0)))
+
+
+def set_stats(members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return members.groupBy(*keys).agg(F.count("*").alias("size"), F.min("pip").alias("min_pip"), F.max("pip").alias("max_pip"))
+
+
+def fallback_set(pips: DataFrame, key: str = "region_id") -> DataFrame:
+    """Variants with PIP > 0.1, or the ten best where a region has none; one set per region."""
+    high = pips.filter(F.col("pip") > 0.1)
+    without = pips.join(high.select(key).distinct(), key, "left_anti")
+    best = top_k(without, [key], [F.col("pip").desc(), F.col("id")], 10)
+    return high.unionByName(best).withColumn("cs", F.lit(1))
+
+
+def run_summary(credible: DataFrame, regions: DataFrame) -> DataFrame:
+    """Totals of a run: variants, high-confidence variants, largest set number, regions with and without result."""
+    done = credible.select("region_id").distinct().withColumn("__ok", F.lit(1))
+    counts = regions.select("region_id").distinct().join(done, "region_id", "left").agg(
+        F.count_if(F.col("__ok") == 1).alias("regions_ok"), F.count_if(F.col("__ok").isNull()).alias("regions_failed"))
+    totals = credible.agg(
+        F.count("*").alias("total_variants"), F.count_if(F.col("pip") > 0.5).alias("high_confidence"),
+        F.max("cs").alias("max_credible_set"), F.avg(F.abs("z")).alias("mean_abs_z"), F.max("n").alias("max_n"))
+    return totals.withColumn("__one", F.lit(1)).join(counts.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
+LOCUSZOOM_FIELDS = (
+    "beta", "chromosome", "log_pvalue", "position", "ref_allele", "alt_allele", "ref_allele_freq", "variant",
+    "posterior_prob", "is_member", "rs_id",
+)
+
+
+def locuszoom_rows(credible: DataFrame) -> DataFrame:
+    """The eleven plot fields per variant, with p floored before its logarithm."""
+    return credible.select(
+        "region_id", F.col("beta").cast("double").alias("beta"), F.col("chr").alias("chromosome"),
+        (-F.log10(F.greatest("p", F.lit(1e-300)))).alias("log_pvalue"), F.col("bp").alias("position"),
+        F.col("a2").alias("ref_allele"), F.col("a1").alias("alt_allele"), F.col("frq").alias("ref_allele_freq"),
+        F.concat_ws(":", F.col("chr").cast("string"), F.col("bp").cast("string"), "a2", "a1").alias("variant"),
+        F.col("pip").alias("posterior_prob"), (F.col("cs") != 0).alias("is_member"), F.coalesce("rs_id", F.lit("")).alias("rs_id"))
+
+
+def locuszoom_pack(credible: DataFrame, page_rows: int = 1000) -> DataFrame:
+    """Columnar arrays per (region, page) in position order; ``last_page`` marks the end."""
+    from locusloom.operators.tables import paged
+
+    rows = locuszoom_rows(credible)
+    width = F.floor(F.col("position") / 100_000)
+    pages = paged(rows, ["region_id"], width, [F.col("position"), F.col("variant")], F.struct(*LOCUSZOOM_FIELDS), "rows", page_rows)
+    last = pages.groupBy("region_id").agg(F.max("page").alias("last_page"))
+    arrays = [F.col("rows")[f].alias(f) for f in LOCUSZOOM_FIELDS]  # field of an array of structs = array
+    return pages.join(last, "region_id").select("region_id", "page", "last_page", F.struct(*arrays).alias("data"))
+
+
+# ---- sum of single effects ------------------------------------------------------------
+
+
+def psd_repair(r: np.ndarray, shift: float = 1e-6) -> np.ndarray:
+    """Lift the diagonal of a correlation matrix that has a negative eigenvalue."""
+    return r + shift * np.eye(len(r)) if np.linalg.eigvalsh(r)[0] < 0 else r
+
+
+def adjusted_z(z: np.ndarray, n: float) -> np.ndarray:
+    return np.sqrt((n - 1) / (z**2 + n - 2)) * z
+
+
+def _log_bf(bhat: np.ndarray, s2: float, v) -> np.ndarray:
+    return 0.5 * np.log(s2 / (v + s2)) + 0.5 * bhat**2 / s2 * v / (v + s2)
+
+
+def _lse(x: np.ndarray) -> float:
+    m = x.max()
+    return float(m + np.log(np.exp(x - m).sum()))
+
+
+def _evidence(bhat2: np.ndarray, s2: float, v: np.ndarray) -> np.ndarray:
+    """ln sum of Bayes factors for each prior variance in ``v``, in one pass over the rows."""
+    slope = (0.5 / s2) * v / (v + s2)
+    top = slope * bhat2.max()
+    return 0.5 * np.log(s2 / (v + s2)) + top + np.log(np.exp(np.outer(bhat2, slope) - top).sum(axis=0))
+
+
+def _best_prior(bhat: np.ndarray, s2: float) -> float:
+    """Prior variance with the highest evidence; 0 when no value beats 'no effect'."""
+    bhat2, lo, hi = bhat**2, -14.0, 4.0
+    for _ in range(3):
+        grid = np.linspace(lo, hi, 13)
+        fit = _evidence(bhat2, s2, np.exp(grid))
+        k = int(fit.argmax())
+        lo, hi = grid[max(k - 1, 0)], grid[min(k + 1, 12)]
+    return float(np.exp(grid[k])) if fit[k] > np.log(len(bhat)) else 0.0
+
+
+class Fit:
+    """Result of one region: effect probabilities, PIPs, evidence bound."""
+
+    def __init__(self, alpha, v, elbo, converged):
+        self.alpha, self.v, self.elbo, self.converged = alpha, v, elbo, converged
+
+    @property
+    def pip(self) -> np.ndarray:
+        live = self.alpha[self.v > 1e-9]
+        return np.clip(1 - np.prod(1 - live, axis=0), 0, 1)
+
+
+def single_effects(z: np.ndarray, u: np.ndarray, n: float, effects: int, max_iter: int = 100, tol: float = 1e-3) -> Fit:
+    """Iterative Bayesian stepwise selection from z-scores and unit genotype rows ``u``.
+
+    R = u u' is never formed: R b = u (u' b), so memory is rows x samples.
+    """
+    m, effects, s2 = len(z), min(effects, len(z)), 1.0 / (n - 1)
+    target = adjusted_z(z, n) / np.sqrt(n - 1)  # marginal effects of standardised variants
+    alpha, mu, mu2, v = np.full((effects, m), 1 / m), np.zeros((effects, m)), np.zeros((effects, m)), np.zeros(effects)
+    fitted = np.zeros((effects, u.shape[1]))
+    last, elbo, converged = -np.inf, -np.inf, False
+    for _ in range(max_iter):
+        kl = 0.0
+        for k in range(effects):
+            bhat = target - u @ (fitted.sum(0) - fitted[k])
+            v[k] = _best_prior(bhat, s2)
+            lbf = _log_bf(bhat, s2, v[k]) if v[k] > 0 else np.zeros(m)
+            evidence = _lse(lbf)
+            alpha[k] = np.exp(lbf - evidence)
+            shrink = v[k] / (v[k] + s2)
+            mu[k] = shrink * bhat
+            mu2[k] = mu[k] ** 2 + shrink * s2
+            b = alpha[k] * mu[k]
+            fitted[k] = u.T @ b
+            loglik = -0.5 / s2 * (-2 * (b @ bhat) + (alpha[k] * mu2[k]).sum())
+            kl += loglik - (evidence - np.log(m))
+        total = (alpha * mu).sum(0)
+        all_fit = fitted.sum(0)
+        rss = (n - 1) * (1 - 2 * total @ target + all_fit @ all_fit - (fitted**2).sum() + (alpha * mu2).sum())
+        elbo = -n / 2 * np.log(2 * np.pi) - 0.5 * rss - kl
+        if abs(elbo - last) < tol:
+            converged = True
+            break
+        last = elbo
+    return Fit(alpha, v, float(elbo), converged)
+
+
+def purity(u: np.ndarray, members: np.ndarray, block: int = 512) -> float:
+    """Smallest absolute correlation among the members, exact, block by block."""
+    low, rows = 1.0, u[members]
+    for i in range(0, len(rows), block):
+        low = min(low, float(np.abs(rows[i:i + block] @ rows.T).min()))
+    return low
+
+
+def credible_sets(fit: Fit, u: np.ndarray, coverage: float, min_abs_corr: float) -> list[np.ndarray]:
+    """Distinct pure sets, purest first."""
+    found: dict[tuple, float] = {}
+    for a, v in zip(fit.alpha, fit.v):
+        if v <= 1e-9:
+            continue
+        order = np.lexsort((np.arange(len(a)), -a))
+        members = np.sort(order[: int(np.searchsorted(np.cumsum(a[order]), coverage * (1 - 1e-12))) + 1])
+        p = purity(u, members)
+        if p >= min_abs_corr:
+            found[tuple(members)] = p
+    return [np.array(k) for k, _ in sorted(found.items(), key=lambda kv: -kv[1])]
+
+
+def choose_effects(z, u, n, grid: Sequence[int] = L_GRID, reject_positive: bool = False) -> tuple[int, Fit | None]:
+    """Number of effects with the best converged evidence bound over the whole grid."""
+    best = (0, None)
+    for count in grid:
+        if count > len(z):
+            break
+        fit = single_effects(z, u, n, count)
+        ok = fit.converged and np.isfinite(fit.elbo) and not (reject_positive and fit.elbo > 0)
+        if ok and (best[1] is None or fit.elbo > best[1].elbo):
+            best = (count, fit)
+    return best
+
+
+_SCHEMA = "region_id {key}, id {id}, pip double, cs int, effects int, elbo double, converged boolean"
+
+
+def susie_finemap(
+    members: DataFrame, effects: int = -1, coverage: float = COVERAGE, min_abs_corr: float = MIN_ABS_CORR,
+    key_type: str = "string", id_type: str = "string", group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """(region_id, id, pip, cs, effects, elbo, converged) for every variant of every region.
+
+    ``members(region_id, id, z, n, u)`` with unit genotype rows ``u``. cs 0 = in no set.
+    Regions with a NaN or infinite value, or with fewer than two variants, give no rows.
+    Regions above ``group_rows`` variants go to the distributed fit instead of one task.
+    """
+    bad = F.isnan("z") | F.col("z").isNull() | (F.abs("z") == float("inf")) | F.exists("u", lambda v: F.isnan(v) | v.isNull())
+    health = members.groupBy("region_id").agg(F.count("*").alias("__rows"), F.bool_or(bad).alias("__bad"))
+    usable = health.filter((F.col("__rows") >= 2) & ~F.col("__bad"))
+    schema = _SCHEMA.format(key=key_type, id=id_type)
+
+    def fit_region(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        z, u, n = pdf["z"].to_numpy(float), np.vstack(pdf["u"].to_numpy()), float(pdf["n"].iloc[0])
+        if effects > 0:
+            count, fit = effects, single_effects(z, u, n, effects)
+        else:
+            count, fit = choose_effects(z, u, n)
+        if fit is None:
+            return pd.DataFrame(columns=["region_id", "id", "pip", "cs", "effects", "elbo", "converged"])
+        cs = np.zeros(len(z), dtype=int)
+        for i, found in enumerate(credible_sets(fit, u, coverage, min_abs_corr)):
+            cs[found] = i + 1
+        return pd.DataFrame({"region_id": pdf["region_id"].to_numpy(), "id": pdf["id"].to_numpy(), "pip": fit.pip, "cs": cs,
+                             "effects": count, "elbo": fit.elbo, "converged": fit.converged})
+
+    rows = members.select("region_id", "id", "z", "n", "u")
+    small = rows.join(usable.filter(F.col("__rows") <= group_rows).select("region_id"), "region_id", "left_semi")
+    fitted = small.groupBy("region_id").applyInPandas(fit_region, schema)
+    large_keys = cut_lineage(usable.filter(F.col("__rows") > group_rows).select("region_id"))
+    if large_keys.isEmpty():
+        return fitted
+    from locusloom.operators.finemap_large import fit_large
+
+    large = rows.join(large_keys, "region_id", "left_semi")
+    return fitted.unionByName(fit_large(large, effects if effects > 0 else 10, coverage, min_abs_corr, key_type, id_type))
+
+
+def final_sets(fitted: DataFrame) -> DataFrame:
+    """Members of credible sets; regions without a set fall back to their best variants."""
+    inside = fitted.filter(F.col("cs") > 0)
+    without = fitted.join(inside.select("region_id").distinct(), "region_id", "left_anti")
+    return inside.unionByName(fallback_set(without).select(*fitted.columns))
