@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusloom.functions.running import numbered, running, salted_join, top_k
@@ -32,17 +32,20 @@ def pip_bucket(pip: Column) -> Column:
 def abf_pips(stats: DataFrame, keys: Sequence[str], prior_sd: float = PRIOR_SD) -> DataFrame:
     """Posterior inclusion probability per region under one causal variant.
 
-    ``stats`` has ``z, se``. Two partial aggregates per region (maximum, then the shifted
-    sum); the region totals come back through a salted join.
+    ``stats`` has ``z, se``. One partial aggregate sums the Bayes factors per (region, band
+    of 50 log units), which cannot overflow; the few bands of a region then fold into its
+    total, and that comes back through a salted join.
     """
     keys = list(keys)
     v, w = F.col("se") * F.col("se"), F.lit(prior_sd * prior_sd)
     lbf = 0.5 * F.log(v / (v + w)) + 0.5 * F.col("z") * F.col("z") * w / (v + w)
     scored = stats.withColumn("lbf", lbf)
-    top = scored.groupBy(*keys).agg(F.max("lbf").alias("__m"))
-    shifted = salted_join(scored, top, keys).withColumn("__e", F.exp(F.col("lbf") - F.col("__m")))
-    total = shifted.groupBy(*keys).agg(F.sum("__e").alias("__s"))
-    return salted_join(shifted, total, keys).withColumn("pip", F.col("__e") / F.col("__s")).drop("__m", "__e", "__s")
+    band = F.floor(F.col("lbf") / 50)
+    bands = scored.groupBy(*keys, band.alias("__b")).agg(F.sum(F.exp(F.col("lbf") - 50 * band)).alias("__s"))
+    top = bands.withColumn("__top", F.max("__b").over(Window.partitionBy(*keys)))
+    total = top.groupBy(*keys, "__top").agg(F.sum(F.col("__s") * F.exp(50 * (F.col("__b") - F.col("__top")))).alias("__t"))
+    joined = salted_join(scored, total, keys)
+    return joined.withColumn("pip", F.exp(F.col("lbf") - 50 * F.col("__top")) / F.col("__t")).drop("__top", "__t")
 
 
 def credible_set(pips: DataFrame, keys: Sequence[str], order: Sequence[Column], coverage: float = COVERAGE) -> DataFrame:
