@@ -274,8 +274,9 @@ def susie_finemap(
         return fitted
     from locusloom.operators.finemap_large import fit_large
 
+    # spare effects get prior variance 0, so the widest count of the grid stands for all of it
     large = rows.join(large_keys, "region_id", "left_semi")
-    return fitted.unionByName(fit_large(large, effects if effects > 0 else 10, coverage, min_abs_corr, key_type, id_type))
+    return fitted.unionByName(fit_large(large, effects if effects > 0 else max(L_GRID), coverage, min_abs_corr, key_type, id_type))
 
 
 def final_sets(fitted: DataFrame) -> DataFrame:
