@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusloom.functions.running import top_k
+from locusloom.functions.running import salted_join, top_k
 from locusloom.operators.intervals import (
     ENHANCER_WINDOW_BP,
     GENE_WINDOW_BP,
@@ -47,7 +47,7 @@ def in_regulatory_region(variants: DataFrame, enhancers: DataFrame, k: int = ENH
 
 def regulatory_links(variants: DataFrame, enhancers: DataFrame, associated_with: DataFrame) -> DataFrame:
     """(snp, enh_key, kind, gene_key): every enhancer that supports a pair."""
-    return in_regulatory_region(variants, enhancers).join(associated_with, "enh_key")
+    return salted_join(in_regulatory_region(variants, enhancers), associated_with, ["enh_key"])
 
 
 def regulatory_effect(variants: DataFrame, enhancers: DataFrame, associated_with: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def in_tad_with(closest: DataFrame, tads: DataFrame) -> DataFrame:
     """The closest gene of a variant and every gene sharing one of its domains."""
     member = tads.select("gene_key", "tad_id").distinct()
     domains = closest.join(member, "gene_key").select("snp", "tad_id").distinct()
-    shared = domains.join(member, "tad_id").select("snp", "gene_key")
+    shared = salted_join(domains, member, ["tad_id"]).select("snp", "gene_key")
     return closest.select("snp", "gene_key").union(shared).distinct()
 
 
@@ -116,7 +116,7 @@ def coexpressed_relevant(relevant_pairs: DataFrame, coexpressed: DataFrame) -> D
     ``coexpressed`` has ``gene_key, with_key``: gene_key is co-expressed with with_key.
     """
     seeds = relevant_pairs.select("snp", F.col("gene_key").alias("with_key")).distinct()
-    return seeds.join(coexpressed, "with_key").select("snp", "gene_key").distinct()
+    return salted_join(seeds, coexpressed, ["with_key"]).select("snp", "gene_key").distinct()
 
 
 def rank_tfs(tf_snp: DataFrame, regulates: DataFrame) -> DataFrame:
@@ -124,11 +124,8 @@ def rank_tfs(tf_snp: DataFrame, regulates: DataFrame) -> DataFrame:
 
     ``tf_snp(tf, snp, score, effect)``; equal (score, tf) pairs count once.
     """
-    hits = (
-        tf_snp.filter(F.col("effect").isin("loss", "gain"))
-        .join(regulates, "tf")
-        .select("snp", "gene_key", "tf", "score").distinct()
-    )
+    changed = tf_snp.filter(F.col("effect").isin("loss", "gain"))
+    hits = salted_join(changed, regulates, ["tf"]).select("snp", "gene_key", "tf", "score").distinct()
     w = Window.partitionBy("snp", "gene_key").orderBy(F.abs("score").desc(), "tf", "score")
     return hits.select(
         "snp", "gene_key", "tf", F.abs("score").alias("abs_score"), F.row_number().over(w).alias("tf_rank")

@@ -52,20 +52,27 @@ def term_text(term: Column, desc: Column, sep: str = " [SEP] ") -> Column:
 def contains_pairs(texts: DataFrame, patterns: DataFrame, text_id: str, text: str, pattern_id: str, pattern: str) -> DataFrame:
     """(text_id, pattern_id) with the pattern inside the text, letter case ignored.
 
-    Every pattern is keyed by its first q characters (q = shortest pattern, at most 12) and
-    every text by all its q-character windows; the equi-join finds candidates, then the whole
-    pattern is tested against the whole text.
+    Every pattern is keyed by its first q characters (q = shortest pattern, at most 12). Every
+    text gives, at each position, the stretch as long as the longest pattern (at most 64);
+    the equi-join on its first q characters finds candidates and the stretch decides. Only
+    patterns longer than 64 need the whole text once more.
     """
     pats = patterns.select(pattern_id, F.lower(pattern).alias("__pat")).filter(F.length("__pat") > 0)
-    q = pats.agg(F.least(F.min(F.length("__pat")), F.lit(12))).head()[0]
-    if q is None:
+    lengths = pats.agg(F.min(F.length("__pat")), F.max(F.length("__pat"))).head()
+    if lengths[0] is None:
         return texts.select(text_id).join(pats.select(pattern_id), F.lit(False))
+    q, reach = min(lengths[0], 12), min(lengths[1], 64)
     low = texts.select(text_id, F.lower(text).alias("__text"))
-    grams = F.array_distinct(F.regexp_extract_all(F.col("__text"), F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
-    windows = low.select(text_id, F.explode(grams).alias("__gram"))
+    stretches = F.array_distinct(F.regexp_extract_all(F.col("__text"), F.lit(f"(?s)(?=(.{{{q},{reach}}}))"), F.lit(1)))
+    windows = low.select(text_id, F.explode(stretches).alias("__part")).withColumn("__gram", F.substring("__part", 1, q))
     keyed = pats.withColumn("__gram", F.substring("__pat", 1, q))
-    candidates = windows.join(keyed, "__gram").select(text_id, pattern_id, "__pat").distinct()
-    return candidates.join(low, text_id).filter(F.contains("__text", "__pat")).select(text_id, pattern_id)
+    begins = F.startswith("__part", F.substring("__pat", 1, reach))
+    found = salted_join(windows, keyed, ["__gram"]).filter(begins).select(text_id, pattern_id, "__pat").distinct()
+    if lengths[1] <= reach:
+        return found.select(text_id, pattern_id)
+    sure = found.filter(F.length("__pat") <= reach).select(text_id, pattern_id)
+    long = found.filter(F.length("__pat") > reach).join(low, text_id).filter(F.contains("__text", "__pat"))
+    return sure.unionByName(long.select(text_id, pattern_id))
 
 
 def first_match(pairs: DataFrame, text_id: str, pattern_id: str) -> DataFrame:

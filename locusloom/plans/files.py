@@ -157,12 +157,13 @@ def _(fx):
 
 
 @query("descendants_loader", """
-select r.r_name as parent, n.n_name as descendant from region r join nation n on n.n_regionkey=r.r_regionkey""")
+select 'U:'||cast(l_orderkey as varchar) as parent, 'U:'||cast(l_partkey as varchar) as descendant from lineitem""")
 def _(fx):
     path = scratch_path(fx.spark, "tissue")
-    kids = fx.nation.groupBy("n_regionkey").agg(F.collect_list("n_name").alias("kids"))
-    maps = fx.region.join(kids, fx.region.r_regionkey == kids.n_regionkey)
-    maps.select(F.to_json(F.create_map("r_name", "kids")).alias("value")).write.text(path)
+    name = lambda c: F.concat(F.lit("U:"), F.col(c).cast("string"))
+    # one order is one parent with its few lines as descendants
+    maps = fx.lineitem.groupBy(name("l_orderkey").alias("parent")).agg(F.collect_list(name("l_partkey")).alias("kids"))
+    maps.select(F.to_json(F.create_map("parent", "kids")).alias("value")).write.text(path)
     return rd.read_descendants(fx.spark, path)
 
 

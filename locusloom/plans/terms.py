@@ -229,20 +229,19 @@ def _(fx):
 
 
 @query("prompt_table", f"""
-with g as (select o_custkey, list_sort(list(distinct 'G'||cast(l_partkey as varchar))) as genes from orders join lineitem on l_orderkey=o_orderkey group by 1)
-select o_custkey as request_id, '{rt.TASK_TEXT}'||case when o_custkey%3=0 then ' You previously identified G'||cast(o_custkey as varchar)||
+with g as (select l_orderkey, list_sort(list(distinct 'G'||cast(l_partkey as varchar))) as genes from lineitem group by 1)
+select o_orderkey as request_id, '{rt.TASK_TEXT}'||case when o_orderkey%3=0 then ' You previously identified G'||cast(o_custkey as varchar)||
  ' as a causal gene. Your prediction couldn''t be verified by the following rule: r'||cast(o_custkey as varchar) else '' end as system,
- 'GWAS Phenotype: '||c_mktsegment||chr(10)||'Genes: '||array_to_string(list_transform(genes, lambda x: '{{'||x||'}}'), ',') as "user"
-from g join customer on c_custkey=o_custkey""")
+ 'GWAS Phenotype: '||o_orderpriority||chr(10)||'Genes: '||array_to_string(list_transform(genes, lambda x: '{{'||x||'}}'), ',') as "user"
+from g join orders on o_orderkey=l_orderkey""")
 def _(fx):
-    # the candidate genes of one request: bounded by the genes around one variant
-    genes = fx.orders.join(fx.lineitem, fx.orders.o_orderkey == fx.lineitem.l_orderkey).groupBy("o_custkey").agg(
-        F.collect_set(F.concat(F.lit("G"), F.col("l_partkey").cast("string"))).alias("genes"))
-    c = F.col("o_custkey")
-    retry = c % 3 == 0
-    rows = genes.join(fx.customer, genes.o_custkey == fx.customer.c_custkey).select(
-        c.alias("request_id"), F.col("c_mktsegment").alias("phenotype"), "genes",
-        F.when(retry, F.concat(F.lit("G"), c.cast("string"))).alias("prev_gene"), F.when(retry, F.concat(F.lit("r"), c.cast("string"))).alias("rule"))
+    # one order is one request; its few lines are the candidate genes around one variant
+    genes = fx.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("G"), F.col("l_partkey").cast("string"))).alias("genes"))
+    c = F.col("o_custkey").cast("string")
+    retry = F.col("o_orderkey") % 3 == 0
+    rows = genes.join(fx.orders, genes.l_orderkey == fx.orders.o_orderkey).select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderpriority").alias("phenotype"), "genes",
+        F.when(retry, F.concat(F.lit("G"), c)).alias("prev_gene"), F.when(retry, F.concat(F.lit("r"), c)).alias("rule"))
     return rt.prompts(rows)
 
 

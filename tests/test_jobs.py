@@ -60,8 +60,8 @@ def test_bad_ids_and_stamps(spark):
 
 
 def test_contains_pairs_equals_brute_force(spark):
-    texts = [(0, "aaaa abcabc"), (1, "xABCDx"), (2, ""), (3, "bca\nbcd"), (4, "\U0001F600abc"), (5, None)]
-    pats = [("abc",), ("bcd",), ("ABCD",), ("aaa",), ("zzz",)]
+    texts = [(6, "y" * 80), (7, "y" * 64 + "z" * 9), (0, "aaaa abcabc"), (1, "xABCDx"), (2, ""), (3, "bca\nbcd"), (4, "\U0001F600abc"), (5, None)]
+    pats = [("Y" * 70,), ("y" * 64 + "z",), ("abc",), ("bcd",), ("ABCD",), ("aaa",), ("zzz",)]
     t = spark.createDataFrame(texts, "id int, text string")
     p = spark.createDataFrame(pats, "pat string")
     got = {(r.id, r.pat) for r in rt.contains_pairs(t, p, "id", "text", "pat", "pat").collect()}
