@@ -24,11 +24,8 @@ def overlap_counts(lists: DataFrame, library: DataFrame, background: DataFrame)
     hits = drawn.join(terms, "gene").groupBy("list_id", "term").agg(F.count("*").alias("overlap"))
     list_sizes = drawn.groupBy("list_id").agg(F.count("*").alias("list_size"))
     term_sizes = terms.groupBy("term").agg(F.count("*").alias("term_size"))
-    universe = known.agg(F.count("*").alias("universe")).withColumn("one", F.lit(1))
-    return (
-        hits.join(list_sizes, "list_id").join(term_sizes, "term")
-        .withColumn("one", F.lit(1)).join(universe, "one").drop("one")
-    )
+    universe = known.agg(F.count("*").alias("universe")).scalar()
+    return hits.join(list_sizes, "list_id").join(term_sizes, "term").withColumn("universe", universe)
 
 
 def over_representation(lists: DataFrame, library: DataFrame, background: DataFrame) -> DataFrame:

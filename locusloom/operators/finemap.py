@@ -75,12 +75,13 @@ def fallback_set(pips: DataFrame, key: str = "region_id") -> DataFrame:
 def run_summary(credible: DataFrame, regions: DataFrame) -> DataFrame:
     """Totals of a run: variants, high-confidence variants, largest set number, regions with and without result."""
     done = credible.select("region_id").distinct().withColumn("__ok", F.lit(1))
-    counts = regions.select("region_id").distinct().join(done, "region_id", "left").agg(
-        F.count_if(F.col("__ok") == 1).alias("regions_ok"), F.count_if(F.col("__ok").isNull()).alias("regions_failed"))
+    marked = regions.select("region_id").distinct().join(done, "region_id", "left")
     totals = credible.agg(
         F.count("*").alias("total_variants"), F.count_if(F.col("pip") > 0.5).alias("high_confidence"),
         F.max("cs").alias("max_credible_set"), F.avg(F.abs("z")).alias("mean_abs_z"), F.max("n").alias("max_n"))
-    return totals.withColumn("__one", F.lit(1)).join(counts.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return totals.select(
+        "*", marked.agg(F.count_if(F.col("__ok") == 1).alias("k")).scalar().alias("regions_ok"),
+        marked.agg(F.count_if(F.col("__ok").isNull()).alias("k")).scalar().alias("regions_failed"))
 
 
 LOCUSZOOM_FIELDS = (

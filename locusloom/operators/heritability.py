@@ -17,11 +17,10 @@ REGRESSORS = ("cell", "base", "one")
 
 def snp_blocks(snps: DataFrame, blocks: int, width: int = 1_000_000) -> DataFrame:
     """Contiguous jackknife blocks of nearly equal size in (chr, pos) order."""
-    total = snps.agg(F.count("*").alias("__m")).withColumn("__one", F.lit(1))
+    total = snps.agg(F.count("*").alias("m")).scalar()
     bucket = F.struct("chr", F.floor(F.col("pos") / width).alias("b"))
-    ranked = numbered(snps, [], bucket, [F.col("chr"), F.col("pos"), F.col("id")], "__k").withColumn("__one", F.lit(1))
-    block = F.floor((F.col("__k") - 1) * blocks / F.col("__m")).cast("int")
-    return ranked.join(total, "__one").withColumn("block", block).drop("__k", "__m", "__one")
+    ranked = numbered(snps, [], bucket, [F.col("chr"), F.col("pos"), F.col("id")], "__k").withColumn("__m", total)
+    return ranked.withColumn("block", F.floor((F.col("__k") - 1) * blocks / F.col("__m")).cast("int")).drop("__k", "__m")
 
 
 def regression_rows(sumstats: DataFrame, base: DataFrame, cells: DataFrame) -> DataFrame:
@@ -31,12 +30,9 @@ def regression_rows(sumstats: DataFrame, base: DataFrame, cells: DataFrame) -> D
     Weight: 1 / (max(l,1) (1 + max(l,1) n h / M)^2) with h from the mean chi-square.
     """
     joined = sumstats.join(base.select("id", F.col("score").alias("base")), "id").withColumn("chi2", F.col("z") * F.col("z"))
-    means = joined.agg(
-        F.avg("chi2").alias("__c"), F.avg("base").alias("__l"), F.avg("n").alias("__n"), F.count("*").alias("__m")
-    ).withColumn("__one", F.lit(1))
-    ratio = F.greatest((F.col("__c") - 1) / F.col("__l"), F.lit(0.0))  # n h / M
+    ratio = joined.agg(F.greatest((F.avg("chi2") - 1) / F.avg("base"), F.lit(0.0)).alias("r")).scalar()  # n h / M
     l = F.greatest("base", F.lit(1.0))  # noqa: E741
-    weighted = joined.withColumn("__one", F.lit(1)).join(means, "__one").withColumn("w", 1 / (l * F.pow(1 + ratio * l, 2)))
+    weighted = joined.withColumn("__r", ratio).withColumn("w", 1 / (l * F.pow(1 + F.col("__r") * l, 2)))
     return weighted.join(cells.select("id", "cell_type", F.col("score").alias("cell")), "id").select(
         "cell_type", "id", "block", "chi2", "cell", "base", F.lit(1.0).alias("one"), "w", (F.col("n") / 1.0).alias("n"))
 
