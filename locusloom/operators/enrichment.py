@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locusloom.functions import columns as C
 from locusloom.functions.running import p_value_bucket, running, salted_join
+from locusloom.functions.session import cut_lineage
 from locusloom.functions.stats import over_representation_p
 from locusloom.operators.tables import paged
 
@@ -32,7 +33,8 @@ def over_representation(lists: DataFrame, library: DataFrame, background: DataFr
     """Upper hypergeometric tail and its FDR per (list, term) with at least one shared gene."""
     counts = overlap_counts(lists, library, background)
     p = over_representation_p("overlap", "list_size", "term_size", "universe")
-    return benjamini_hochberg(counts.withColumn("p", p), ["list_id"], "p", "adjusted_p")
+    tested = cut_lineage(counts.withColumn("p", p))  # small, and read several times below
+    return benjamini_hochberg(tested, ["list_id"], "p", "adjusted_p")
 
 
 def overlap_genes(lists: DataFrame, library: DataFrame, page_rows: int = 1000) -> DataFrame:
@@ -51,7 +53,7 @@ def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str, out: str) ->
     """
     keys = list(keys)
     filled = df.withColumn("__p", F.coalesce(p, F.lit(1.0)))
-    steps = filled.groupBy(*keys, "__p").agg(F.count("*").alias("__c"))
+    steps = cut_lineage(filled.groupBy(*keys, "__p").agg(F.count("*").alias("__c")))
     ranked = running(steps, keys, p_value_bucket(F.col("__p")), [F.col("__p")], F.col("__c"), "__rank")
     totals = steps.groupBy(*keys).agg(F.sum("__c").alias("__m"))
     raw = ranked.join(totals, keys).withColumn("__raw", F.col("__p") * F.col("__m") / F.col("__rank"))

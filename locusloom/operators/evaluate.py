@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusloom.functions.running import running, unit_bucket
+from locusloom.functions.session import cut_lineage
 
 
 def outcome(pred: Column, truth: Column, genes: Column) -> Column:
@@ -37,8 +38,8 @@ def curve_points(scored: DataFrame, keys: Sequence[str], score: str, label: str)
     Scores lie in [0, 1]; ties fold into one point before any ordering.
     """
     keys = list(keys)
-    steps = scored.groupBy(*keys, score).agg(
-        F.count_if(F.col(label)).alias("d_tp"), F.count_if(~F.col(label)).alias("d_fp"))
+    steps = cut_lineage(scored.groupBy(*keys, score).agg(
+        F.count_if(F.col(label)).alias("d_tp"), F.count_if(~F.col(label)).alias("d_fp")))
     bucket, order = unit_bucket(F.col(score)), [F.col(score).desc()]
     tp = running(steps, keys, bucket, order, F.col("d_tp"), "tp", descending=True)
     both = running(tp, keys, bucket, order, F.col("d_fp"), "fp", descending=True)

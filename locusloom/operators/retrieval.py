@@ -62,12 +62,15 @@ def contains_pairs(texts: DataFrame, patterns: DataFrame, text_id: str, text: st
     if lengths[0] is None:
         return texts.select(text_id).join(pats.select(pattern_id), F.lit(False))
     q, reach = min(lengths[0], 12), min(lengths[1], 64)
+    span = f"{q}" if q == reach else f"{q},{reach}"
     low = texts.select(text_id, F.lower(text).alias("__text"))
-    stretches = F.array_distinct(F.regexp_extract_all(F.col("__text"), F.lit(f"(?s)(?=(.{{{q},{reach}}}))"), F.lit(1)))
-    windows = low.select(text_id, F.explode(stretches).alias("__part")).withColumn("__gram", F.substring("__part", 1, q))
+    stretches = F.array_distinct(F.regexp_extract_all(F.col("__text"), F.lit(f"(?s)(?=(.{{{span}}}))"), F.lit(1)))
+    windows = low.select(text_id, F.explode(stretches).alias("__part"))
+    windows = windows.withColumn("__gram", F.col("__part") if q == reach else F.substring("__part", 1, q))
     keyed = pats.withColumn("__gram", F.substring("__pat", 1, q))
     begins = F.startswith("__part", F.substring("__pat", 1, reach))
-    found = salted_join(windows, keyed, ["__gram"]).filter(begins).select(text_id, pattern_id, "__pat").distinct()
+    # a common gram is split by the adaptive skew join, or needs no shuffle when the patterns are few
+    found = windows.join(keyed, "__gram").filter(begins).select(text_id, pattern_id, "__pat").distinct()
     if lengths[1] <= reach:
         return found.select(text_id, pattern_id)
     sure = found.filter(F.length("__pat") <= reach).select(text_id, pattern_id)
