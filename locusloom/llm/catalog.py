@@ -1,4 +1,4 @@
 """Imports every operator module, which fills the registry."""
 
-from locusloom.llm import mixing, simhash, url_filter  # noqa: F401
+from locusloom.llm import embedding_dedup, langid, mixing, packing, quality, simhash, topk, url_filter  # noqa: F401
 from locusloom.llm.registry import ORACLES, QUERIES  # noqa: F401
