@@ -1,4 +1,20 @@
-"""Imports every operator module, which fills the registry."""
+"""Imports every operator module, which fills the registry, and the pipeline."""
 
-from locusloom.llm import embedding_dedup, langid, mixing, packing, quality, simhash, topk, url_filter  # noqa: F401
-from locusloom.llm.registry import ORACLES, QUERIES  # noqa: F401
+import corpus_pipeline
+from locusloom.llm import (  # noqa: F401
+    embedding_dedup,
+    html_text,
+    langid,
+    line_dedup,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    topk,
+    url_filter,
+)
+from locusloom.llm.registry import ORACLES, QUERIES
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

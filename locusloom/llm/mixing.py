@@ -123,11 +123,11 @@ def whole_copies(cells: DataFrame, wanted: DataFrame, solved: DataFrame, cap: fl
     return cut.select("key", "size", "n", "source_size", "target", "copies")
 
 
-def mix(
+def mixed_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2),
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies and taken = copies * size."""
+    """One row per document: id, draw (hash of id and text), key of its source, size, source_size, target and copies."""
     sized = saved(docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")).alias("key"),
         word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col).alias("draw"),
@@ -148,12 +148,29 @@ def mix(
     extra = (F.col("begin") + F.col("place") <= F.pmod(F.col("copies"), F.col("n"))).cast("long")
     return placed.drop("n").join(begins, ["key", "size", "slot"]).withColumn(
         "copies", F.floor(F.col("copies") / F.col("n")) + extra
-    ).select(
+    ).select("id", "draw", "key", "size", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, copies and taken = copies * size."""
+    return mixed_copies(docs, id_col, text_col, source_col, **how).select(
         F.col("id").alias(id_col), F.when(F.col("key").startswith("0"), F.substring("key", 2, 1 << 30)).alias(source_col),
         "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
     )
 
 
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it."""
+    key = ["__no", "__id", "__draw"]
+    named = lambda df, id_, draw: df.select("*", F.col(id_).isNull().alias("__no"), F.coalesce(F.col(id_), F.lit(0)).alias("__id"), draw.alias("__draw"))
+    times = saved(
+        named(mixed_copies(docs, id_col, text_col, source_col, **how), "id", F.col("draw"))
+        .groupBy(*key).agg(F.sum("copies").cast("int").alias("__times")).filter("__times > 0"), "times",
+    )
+    taken = named(docs, id_col, F.xxhash64(id_col, text_col)).join(times, key).dropDuplicates(key)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+
+
 @query("op1_mixing")
 def _mixing(spark, sf_dir):
     mixed = mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))

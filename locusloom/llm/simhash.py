@@ -96,19 +96,33 @@ def fingerprint_components(prints: DataFrame, distance: int = 2) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
-    """One row per document: its id, fingerprint (16 hex digits) and the smallest id of its component."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, distance: int) -> DataFrame:
+    """(id, hash, fp, first) per row: ``first`` names the group's first row by (no_id, id, hash of the text)."""
     bounded_batches(docs.sparkSession)
-    one = saved(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col)).alias("fp")), "fingerprints")
-    least = one.groupBy("fp").agg(F.min("id").alias("least"))
+    text = F.col(text_col)
+    one = saved(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), fingerprints(text).alias("fp")), "fingerprints")
+    least = one.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("least"))
     groups = saved(fingerprint_components(one, distance).join(least, "fp"), "groups")
-    smallest = saved(groups.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
-    named = groups.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return one.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    smallest = saved(groups.groupBy("root").agg(F.min("least").alias("first")), "smallest")
+    return one.join(saved(groups.select("fp", "root").join(smallest, "root").select("fp", "first"), "named"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
+    """One row per document: its id, fingerprint (16 hex digits) and the smallest id of its component."""
+    return _grouped(docs, id_col, text_col, distance).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id")
     )
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
+    """The first row of each group, with all columns of ``docs``."""
+    first = _grouped(docs, id_col, text_col, distance).select("first.*").distinct()
+    first = saved(first.select(F.col("no_id").alias("__no"), F.coalesce("id", F.lit(0)).alias("__id"), F.col("hash").alias("__hash")), "first")
+    key = ["__no", "__id", "__hash"]
+    keyed = docs.select("*", F.col(id_col).isNull().alias("__no"), F.coalesce(F.col(id_col), F.lit(0)).alias("__id"), F.xxhash64(text_col).alias("__hash"))
+    return keyed.join(first, key).dropDuplicates(key).select(*docs.columns)
+
+
 @query("op9_simhash")
 def _simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
