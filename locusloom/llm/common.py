@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from locusloom.functions.session import scratch_path
 
-BATCH_BYTES = "4m"
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let no Arrow batch outgrow ``BATCH_BYTES`` by more than one row; keep a limit the session already has."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, BATCH_BYTES)
+    """Bound the text that a Python worker gets at once; limits that the session's start-up settings name are kept."""
+    given = spark.sparkContext.getConf()
+    for key, value in BATCH.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -182,8 +182,8 @@ def spans_of(texts: list[str], model: Model) -> list[list[dict]]:
     position = position + before[piece] - heads[text]
     label = viterbi(scores, np.bincount(text, minlength=len(texts)))
     out: list[list[dict]] = [[] for _ in texts]
-    new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
-    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(text)], strict=True):
+    cuts = [*np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0)).tolist(), len(text)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
         out[text[a]].append({
             "start": int(position[a]), "end": int(position[b - 1] + letters[b - 1]), "lang": model.langs[label[a]],
             "words": b - a, "letters": int(letters[a:b].sum()),

@@ -120,7 +120,15 @@ def whole_copies(cells: DataFrame, wanted: DataFrame, solved: DataFrame, cap: fl
             .withColumn("moves", F.when(fits, F.least(room, F.floor(F.greatest(F.abs("gap") - F.col("spent"), F.lit(0)) / F.col("size")))).otherwise(0))
             .withColumn("copies", F.col("copies") + F.signum(F.col("gap").cast("double")).cast("long") * F.col("moves").cast("long"))
         )
-    return cut.select("key", "size", "n", "source_size", "target", "copies")
+    gap = F.round("target").cast("long") - F.sum(F.col("copies") * F.col("size")).over(every)
+    cut = cut.withColumn("gap", gap)  # one more copy, or less, of the size nearest to what is left, if that comes nearer
+    free = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+    nearer = free & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap"))
+    cut = cut.withColumn("off", F.when(nearer, F.abs(F.col("size") - F.abs("gap"))))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.asc_nulls_last("off"), "size"))
+    cut = cut.withColumn("place", place)
+    moved = F.when((F.col("place") == 1) & F.col("off").isNotNull(), F.signum(F.col("gap").cast("double")).cast("long")).otherwise(0)
+    return cut.withColumn("copies", F.col("copies") + moved).select("key", "size", "n", "source_size", "target", "copies")
 
 
 def mixed_copies(
