@@ -10,7 +10,7 @@ The network is fitted on at most about ``FIT_ROWS`` labelled documents per class
 
 Defined results: null and empty texts are one chunk of padding and get that score; without labels of both classes the
 score is the share of label 1 (0.5 without labels); labels without a document and null labels are not learned from;
-several labels of one document each count; repeated rows and null ids keep their own row; an empty table gives an empty
+several labels of one document each count, equal ones once; repeated rows and null ids keep their own row; an empty table gives an empty
 table; other columns are ignored.
 """
 
@@ -150,16 +150,18 @@ def _encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Network | float:
-    """Network from ``labelled`` (text, label, draw), or the share of label 1 where a class is missing."""
-    spark = labelled.sparkSession
-    bounded_batches(spark)
-    given = labelled.filter("label in (0, 1)")
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Network | float:
+    """Network from ``docs`` (doc_id, text) and ``labels`` (doc_id, label), or the share of label 1 where a class is missing.
+
+    Labels are counted and sampled before any text is touched; the sample, about ``rows`` of each class, is broadcast."""
+    bounded_batches(docs.sparkSession)
+    given = labels.filter("label in (0, 1)").join(docs.select("doc_id"), "doc_id").withColumn("draw", F.xxhash64("doc_id"))
     counts = {r.label: r.n for r in given.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return float(next(iter(counts))) if counts else 0.5
     part = F.when(F.col("label") == 1, rows / counts[1]).otherwise(rows / counts[0])
-    sample = given.filter(F.pmod("draw", F.lit(1_000_000)) < part * 1_000_000)
+    sample = given.filter(F.pmod("draw", F.lit(1_000_000)) < part * 1_000_000).distinct()
+    sample = docs.join(F.broadcast(sample), "doc_id")
 
     @F.pandas_udf("array<binary>")
     def picked(texts: pd.Series, draws: pd.Series) -> pd.Series:
@@ -199,8 +201,8 @@ def quality_score(text: Column, net: Network | float, spark) -> Column:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds ``score`` to (doc_id, text), learning from ``labels`` (doc_id, quality) outside fold 0."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    known = docs.select("doc_id", "text").filter(fold != 0).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
-    net = fit(known.select("text", "label", F.xxhash64("doc_id").alias("draw")))
+    known = labels.filter(fold != 0).select("doc_id", F.col("quality").alias("label"))
+    net = fit(docs.select("doc_id", "text"), known)
     return docs.withColumn("score", quality_score(F.col("text"), net, docs.sparkSession)).withColumn(
         "held_out", F.coalesce(fold == 0, F.lit(False))
     )
