@@ -6,14 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Numbers of the chromosomes that have none.
+NAMED_CHROMOSOMES = {"X": 23, "Y": 24, "XY": 25, "M": 26, "MT": 26}
+
+
 def chromosome(raw: Column) -> Column:
-    """``chr7`` / ``CHR7`` / ``7`` -> 7; anything that is no number -> null."""
-    return F.regexp_replace(raw.cast("string"), "(?i)^chr", "").try_cast("int")
+    """``chr7`` / ``CHR7`` / ``7`` -> 7, X 23, Y 24, XY 25, MT 26; anything else -> null."""
+    bare = F.upper(F.regexp_replace(F.trim(raw.cast("string")), "(?i)^chr", ""))
+    number = bare.try_cast("int")
+    for name, code in NAMED_CHROMOSOMES.items():
+        number = F.when(bare == name, code).otherwise(number)
+    return number
 
 
 def variant_id(chr_: Column, bp: Column, a2: Column, a1: Column) -> Column:
-    """``CHR:BP:A2:A1``."""
-    return F.concat_ws(":", chr_.cast("string"), bp.cast("string"), a2, a1)
+    """``CHR:BP:A2:A1``; null when a part is."""
+    colon = F.lit(":")
+    return F.concat(chr_.cast("string"), colon, bp.cast("string"), colon, a2, colon, a1)
 
 
 def parsed_variant_id(id_: Column) -> Column:
@@ -38,8 +47,8 @@ def z_score(beta: Column, se: Column, z: Column | None = None) -> Column:
 
 
 def log_p(p: Column) -> Column:
-    """-log10 p with p floored at 1e-300."""
-    return -F.log10(F.greatest(p, F.lit(1e-300)))
+    """-log10 p; p = 0 counts as the smallest positive number."""
+    return -F.log10(F.when(p == 0, 5e-324).otherwise(p))
 
 
 def is_strand_ambiguous(a1: Column, a2: Column) -> Column:

@@ -88,9 +88,3 @@ def correlation_p(r: np.ndarray, n: np.ndarray) -> np.ndarray:
 def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(correlation_p(r.to_numpy(float), n.to_numpy(float)))
 
-
-def normal_tail(z: np.ndarray) -> np.ndarray:
-    """Two-sided normal p by Spark-free erfc."""
-    from math import erfc, sqrt
-
-    return np.array([erfc(abs(v) / sqrt(2)) for v in np.ravel(z)])

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusloom.functions.columns import log_p
 from locusloom.functions.running import numbered, running, salted_join, top_k
 from locusloom.functions.session import cut_lineage
 
@@ -84,6 +85,7 @@ def run_summary(credible: DataFrame, regions: DataFrame) -> DataFrame:
         marked.agg(F.count_if(F.col("__ok").isNull()).alias("k")).scalar().alias("regions_failed"))
 
 
+# Field names of the plot pack.
 LOCUSZOOM_FIELDS = (
     "beta", "chromosome", "log_pvalue", "position", "ref_allele", "alt_allele", "ref_allele_freq", "variant",
     "posterior_prob", "is_member", "rs_id",
@@ -91,10 +93,10 @@ LOCUSZOOM_FIELDS = (
 
 
 def locuszoom_rows(credible: DataFrame) -> DataFrame:
-    """The eleven plot fields per variant, with p floored before its logarithm."""
+    """The eleven plot fields per variant."""
     return credible.select(
         "region_id", F.col("beta").cast("double").alias("beta"), F.col("chr").alias("chromosome"),
-        (-F.log10(F.greatest("p", F.lit(1e-300)))).alias("log_pvalue"), F.col("bp").alias("position"),
+        log_p(F.col("p")).alias("log_pvalue"), F.col("bp").alias("position"),
         F.col("a2").alias("ref_allele"), F.col("a1").alias("alt_allele"), F.col("frq").alias("ref_allele_freq"),
         F.concat_ws(":", F.col("chr").cast("string"), F.col("bp").cast("string"), "a2", "a1").alias("variant"),
         F.col("pip").alias("posterior_prob"), (F.col("cs") != 0).alias("is_member"), F.coalesce("rs_id", F.lit("")).alias("rs_id"))
@@ -221,17 +223,19 @@ def credible_sets(fit: Fit, u: np.ndarray, coverage: float, min_abs_corr: float)
     return [np.array(k) for k, _ in sorted(found.items(), key=lambda kv: -kv[1])]
 
 
-def choose_effects(z, u, n, grid: Sequence[int] = L_GRID, reject_positive: bool = False) -> tuple[int, Fit | None]:
-    """Number of effects with the best converged evidence bound over the whole grid."""
-    best = (0, None)
+def choose_effects(z, u, n, grid: Sequence[int] = L_GRID) -> tuple[int, Fit]:
+    """Number of effects with the best converged evidence bound over the whole grid; a region where no fit converges
+    gets the best that did not, so that it stays in the result and is marked."""
+    best, rest = (0, None), (0, None)
     for count in grid:
         if count > len(z):
             break
         fit = single_effects(z, u, n, count)
-        ok = fit.converged and np.isfinite(fit.elbo) and not (reject_positive and fit.elbo > 0)
-        if ok and (best[1] is None or fit.elbo > best[1].elbo):
+        if not fit.converged or not np.isfinite(fit.elbo):
+            rest = (count, fit) if rest[1] is None or fit.elbo > rest[1].elbo else rest
+        elif best[1] is None or fit.elbo > best[1].elbo:
             best = (count, fit)
-    return best
+    return rest if best[1] is None else best
 
 
 _SCHEMA = "region_id {key}, id {id}, pip double, cs int, effects int, elbo double, converged boolean"
@@ -241,7 +245,8 @@ def susie_finemap(
     members: DataFrame, effects: int = -1, coverage: float = COVERAGE, min_abs_corr: float = MIN_ABS_CORR,
     key_type: str = "string", id_type: str = "string", group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """(region_id, id, pip, cs, effects, elbo, converged) for every variant of every region.
+    """(region_id, id, pip, cs, effects, elbo, converged) for every variant of every region; a fit that did not
+    converge keeps its rows with ``converged`` false.
 
     ``members(region_id, id, z, n, u)`` with unit genotype rows ``u``. cs 0 = in no set.
     Regions with a NaN or infinite value, or with fewer than two variants, give no rows.
@@ -259,8 +264,6 @@ def susie_finemap(
             count, fit = effects, single_effects(z, u, n, effects)
         else:
             count, fit = choose_effects(z, u, n)
-        if fit is None:
-            return pd.DataFrame(columns=["region_id", "id", "pip", "cs", "effects", "elbo", "converged"])
         cs = np.zeros(len(z), dtype=int)
         for i, found in enumerate(credible_sets(fit, u, coverage, min_abs_corr)):
             cs[found] = i + 1

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +26,7 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "p": ("p-value_gc", "pvalue", "p_value", "p-value", "p"),
     "n": ("n_samples", "neff", "n", "n_total"),
 }
+EXTRA_ALIASES = {"frq": ("frq", "freq", "eaf", "maf", "effect_allele_frequency", "hm_effect_allele_frequency"), "z": ("z", "zscore")}
 OUTPUT_ORDER = ("chr", "pos", "snp", "a1", "a2", "beta", "se", "p", "n")
 REQUIRED = ("a1", "a2", "beta", "p")
 DEFAULT_SAMPLE_SIZE = 807553
@@ -31,15 +34,16 @@ GENOME_WIDE_P = 5e-8
 BUILDS = ("GRCh37", "GRCh38")
 
 
+def _source(columns: list[str], target: str) -> str | None:
+    """The column that stands for ``target``."""
+    present = {c.lower(): c for c in columns}
+    return next((present[n] for n in ALIASES[target] if n in present), None)
+
+
 def canonical_columns(df: DataFrame) -> DataFrame:
     """Keep the nine known columns under their target names, in the output order."""
-    present = {c.lower(): c for c in df.columns}
-    found = {}
-    for target, names in ALIASES.items():
-        hit = next((present[n] for n in names if n in present), None)
-        if hit is not None:
-            found[target] = hit
-    return df.select(*[F.col(f"`{found[t]}`").alias(t) for t in OUTPUT_ORDER if t in found])
+    found = {t: _source(df.columns, t) for t in OUTPUT_ORDER}
+    return df.select(*[F.col(f"`{c}`").alias(t) for t, c in found.items() if c])
 
 
 def is_ldsc_format(columns: list[str]) -> bool:
@@ -84,20 +88,33 @@ def in_panel(df: DataFrame, bim: DataFrame, missing: bool = False) -> DataFrame:
     return df.join(bim.select("snp").distinct(), "snp", "left_anti" if missing else "left_semi")
 
 
-def munge(df: DataFrame, build: str = "GRCh37") -> DataFrame:
-    """Quality-controlled statistics with one row per rs id and per position."""
-    if build not in BUILDS:
-        raise ValueError(f"build must be one of {BUILDS}")
-    rows = drop_missing(coerce(canonical_columns(df)))
+def first_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """First row of each key; rows that lack a part of the key are no repeats of each other and all stay."""
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    return top_k(df.filter(whole), keys, order, 1).unionByName(df.filter(~whole))
+
+
+def munge(df: DataFrame) -> DataFrame:
+    """Quality-controlled statistics with one row per rs id and per position, ``z`` and ``id``.
+
+    The allele frequency and a given z are kept where the input has them; rows without an rs id or position stay.
+    """
+    present = {c.lower(): c for c in df.columns}
+    extra = {t: next((present[n] for n in names if n in present), None) for t, names in EXTRA_ALIASES.items()}
+    named = df.select("*", *[F.col(f"`{c}`").alias(f"__{t}") for t, c in extra.items() if c])
+    base = canonical_columns(named)
+    rows = named.select(*[F.col(f"`{_source(named.columns, t)}`").alias(t) for t in base.columns],
+                        *[F.col(f"__{t}").try_cast("double").alias(t) for t, c in extra.items() if c])
+    rows = drop_missing(coerce(rows))
     bases = "[ACGT]"
     kept = rows.filter(
         F.col("p").between(0, 1) & (F.col("se") > 0)
         & F.col("a1").rlike(f"^{bases}$") & F.col("a2").rlike(f"^{bases}$") & (F.col("a1") != F.col("a2"))
     )
-    by_id = top_k(kept, ["snp"], [F.col("p"), F.col("pos")], 1)
-    by_place = top_k(by_id, ["chr", "pos"], [F.col("p"), F.col("snp")], 1)
+    by_id = first_by_key(kept, ["snp"], [F.col("p"), F.col("pos")])
+    by_place = first_by_key(by_id, ["chr", "pos"], [F.col("p"), F.col("snp")])
     return by_place.withColumns({
-        "z": C.z_score(F.col("beta"), F.col("se")),
+        "z": C.z_score(F.col("beta"), F.col("se"), F.col("z") if extra["z"] else None),
         "id": C.variant_id(F.col("chr"), F.col("pos"), F.col("a2"), F.col("a1")),
     })
 
@@ -150,6 +167,15 @@ def resolve_sample_size(from_column: Column, metadata: Column) -> Column:
     return F.coalesce(from_column, metadata_sample_size(metadata), F.lit(DEFAULT_SAMPLE_SIZE)).cast("long")
 
 
+def study_sample_sizes(stats: DataFrame, keys: list[str], metadata: DataFrame) -> DataFrame:
+    """(keys, n) per study: the maximum of the sample-size column of ``stats``, if it has one, else ``metadata``'s."""
+    column = sample_size_column(stats.columns)
+    most = F.max(F.col(f"`{column}`").try_cast("double")) if column else F.lit(None).cast("double")
+    sizes = stats.groupBy(*keys).agg(most.alias("__n"))
+    return metadata.join(sizes, keys, "left").select(
+        *keys, resolve_sample_size(F.col("__n").cast("long"), F.col("metadata")).alias("n"))
+
+
 def unique_safe_names(df: DataFrame, raw: str, out: str) -> DataFrame:
     """Safe names in raw-name order; the second, third ... holder of a name gets _2, _3 ..."""
     named = df.withColumn("__safe", C.safe_name(F.col(raw)))
@@ -169,6 +195,7 @@ def motif_long(matrix: DataFrame, id_column: str, tf_columns: list[str]) -> Data
     ).filter(F.col("type").isNotNull())
 
 
+# Fixed values in it: the accepted ranges.
 def run_problems() -> Column:
     """Array of reasons why a requested run is refused; empty when it is fine."""
     bad = lambda cond, text: F.when(cond, F.lit(text))

@@ -39,22 +39,23 @@ def em_step(patterns: DataFrame, keys: Sequence[str], rules: Sequence[str], weig
 
 def _fit(flags: np.ndarray, label: np.ndarray, n: np.ndarray, w: np.ndarray, eps: float, max_steps: int = 100_000):
     applied = (flags * n[:, None]).sum(0)
-    last = -np.inf
+    last, converged = -np.inf, False
     for _ in range(max_steps):
         p = np.clip(1 - np.prod(1 - flags * w, axis=1), 1e-12, 1 - 1e-12)
         ll = float((n * np.where(label, np.log(p), np.log1p(-p))).sum())
         if abs(ll - last) < eps:
+            converged = True
             break
         last = ll
         hits = (flags * w * (n * label / p)[:, None]).sum(0)
         w = np.where(applied > 0, hits / np.maximum(applied, 1), w)
-    return w, ll
+    return w, ll, converged
 
 
 def learn_weights(
     patterns: DataFrame, key: str, rules: Sequence[str], eps: float = EPS, restarts: int = RESTARTS, seed: int = 42
 ) -> DataFrame:
-    """(key, rule weights, log_likelihood): best of several EM runs per key.
+    """(key, rule weights, log_likelihood, converged): best of several EM runs per key.
 
     A group is the folded pattern table of one key, at most 2^(rules+1) rows however many
     examples there are.
@@ -65,10 +66,10 @@ def learn_weights(
         flags, label, n = pdf[rules].to_numpy(float), pdf["label"].to_numpy(bool), pdf["n"].to_numpy(float)
         rng = np.random.default_rng(seed)
         starts = [np.full(len(rules), START_WEIGHT)] + [rng.uniform(0.01, 0.99, len(rules)) for _ in range(restarts - 1)]
-        w, ll = max((_fit(flags, label, n, s, eps) for s in starts), key=lambda f: f[1])
-        return pd.DataFrame([[pdf[key].iloc[0], *w, ll]], columns=[key, *rules, "log_likelihood"])
+        w, ll, converged = max((_fit(flags, label, n, s, eps) for s in starts), key=lambda f: f[1])
+        return pd.DataFrame([[pdf[key].iloc[0], *w, ll, converged]], columns=[key, *rules, "log_likelihood", "converged"])
 
-    schema = f"{key} int, " + ", ".join(f"{r} double" for r in rules) + ", log_likelihood double"
+    schema = f"{key} int, " + ", ".join(f"{r} double" for r in rules) + ", log_likelihood double, converged boolean"
     return patterns.groupBy(key).applyInPandas(fit, schema)
 
 

@@ -9,7 +9,7 @@ from locusloom.functions.running import salted_join
 from locusloom.functions.session import cut_lineage
 
 
-def ancestors(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame) -> DataFrame:
     """(node, ancestor, depth) incl. the node itself at depth 0; depth is the shortest path.
 
     Semi-naive: only pairs new in the last step are extended, and pairs already known are
@@ -21,14 +21,15 @@ def ancestors(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     known = cut_lineage(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
     frontier = known
     up = links.withColumnsRenamed({"child": "ancestor"})
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:  # a pair is new once, so it ends
+        depth += 1
         step = salted_join(frontier, up, ["ancestor"]).select("node", F.col("parent").alias("ancestor")).distinct()
         new = step.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
         frontier = cut_lineage(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return known
         known = known.unionByName(frontier)
-    raise ValueError(f"ontology deeper than {max_depth}")
 
 
 def term_members(base: DataFrame, closure: DataFrame) -> DataFrame:

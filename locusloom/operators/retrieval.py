@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,33 +52,57 @@ def term_text(term: Column, desc: Column, sep: str = " [SEP] ") -> Column:
     return F.concat_ws(sep, F.coalesce(term, F.lit("")), F.coalesce(desc, F.lit("")))
 
 
+_GRAMS, _BITS = (1, 2, 4, 8, 16), 1 << 16
+
+
+def _bit_words(grams: DataFrame) -> list[int]:
+    """Bit set of fixed size over the hashes of ``__gram``."""
+    bit = F.pmod(F.xxhash64("__gram"), F.lit(_BITS))
+    rows = grams.select(bit.alias("b")).select(
+        F.expr("b div 64").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m")
+    ).groupBy("w").agg(F.bit_or("m").alias("m")).collect()  # at most _BITS / 64 rows
+    words = [0] * (_BITS // 64)
+    for r in rows:
+        words[r.w] = r.m
+    return words
+
+
+def _listed(words: Column) -> Callable[[Column], Column]:
+    def test(gram: Column) -> Column:
+        bit = F.pmod(F.xxhash64(gram), F.lit(_BITS))
+        return F.getbit(F.element_at(words, (F.floor(bit / 64) + 1).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1
+
+    return test
+
+
 def contains_pairs(texts: DataFrame, patterns: DataFrame, text_id: str, text: str, pattern_id: str, pattern: str) -> DataFrame:
     """(text_id, pattern_id) with the pattern inside the text, letter case ignored.
 
-    Every pattern is keyed by its first q characters (q = shortest pattern, at most 12). Every
-    text gives, at each position, the stretch as long as the longest pattern (at most 64);
-    the equi-join on its first q characters finds candidates and the stretch decides. Only
-    patterns longer than 64 need the whole text once more.
+    Patterns are keyed by their first 1, 2, 4, 8 or 16 characters, the most they have. Of a text's stretches of such
+    a length only those in a bit set of the keys are laid out as rows; an equi-join on the stretch finds candidates,
+    and each candidate is decided once on the whole text. A full bit set lets everything pass.
     """
     pats = patterns.select(pattern_id, F.lower(pattern).alias("__pat")).filter(F.length("__pat") > 0)
-    lengths = pats.agg(F.min(F.length("__pat")), F.max(F.length("__pat"))).head()
-    if lengths[0] is None:
-        return texts.select(text_id).join(pats.select(pattern_id), F.lit(False))
-    q, reach = min(lengths[0], 12), min(lengths[1], 64)
-    span = f"{q}" if q == reach else f"{q},{reach}"
     low = texts.select(text_id, F.lower(text).alias("__text"))
-    stretches = F.array_distinct(F.regexp_extract_all(F.col("__text"), F.lit(f"(?s)(?=(.{{{span}}}))"), F.lit(1)))
-    windows = low.select(text_id, F.explode(stretches).alias("__part"))
-    windows = windows.withColumn("__gram", F.col("__part") if q == reach else F.substring("__part", 1, q))
-    keyed = pats.withColumn("__gram", F.substring("__pat", 1, q))
-    begins = F.startswith("__part", F.substring("__pat", 1, reach))
-    # a common gram is split by the adaptive skew join, or needs no shuffle when the patterns are few
-    found = windows.join(keyed, "__gram").filter(begins).select(text_id, pattern_id, "__pat").distinct()
-    if lengths[1] <= reach:
-        return found.select(text_id, pattern_id)
-    sure = found.filter(F.length("__pat") <= reach).select(text_id, pattern_id)
-    long = found.filter(F.length("__pat") > reach).join(low, text_id).filter(F.contains("__text", "__pat"))
-    return sure.unionByName(long.select(text_id, pattern_id))
+    long = F.length("__pat")
+    size = F.lit(_GRAMS[0])
+    for q in _GRAMS[1:]:
+        size = F.when(long >= q, q).otherwise(size)
+    keyed = pats.withColumn("__q", size).withColumn("__gram", F.expr("substring(__pat, 1, __q)"))
+    found = None
+    for q in sorted(r[0] for r in keyed.select("__q").distinct().collect()):  # at most five
+        mine = keyed.filter(F.col("__q") == q)
+        words = F.from_json(F.lit(json.dumps(_bit_words(mine))), "array<bigint>")
+        stretches = F.array_distinct(F.regexp_extract_all("__text", F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
+
+        parts = low.select(text_id, F.explode(F.filter(stretches, _listed(words))).alias("__gram"))
+        met = parts.join(mine, "__gram").select(text_id, pattern_id, "__pat").distinct()
+        found = met if found is None else found.union(met)
+    if found is None:
+        return texts.select(text_id).join(pats.select(pattern_id), F.lit(False))
+    sure = F.length("__pat").isin(*_GRAMS)  # such a pattern is its own key
+    whole = found.filter(~sure).join(low, text_id).filter(F.contains("__text", "__pat"))
+    return found.filter(sure).select(text_id, pattern_id).unionByName(whole.select(text_id, pattern_id))
 
 
 def first_match(pairs: DataFrame, text_id: str, pattern_id: str) -> DataFrame:

@@ -45,7 +45,6 @@ def joint_z(zs: np.ndarray, us: np.ndarray) -> np.ndarray:
 
 def select_signals(
     variants: DataFrame, p_limit: float = 5e-8, maf: float = 0.01, id_type: str = "bigint", key_type: str = "int",
-    max_signals: int = 100,
 ) -> DataFrame:
     """(region_id, id, z, joint_z, joint_p, step) of the independent signals of every locus.
 
@@ -86,7 +85,9 @@ def select_signals(
             keep[weakest] = False
         return pdf.assign(joint_z=joint, kept=keep)
 
-    for step in range(1, max_signals + 1):
+    step = 0
+    while True:  # every pass takes a variant of each open locus for good, so it ends
+        step += 1
         kept = chosen.filter("kept").groupBy("region_id").agg(F.array_sort(F.collect_list(F.struct("step", "z", "u"))).alias("s"))
         context = kept.select("region_id", F.transform("s", lambda s: s["z"]).alias("zs"), F.flatten(F.transform("s", lambda s: s["u"])).alias("us"))
         pool = usable
@@ -101,7 +102,6 @@ def select_signals(
             return _finish(chosen)
         # a group here is the signals of one locus, never its variants
         chosen = cut_lineage(chosen.unionByName(new).groupBy("region_id").applyInPandas(prune, chosen_schema))
-    raise ValueError(f"more than {max_signals} signals in one locus")
 
 
 def _two_sided(z: pd.Series) -> pd.Series:

@@ -43,9 +43,9 @@ def _(fx):
     return ld.ld_scores(panel(fx), WINDOW, len(CATEGORIES)).withColumn("score", F.round("score", 5))
 
 
-@query("ld_scores_printed", f"with {_SCORES} select id, category, round(score,5) as score from ls where id in (select c_custkey from customer where c_custkey%2=0)")
+@query("ld_scores_printed", f"with {_SCORES} select id, category, round(score,5) as score from ls where id in (select c_custkey from customer where c_acctbal>0)")
 def _(fx):
-    listed = fx.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
+    listed = fx.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     out = ld.ld_scores(panel(fx), WINDOW, len(CATEGORIES)).join(listed, "id", "left_semi")
     return out.withColumn("score", F.round("score", 5))
 
@@ -130,11 +130,11 @@ def _(fx):
                         F.array_join(F.transform("credible_set", lambda r: r["id"]), ",").alias("variants"))
 
 
-@query("run_summary", with_views("variants", f"""with {_ABF}, keep as (select * from cs where chr<>7)
+@query("run_summary", with_views("variants", f"""with {_ABF}, keep as (select * from cs where pip>0.1)
 select count(*) as total_variants, count_if(pip>0.5)::bigint as high_confidence, 1 as max_credible_set, round(avg(abs(z)),6) as mean_abs_z, max(n) as max_n,
- (select count(distinct region_id) from keep) as regions_ok, (select count(distinct region_id) from st where chr=7) as regions_failed from keep"""))
+ (select count(distinct region_id) from keep) as regions_ok, (select count(distinct region_id) from st where region_id not in (select region_id from keep)) as regions_failed from keep"""))
 def _(fx):
-    out = fm.run_summary(_abf_sets(fx).filter("chr <> 7"), _stats(fx))
+    out = fm.run_summary(_abf_sets(fx).filter("pip > 0.1"), _stats(fx))
     return out.select("total_variants", "high_confidence", F.col("max_credible_set"), F.round("mean_abs_z", 6).alias("mean_abs_z"), "max_n", "regions_ok", "regions_failed")
 
 

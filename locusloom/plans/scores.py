@@ -62,26 +62,29 @@ def _(fx):
     return on.map_tissues(tissues, on.descendant_map(listed), on.ancestors(_tree(fx)))
 
 
+def _go(fx):
+    """Small gene sets: genes of one brand and type."""
+    block = F.floor(F.col("gene_key") / 64).cast("string")
+    return fx.genes.select("gene_key", F.concat_ws("/", "p_brand", "p_type", block).alias("go_id"))
+
+
 def _hypotheses(fx):
-    """One hypothesis per significant variant with a direct evidence edge."""
-    hits = fx.variants.filter("p < 1e-10").select("snp", "gene_key")
-    facts = fx.evidence.join(hits, ["snp", "gene_key"], "left_semi")
-    names = fx.genes.select("gene_key", "gene_id", "p_brand")
-    return facts.join(names, "gene_key").select(
+    """One hypothesis per direct evidence edge."""
+    names = fx.genes.join(_go(fx), "gene_key").select("gene_key", "gene_id", "go_id")
+    return fx.evidence.join(names, "gene_key").select(
         F.concat("snp", F.lit("@"), "gene_id").alias("hypothesis_id"), "snp", F.col("gene_id").alias("causal_gene"), "pred",
-        F.col("p_brand").alias("go_id"), F.upper("p_brand").alias("go_name"), F.lit("EFO_1").alias("phenotype_id"), F.lit("obesity").alias("phenotype"))
+        "go_id", F.upper("go_id").alias("go_name"), F.lit("EFO_1").alias("phenotype_id"), F.lit("obesity").alias("phenotype"))
 
 
 _HYP = """
-  h as (select e.snp||'@'||g.gene_id as hypothesis_id, e.snp, g.gene_id as causal_gene, e.pred, g.p_brand as go_id from evidence e join variants v on v.snp=e.snp and v.gene_key=e.gene_key and v.p<1e-10
-     join genes g on g.gene_key=e.gene_key),
+  h as (select e.snp||'@'||g.gene_id as hypothesis_id, e.snp, g.gene_id as causal_gene, e.pred, g.p_brand||'/'||g.p_type||'/'||cast(g.gene_key//64 as varchar) as go_id from evidence e join genes g on g.gene_key=e.gene_key),
   lab as (select snp, cast(chr as varchar)||':'||cast(bp as varchar)||'-'||cast(bp+1 as varchar)||'-'||a2||'>'||a1 as label from variants),
-  mem as (select p_brand as go_id, gene_id as gene from genes where gene_key%40=0)"""
+  mem as (select p_brand||'/'||p_type||'/'||cast(gene_key//64 as varchar) as go_id, gene_id as gene from genes)"""
 
 
 def _members(fx):
-    return fx.genes.filter("gene_key % 40 = 0").select(
-        F.col("p_brand").alias("go_id"), F.col("gene_id").alias("gene"), F.col("symbol").alias("gene_name"))
+    return fx.genes.join(_go(fx), "gene_key").select(
+        "go_id", F.col("gene_id").alias("gene"), F.col("symbol").alias("gene_name"))
 
 
 def _labels(fx):

@@ -113,7 +113,7 @@ _EXPR = """
      join part on p_partkey=l_partkey group by 1,2),
   x as (select e.*, n_name as tissue, c_mktsegment as cell_type from e join customer on c_custkey=cell join nation on n_nationkey=c_nationkey)"""
 _CORR = _EXPR + """,
-  seed as (select tissue, cell, gene as seed, value as xv from x where gene in ('Brand#1','Brand#2') and value<>0),
+  seed as (select tissue, cell, gene as seed, value as xv from x where value<>0),
   n as (select tissue, seed, count(*)::double as n, sum(xv) as sx, sum(xv*xv) as sxx from seed group by 1,2),
   p as (select s.tissue, s.seed, x.gene, sum(value) as sy, sum(value*value) as syy, sum(xv*value) as sxy
      from seed s join x on x.tissue=s.tissue and x.cell=s.cell and x.gene<>s.seed group by 1,2,3),
@@ -123,7 +123,7 @@ _CORR = _EXPR + """,
 
 def _corr(fx):
     matrix, obs = _expression(fx)
-    seeds = fx.part.filter(F.col("p_brand").isin("Brand#1", "Brand#2")).select(F.col("p_brand").alias("seed"))
+    seeds = fx.part.select(F.col("p_brand").alias("seed"))
     return ce.correlations(ce.expression_slice(matrix, obs), seeds)
 
 
@@ -192,21 +192,25 @@ def _(fx):
     return rt.nearest_terms(*_requests(fx), 10, "l2").withColumn("score", F.round("score", 6))
 
 
-_PAT = "pat as (select distinct substr(text,1,12) as name from conversations where length(text)>=12)"
+# whole texts, their sentences, and terms down to one character
+_PAT = """pat as (select text as name from benchmark union select unnest(string_split(text, '. ')) from benchmark
+  union select o_orderstatus from orders union select p_type from part union select role from conversations)"""
 
 
 @query("contains_match", f"""with {_PAT}
-select d.doc_id, p.name from documents d join pat p on contains(lower(d.text), lower(p.name))""")
+select d.doc_id, p.name from documents d join pat p on p.name<>'' and contains(lower(d.text), lower(p.name))""")
 def _(fx):
     return rt.contains_pairs(fx.documents, _patterns(fx), "doc_id", "text", "name", "name")
 
 
 def _patterns(fx):
-    return fx.conversations.filter(F.length("text") >= 12).select(F.substring("text", 1, 12).alias("name")).distinct()
+    sentences = fx.benchmark.select(F.explode(F.split("text", r"\. ")).alias("name"))
+    terms = fx.orders.select("o_orderstatus").union(fx.part.select("p_type")).union(fx.conversations.select("role"))
+    return fx.benchmark.select(F.col("text").alias("name")).union(sentences).union(terms).distinct()
 
 
 @query("first_match_unique", f"""with {_PAT},
- m as (select d.doc_id, p.name from documents d join pat p on contains(lower(d.text), lower(p.name))),
+ m as (select d.doc_id, p.name from documents d join pat p on p.name<>'' and contains(lower(d.text), lower(p.name))),
  f as (select name, min(doc_id) as doc_id from m group by name)
 select doc_id, min(name) as name from f group by doc_id""")
 def _(fx):
@@ -247,7 +251,7 @@ def _(fx):
 
 def _replies(fx):
     """Model replies rendered from the documents; some are broken, some unlisted."""
-    d = fx.documents.join(fx.labels, "doc_id")
+    d = fx.documents.join(fx.labels, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("quality", "toxic")})
     k = F.col("doc_id")
     gene = F.when(k % 5 == 0, "GENEX").otherwise(F.concat(F.lit("G"), (k % 7).cast("string")))
     good = F.to_json(F.struct(gene.alias("causal_gene"), (F.col("n_chars") % 100 / F.lit(100.0)).alias("confidence"), F.col("lang").alias("reason")))
@@ -257,10 +261,10 @@ def _replies(fx):
 
 
 _REPLY = """
-  r as (select d.doc_id, d.source as dataset, d.lang as model, d.n_chars, d.lang, 'G'||cast(quality+toxic*2 as varchar) as truth,
+  r as (select d.doc_id, d.source as dataset, d.lang as model, d.n_chars, d.lang, 'G'||cast(coalesce(quality,0)+coalesce(toxic,0)*2 as varchar) as truth,
     '{G0},{G1},{G2},{G10}' as genes, (d.doc_id%11=0 or d.doc_id%13=0) as needs_retry,
     case when d.doc_id%11=0 or d.doc_id%13=0 then null when d.doc_id%5=0 then 'GENEX' else 'G'||cast(d.doc_id%7 as varchar) end as causal_gene
-    from documents d join labels l on l.doc_id=d.doc_id)"""
+    from documents d left join labels l on l.doc_id=d.doc_id)"""
 
 
 @query("parsed_replies", f"""with {_REPLY}
@@ -320,12 +324,12 @@ def _(fx):
 
 @query("subset_terms", with_views("variants genes", """
 with sig as (select p_brand||'/'||cast(gene_key//66 as varchar) as term, gene_id as gene from genes),
- co as (select distinct v.snp, g.gene_id as gene from variants v join genes g on g.gene_key//22=v.gene_key//22 where v.p<1e-11),
+ co as (select distinct v.snp, g.gene_id as gene from variants v join genes g on g.gene_key//22=v.gene_key//22),
  sz as (select term, count(distinct gene) as n from sig group by 1)
 select co.snp, sig.term from co join sig on sig.gene=co.gene join sz on sz.term=sig.term group by co.snp, sig.term, sz.n having count(distinct sig.gene)=sz.n"""))
 def _(fx):
     sig = fx.genes.select(F.concat_ws("/", "p_brand", F.floor(F.col("gene_key") / 66).cast("string")).alias("term"), F.col("gene_id").alias("gene"))
     block = F.floor(F.col("gene_key") / 22)
-    near = fx.variants.filter("p < 1e-11").select("snp", block.alias("b")).distinct()
+    near = fx.variants.select("snp", block.alias("b")).distinct()
     co = near.join(fx.genes.select(block.alias("b"), F.col("gene_id").alias("gene")), "b").select("snp", "gene")
     return en.subset_terms(sig, co)

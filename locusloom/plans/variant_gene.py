@@ -151,15 +151,15 @@ def _(fx):
 
 
 _TF_SNP = """
-  tf_snp as (select snp, 'tf'||cast(gene_key%40 as varchar) as tf, beta as score,
+  tf_snp as (select snp, 'tf'||cast(gene_key//4 as varchar) as tf, beta as score,
       case when beta<0 then 'loss' else 'gain' end as effect from variants where beta<>0
-      union all select snp, 'tf'||cast((gene_key+7)%40 as varchar), se,
+      union all select snp, 'tf'||cast((gene_key+7)//4 as varchar), se,
       'gain' from variants),
-  regulates as (select distinct 'tf'||cast(gene_key%40 as varchar) as tf, gene_key from genes where gene_key%5=0)"""
+  regulates as (select distinct 'tf'||cast(gene_key//4 as varchar) as tf, gene_key from genes)"""
 
 
 def tf_snp(fx: Fixtures) -> DataFrame:
-    name = lambda shift: F.concat(F.lit("tf"), ((F.col("gene_key") + shift) % 40).cast("string"))
+    name = lambda shift: F.concat(F.lit("tf"), F.floor((F.col("gene_key") + shift) / 4).cast("string"))
     own = fx.variants.filter("beta <> 0").select(
         "snp", name(0).alias("tf"), F.col("beta").alias("score"),
         F.when(F.col("beta") < 0, "loss").otherwise("gain").alias("effect"),
@@ -170,17 +170,12 @@ def tf_snp(fx: Fixtures) -> DataFrame:
 
 @query("rank_tfs", with_views("variants genes", f"""with {_TF_SNP},
   hits as (select distinct t.snp, r.gene_key, t.tf, t.score from tf_snp t join regulates r on r.tf=t.tf
-           join variants v on v.snp=t.snp and v.chr=(r.gene_key%22)+1 and t.effect in ('loss','gain'))
+           where t.effect in ('loss','gain'))
 select snp, gene_key, tf, abs(score) as abs_score,
   cast(row_number() over (partition by snp, gene_key order by abs(score) desc, tf, score) as int) as tf_rank from hits"""))
 def _(fx):
-    # targets on the variant's own chromosome; the chromosome is part of the join key
-    regulates = fx.genes.filter("gene_key % 5 = 0").select(
-        F.concat_ws("@", F.concat(F.lit("tf"), (F.col("gene_key") % 40).cast("string")), "chr").alias("tf"), "gene_key"
-    ).distinct()
-    scores = tf_snp(fx).join(fx.variants.select("snp", "chr"), "snp")
-    scores = scores.withColumn("tf", F.concat_ws("@", "tf", "chr"))
-    return ev.rank_tfs(scores, regulates).withColumn("tf", F.substring_index("tf", "@", 1))
+    tf = F.concat(F.lit("tf"), F.floor(F.col("gene_key") / 4).cast("string"))
+    return ev.rank_tfs(tf_snp(fx), fx.genes.select(tf.alias("tf"), "gene_key").distinct())
 
 
 @query("tfbs_chain", with_views("tfbs enhancers", """
@@ -228,11 +223,10 @@ def _(fx):
 @query("region_windows", with_views("variants", """
 with lead as (select * from (select *, row_number() over (partition by chr, cast(floor(bp/1000000) as bigint) order by p, snp) as rn
       from variants where p<5e-8) t where rn=1),
-  numbered as (select *, row_number() over (order by chr, bp, snp) as k from lead),
-  sig as (select * from variants where p<5e-8)
+  numbered as (select *, row_number() over (order by chr, bp, snp) as k from lead)
 select 'chr'||cast(l.chr as varchar)||':'||cast(l.bp as varchar) as region_id, cast((l.k-1)//5 as bigint) as batch_id, count(*) as n_variants,
   min(s.bp) as first_bp, max(s.bp) as last_bp
-from numbered l join sig s on s.chr=l.chr and s.bp between l.bp-100000 and l.bp+100000
+from numbered l join variants s on s.chr=l.chr and s.bp between l.bp-2000000 and l.bp+2000000
 group by 1,2 having count(*)>=2"""))
 def _(fx):
     from locusloom.operators.finemap import region_batches
@@ -243,7 +237,7 @@ def _(fx):
         F.concat(F.lit("chr"), F.col("chr").cast("string"), F.lit(":"), F.col("bp").cast("string")).alias("region_id"),
     )
     batches = region_batches(leads, 5)
-    members = iv.region_members(leads.select("region_id", "chr", "center"), sig.select("snp", "chr", "bp"), 100)
+    members = iv.region_members(leads.select("region_id", "chr", "center"), fx.variants.select("snp", "chr", "bp"), 2000)
     stats = members.groupBy("region_id").agg(
         F.count("*").alias("n_variants"), F.min("bp").alias("first_bp"), F.max("bp").alias("last_bp")
     )
@@ -309,8 +303,17 @@ def _(fx):
   freq as (select snp, cast(gene_key as varchar) as gene, rule, count(*)/{_SAMPLES}::double as prob from drawn where rule is not null group by 1,2,3)
 select e.snp, cast(e.gene_key as varchar) as gene, f.rule,
   '{{"nodes":[{{"id":"'||f.gene||'","type":"gene"}},{{"id":"'||e.snp||'","type":"snp"}}],"edges":[{{"source":"'||e.snp||'","target":"'||f.gene||'","label":"'||e.pred||'"}}],"prob":{{"value":'||cast(f.prob as varchar)||'}}}}' as graph
-from evidence e join freq f on f.snp=e.snp and f.gene=cast(e.gene_key as varchar) and f.rule=e.pred"""))
+from evidence e join freq f on f.snp=e.snp and f.gene=cast(e.gene_key as varchar) and f.rule=e.pred
+union all
+select f.snp, f.gene, f.rule, '{{"nodes":['||(select string_agg('{{"id":"'||id||'","type":"'||type||'"}}', ',' order by id, type)
+    from (values (f.gene, 'gene'), (f.snp, 'snp'), (l.enh, l.kind)) n(id, type))||'],"edges":['||
+  (select string_agg('{{"source":"'||source||'","target":"'||target||'","label":"'||label||'"}}', ',' order by source, target, label)
+    from (values (f.snp, f.gene, 'regulatory_effect'), (f.snp, l.enh, 'in_regulatory_region'), (l.enh, f.gene, 'associated_with')) e(source, target, label))||
+  '],"prob":{{"value":'||cast(f.prob as varchar)||'}}}}' as graph
+from freq f join (select v.snp, cast(e.enh_key as varchar) as enh, e.kind, cast(a.gene_key as varchar) as gene from variants v
+    join enhancers e on e.chr=v.chr and (abs(v.bp-e.e_start)<=50000 or abs(v.bp-e.e_end)<=50000)
+    join associated_with a on a.enh_key=e.enh_key) l on l.snp=f.snp and l.gene=f.gene where f.rule='regulatory_effect'"""))
 def _(fx):
     rows = pf.proofs(fx.variants, fx.enhancers, fx.associated_with, fx.evidence)
     graphs = pf.proof_graphs(rows, pf.sampled_proofs(relevant(fx), _SAMPLES))
-    return graphs.filter(F.col("rule") != "regulatory_effect").select("snp", "gene", "rule", "graph")
+    return graphs.select("snp", "gene", "rule", "graph")

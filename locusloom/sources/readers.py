@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,6 @@ from pyspark.sql import types as T
 
 from locusloom.functions.running import numbered
 
-SUMSTATS_SUFFIXES = ("tsv", "csv", "txt", "gz", "bgz")
 BIM_SCHEMA = "chr int, snp string, cm double, pos bigint, a1 string, a2 string"
 ANNOTATED_SCHEMA = (
     "chrom string, pos bigint, ref string, alt string, coding string, hugo string, so string, "
@@ -37,22 +38,40 @@ def clean_header(names: list[str]) -> list[str]:
     return [n.strip('"').lstrip("#").strip() for n in names]
 
 
+def _headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Files by their first line that is no ``##`` preamble."""
+    lines = spark.read.text(files).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    first = lines.filter((F.col("file_block_start") == 0) & ~F.col("value").startswith("##"))
+    found: dict[str, list[str]] = {}
+    for row in first.groupBy("file_path").agg(F.min_by("value", "at").alias("header")).orderBy("file_path").collect():
+        found.setdefault(row.header, []).append(unquote(row.file_path))
+    return found
+
+
 def read_sumstats(spark: SparkSession, path: str) -> DataFrame:
     """Delimited summary statistics, every column as text.
 
-    Preamble and header lines are filtered by value, so plain files stay splittable.
-    ``.bgz`` files go through their own block reader.
+    Files are read by their own headers and united by column name; a file's missing columns are null. Preamble and
+    header lines are filtered by value, so plain files stay splittable. ``.bgz`` files go through a block reader.
     """
-    if path.rstrip("/").endswith(".bgz"):
-        return _split_lines(read_bgz_lines(spark, path))
-    header = first_line(spark, path)
-    sep = sniff_separator(header)
-    names = clean_header(header.split(sep))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(schema).option("sep", sep).csv(path)
-    head = F.col(f"`{names[0]}`")
-    raw_head = header.split(sep)[0].strip('"')
-    return rows.filter(head.isNull() | ~(head.startswith("##") | (head == raw_head)))
+    files = [unquote(f) for f in spark.read.text(path).inputFiles()]
+    blocked = [f for f in files if f.endswith(".bgz")]
+    plain = [f for f in files if not f.endswith(".bgz")]
+    groups = _headers(spark, plain) if len(plain) > 1 else {first_line(spark, plain[0]): plain} if plain else {}
+    parts = [_split_lines(read_bgz_lines(spark, f)) for f in blocked]
+    for header, members in groups.items():
+        sep = sniff_separator(header)
+        names = clean_header(header.split(sep))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        rows = spark.read.schema(schema).option("sep", sep).csv(members)
+        head = F.col(f"`{names[0]}`")
+        raw_head = header.split(sep)[0].strip('"')
+        parts.append(rows.filter(head.isNull() | ~(head.startswith("##") | (head == raw_head))))
+    if not parts:
+        raise ValueError(f"no file in {path}")
+    if not set.intersection(*[set(p.columns) for p in parts]):
+        raise ValueError(f"the files of {path} have no column in common")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_bgz_lines(spark: SparkSession, path: str) -> DataFrame:
