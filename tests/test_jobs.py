@@ -119,16 +119,20 @@ def test_progress_weights(spark):
     assert {r.hypothesis_id: r.progress for r in hi.progress(df).collect()} == {"h": 100.0, "g": 20.0}
 
 
-def test_run_state_survives_micro_batches(spark, tmp_path):
-    """Three files, one per trigger: the run that ends in the last one counts all of them."""
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1), (1, 2, 0)])
+@pytest.mark.parametrize("files", [1, 9])
+def test_runs_do_not_depend_on_batches(spark, tmp_path, order, files):
+    """The same three updates, in any order, one file per trigger or all at once, make the same run."""
     schema = "hypothesis_id string, event_id bigint, ts timestamp, task string, state string, progress double, details string"
     rows = [("h", 1, "Getting candidate genes", "completed"), ("h", 2, "Predicting causal gene", "completed"), ("h", 3, "Creating enrich data", "completed")]
-    for i, (h, e, t, s) in enumerate(rows):
+    for k in order:
+        h, e, t, s = rows[k]
         part = spark.createDataFrame([(h, e, None, t, s, 0.0, None)], schema).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000 + e)))
         part.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     own = st.streaming_session(spark)
-    live = own.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    out = st.run_to_parquet(st.finished_runs(live), spark, "t").collect()
+    live = own.readStream.schema(schema).option("maxFilesPerTrigger", files).json(str(tmp_path / "in"))
+    closed, end = st.with_end(live, spark)
+    out = st.run_to_parquet(st.finished_runs(closed), spark, "t", end=end).collect()
     assert [(r.hypothesis_id, r.updates, r.progress, r.state) for r in out] == [("h", 3, 50.0, "completed")]
 
 
