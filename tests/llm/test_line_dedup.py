@@ -22,10 +22,11 @@ def plain(docs):
             x = root[x]
         return x
 
+    sets = [shingles(x) for x in lines]
     for i, a in enumerate(lines):
-        for b in lines[:i]:
-            x, y = shingles(a), shingles(b)
-            if x and y and len(x & y) >= 0.8 * len(x | y):
+        for b, y in zip(lines[:i], sets[:i], strict=True):
+            x = sets[i]
+            if x and y and 0.8 * max(len(x), len(y)) <= min(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
                 root[find(a)] = find(b)
     seen, gone = set(), set()
     for i, t, p, x in sorted(spots, key=lambda s: (s[0], s[2])):
