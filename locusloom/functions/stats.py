@@ -1,38 +1,33 @@
-"""Tail probabilities the SQL functions lack, vectorised over Arrow batches."""
+"""Tail probabilities the SQL functions lack: as column expressions, or vectorised over Arrow batches."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def log_factorial(n: np.ndarray) -> np.ndarray:
-    """ln n! for whole n >= 0: exact sums below 32, Stirling's series above."""
-    n = np.asarray(n, dtype=float)
-    small = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 33)))])
-    x = np.maximum(n, 1.0)
-    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
-    big = x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + series
-    return np.where(n <= 32, small[np.minimum(n, 32).astype(int)], big)
-
-
-def hypergeometric_tail(x: int, k: int, m: int, n: int) -> float:
-    """P(X >= x) when k genes are drawn from n of which m carry the term."""
-    i = np.arange(x, min(k, m) + 1)
-    i = i[k - i <= n - m]
-    if x <= max(0, k + m - n):
-        return 1.0
-    if not len(i):
-        return 0.0
-    choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
-    return float(min(1.0, np.exp(choose(m, i) + choose(n - m, k - i) - choose(n, k)).sum()))
+def log_factorial(n: Column) -> Column:
+    """ln n! for whole n >= 0: exact below 21, Stirling's series above."""
+    x = F.greatest(n, F.lit(1)).cast("double")
+    series = 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    large = x * F.log(x) - x + 0.5 * F.log(2 * np.pi * x) + series
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(large)
 
 
-@F.pandas_udf(T.DoubleType())
-def over_representation_p(x: pd.Series, k: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([hypergeometric_tail(*map(int, row)) for row in zip(x, k, m, n)])
+def over_representation_p(x: Column, k: Column, m: Column, n: Column) -> Column:
+    """P(X >= x) when k genes are drawn from n of which m carry the term.
+
+    The first probability comes from log-factorials, each further one from the one before."""
+    choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
+    first = F.exp(choose(m, x) + choose(n - m, k - x) - choose(n, k))
+    start = F.struct(first.alias("term"), F.lit(0.0).alias("sum"))
+    step = lambda a, i: F.struct(
+        (a["term"] * (m - i) * (k - i) / ((i + 1) * (n - m - k + i + 1))).alias("term"), (a["sum"] + a["term"]).alias("sum"))
+    total = F.aggregate(F.sequence(x, F.least(k, m)), start, step, lambda a: a["sum"])
+    return F.when(x <= F.greatest(F.lit(0), k + m - n), 1.0).when(x > F.least(k, m), 0.0).otherwise(F.least(total, F.lit(1.0)))
 
 
 def _log_gamma_half(n2: np.ndarray) -> np.ndarray:

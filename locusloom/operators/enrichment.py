@@ -32,7 +32,7 @@ def overlap_counts(lists: DataFrame, library: DataFrame, background: DataFrame)
 def over_representation(lists: DataFrame, library: DataFrame, background: DataFrame) -> DataFrame:
     """Upper hypergeometric tail and its FDR per (list, term) with at least one shared gene."""
     counts = overlap_counts(lists, library, background)
-    p = over_representation_p("overlap", "list_size", "term_size", "universe")
+    p = over_representation_p(*[F.col(c) for c in ("overlap", "list_size", "term_size", "universe")])
     tested = cut_lineage(counts.withColumn("p", p))  # small, and read several times below
     return benjamini_hochberg(tested, ["list_id"], "p", "adjusted_p")
 

@@ -37,7 +37,7 @@ def em_step(patterns: DataFrame, keys: Sequence[str], rules: Sequence[str], weig
         *[(F.sum(hits[r]) / F.nullif(F.sum(F.col("n") * F.col(r)), F.lit(0))).alias(r) for r in rules])
 
 
-def _fit(flags: np.ndarray, label: np.ndarray, n: np.ndarray, w: np.ndarray, eps: float, max_steps: int = 100_000):
+def _fit(flags: np.ndarray, label: np.ndarray, n: np.ndarray, w: np.ndarray, eps: float, max_steps: int):
     applied = (flags * n[:, None]).sum(0)
     last, converged = -np.inf, False
     for _ in range(max_steps):
@@ -53,7 +53,8 @@ def _fit(flags: np.ndarray, label: np.ndarray, n: np.ndarray, w: np.ndarray, eps
 
 
 def learn_weights(
-    patterns: DataFrame, key: str, rules: Sequence[str], eps: float = EPS, restarts: int = RESTARTS, seed: int = 42
+    patterns: DataFrame, key: str, rules: Sequence[str], eps: float = EPS, restarts: int = RESTARTS, seed: int = 42,
+    max_steps: int = 100_000,
 ) -> DataFrame:
     """(key, rule weights, log_likelihood, converged): best of several EM runs per key.
 
@@ -66,7 +67,7 @@ def learn_weights(
         flags, label, n = pdf[rules].to_numpy(float), pdf["label"].to_numpy(bool), pdf["n"].to_numpy(float)
         rng = np.random.default_rng(seed)
         starts = [np.full(len(rules), START_WEIGHT)] + [rng.uniform(0.01, 0.99, len(rules)) for _ in range(restarts - 1)]
-        w, ll, converged = max((_fit(flags, label, n, s, eps) for s in starts), key=lambda f: f[1])
+        w, ll, converged = max((_fit(flags, label, n, s, eps, max_steps) for s in starts), key=lambda f: f[1])
         return pd.DataFrame([[pdf[key].iloc[0], *w, ll, converged]], columns=[key, *rules, "log_likelihood", "converged"])
 
     schema = f"{key} int, " + ", ".join(f"{r} double" for r in rules) + ", log_likelihood double, converged boolean"

@@ -149,6 +149,30 @@ def members(fx):
         F.col("region").alias("region_id"), "id", z.alias("z"), F.lit(5000).cast("long").alias("n"), F.lit(0.3).alias("frq"), "u", "pos")
 
 
+def _single_sql() -> str:
+    """One effect per region: three grids of prior variances, each between the neighbours of the best before."""
+    lbf = "0.5*ln(s2/(v+s2))+0.5*bhat*bhat/s2*v/(v+s2)"
+    ctes = ["""tz as (select region, id, sqrt(4999/(z*z+4998))*z/sqrt(4999.0::double) as bhat, 1/4999.0::double as s2, count(*) over (partition by region) as m from z)""",
+            "g0 as (select distinct region, -14.0::double as lo, 4.0::double as hi from tz)"]
+    for i in range(3):
+        ctes += [f"p{i} as (select region, k, lo+(hi-lo)*k/12 as x from g{i}, range(13) t(k))",
+                 f"""l{i} as (select p.region, p.k, p.x, any_value(m) as m, max({lbf.replace('v', 'exp(x)')}) as top from tz join p{i} p using (region) group by 1,2,3)""",
+                 f"""e{i} as (select l.region, l.k, l.x, any_value(l.m) as m, any_value(top)+ln(sum(exp({lbf.replace('v', 'exp(l.x)')}-top))) as ev from tz join l{i} l using (region) group by 1,2,3)""",
+                 f"b{i} as (select region, arg_max(k, ev) as k, max(ev) as ev, any_value(m) as m from e{i} group by 1)",
+                 f"""g{i + 1} as (select b.region, min(x) filter (where p.k=greatest(b.k-1,0)) as lo, max(x) filter (where p.k=least(b.k+1,12)) as hi, any_value(x) filter (where p.k=b.k) as x, any_value(b.ev) as ev, any_value(b.m) as m from b{i} b join p{i} p using (region) group by 1)"""]
+    return ",\n".join(ctes) + f""", r as (select tz.*, exp({lbf.replace('v', 'exp(x)')}-ev) as pip, ev>ln(g3.m) as live from tz join g3 using (region))"""
+
+
+@query("susie_single_effect", f"""with {_SCORES},
+ ce as (select region, arg_min(u, id) as c1, arg_max(u, id) as c2 from c group by region),
+ z as (select region, id, 11*list_cosine_similarity(u, c1)+9*list_cosine_similarity(u, c2)+cast('0x'||substr(md5(cast(id as varchar)),1,4) as int)/65536.0::double-0.5::double as z from c join ce using(region)),
+ {_single_sql()}
+select region as region_id, id, round(case when live then pip else 0 end,5) as pip from r""")
+def _(fx):
+    out = fm.susie_finemap(members(fx), effects=1, key_type="int", id_type="bigint")
+    return out.select("region_id", "id", F.round("pip", 5).alias("pip"))
+
+
 @query("susie_finemap")
 def _(fx):
     # iterative; tests check simulated regions with known causal variants
@@ -193,6 +217,37 @@ def _(fx):
     return _h2_sums(fx).select("cell_type", "block", *[F.round(c, 4).alias(c) for c in ("cell_cell", "cell_y", "base_y")], "rows")
 
 
+_SUMS = ("cc", "cb", "co", "cy", "bb", "bo", "b_y", "oo", "o_y")
+
+
+def _det(first: tuple[str, str, str]) -> str:
+    """Determinant of the normal equations with ``first`` as their first column."""
+    x, y, z = first
+    return f"({x}*(bb*oo-bo*bo)-cb*({y}*oo-bo*{z})+co*({y}*bo-bb*{z}))"
+
+
+_CELL = f"{_det(('cy', 'b_y', 'o_y'))}/{_det(('cc', 'cb', 'co'))}/5000.0::double"
+
+
+@query("h2_jackknife", f"""with {_SCORES},
+ e as (select region, arg_min(u, id) as c1, arg_max(u, id) as c2 from c group by region),
+ z as (select id, 11*list_cosine_similarity(u, c1)+9*list_cosine_similarity(u, c2)+cast('0x'||substr(md5(cast(id as varchar)),1,4) as int)/65536.0::double-0.5::double as z from c join e using(region)),
+ b as (select *, z*z as chi2, cast((row_number() over (order by id)-1)*{BLOCKS}//count(*) over () as int) as block from z),
+ j as (select b.*, l.score as base from b join ls l on l.id=b.id and l.category=0),
+ m as (select greatest((avg(chi2)-1)/avg(base),0) as ratio from j),
+ w as (select j.*, 1/(greatest(base,1)*power(1+ratio*greatest(base,1),2)) as w from j, m),
+ s as (select 'cell'||cast(l.category as varchar) as name, w.block, sum(w*l.score*l.score) as cc, sum(w*l.score*base) as cb, sum(w*l.score) as co, sum(w*l.score*chi2) as cy,
+   sum(w*base*base) as bb, sum(w*base) as bo, sum(w*base*chi2) as b_y, sum(w) as oo, sum(w*chi2) as o_y from w join ls l on l.id=w.id and l.category>0 group by 1,2),
+ t as (select name, {", ".join(f"sum({k}) as {k}" for k in _SUMS)}, count(*) as k from s group by 1),
+ whole as (select name, k, {_CELL} as est from t),
+ d as (select s.name, {", ".join(f"t.{k}-s.{k} as {k}" for k in _SUMS)} from s join t using (name)),
+ parts as (select d.name, k*est-(k-1)*{_CELL} as pseudo, k from d join whole using (name))
+select name, round(avg(pseudo)*1e4,6) as coefficient_e4, round(stddev_samp(pseudo)/sqrt(any_value(k))*1e4,6) as std_error_e4 from parts group by name""")
+def _(fx):
+    out = h2.cell_type_coefficients(_h2_sums(fx))
+    return out.select("name", F.round(F.col("coefficient") * 1e4, 6).alias("coefficient_e4"), F.round(F.col("std_error") * 1e4, 6).alias("std_error_e4"))
+
+
 @query("h2_cell_type")
 def _(fx):
     # small solves per cell type on block sums; the sums themselves are checked by h2_block_sums

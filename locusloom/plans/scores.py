@@ -197,6 +197,25 @@ def _(fx):
     return out.select("fold", *[F.round(r, 6).alias(r) for r in RULES])
 
 
+def _em_sql(steps: int) -> str:
+    """The EM updates of every fold, written out."""
+    miss = "(1-w.r*p.r)*(1-w.e*p.e)*(1-w.a*p.a)"
+    part = lambda k: f"case when sum(n*p.{k})>0 then sum(case when label and p.{k}=1 then n*w.{k}/(1-{miss}) else 0 end)/sum(n*p.{k}) else any_value(w.{k}) end as {k}"
+    ctes = ["pat as (select fold, r, e, a, label, count(*) as n from ex where split='train' group by all)",
+            f"w0 as (select distinct fold, {le.START_WEIGHT}::double as r, {le.START_WEIGHT}::double as e, {le.START_WEIGHT}::double as a from pat)"]
+    for i in range(steps):
+        ctes.append(f"w{i + 1} as materialized (select p.fold, {part('r')}, {part('e')}, {part('a')} from pat p join w{i} w on w.fold=p.fold group by p.fold)")
+    return ",\n".join(ctes)
+
+
+@query("em_ten_steps", with_views(_EX_VIEWS, f"""with {_EX}, {_em_sql(10)}
+select fold, round(r,6) as regulatory_effect, round(e,6) as eqtl_association, round(a,6) as activity_by_contact from w10"""))
+def _(fx):
+    patterns = le.firing_patterns(_examples(fx).filter("split = 'train'"), ["fold"], RULES)
+    out = le.learn_weights(patterns, "fold", RULES, eps=0.0, restarts=1, max_steps=10)
+    return out.select("fold", *[F.round(r, 6).alias(r) for r in RULES])
+
+
 @query("em_weights")
 def _(fx):
     # iterative; tests check the fixed point against closed forms
