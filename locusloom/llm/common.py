@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from contextlib import suppress
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusloom.functions.session import scratch_path
 
-BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -19,6 +24,14 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def release() -> None:
+    """Give a Python worker's freed memory back at the end of a task: workers live on, and wait beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # no such call outside glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here and no executor holds the only copy."""
     path = scratch_path(df.sparkSession, name)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import bounded_batches
+from locusloom.llm.common import bounded_batches, release
 from locusloom.llm.registry import query, table
 
 ALIGNED = 80
@@ -405,6 +405,7 @@ def visible_text(page: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([render(x) for x in batch], dtype=object)
+        release()
 
     return run(page)
 

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import bounded_batches
+from locusloom.llm.common import bounded_batches, release
 from locusloom.llm.registry import query, table
 
-BUCKETS, SWITCH, FIT_ROWS, SLICE_CHARS = 1 << 16, 8.0, 4000, 1_000_000
+BUCKETS, SWITCH, FIT_ROWS, SLICE_CHARS = 1 << 16, 8.0, 4000, 400_000
 SPANS = "array<struct<start:int,end:int,lang:string,words:int,letters:int>>"
 _OUT = -1e6
 _USED = 0.01  # a language uses a script that has this share of its letters
@@ -218,6 +218,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", draw: C
                         row[BUCKETS:] += np.bincount(words.script, words.letters, SCRIPTS).astype(np.int64)
         lang, bucket = np.nonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(found[lang, bucket])], ["lang", "bucket", "n"])
+        release()
 
     counted = sample.mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     full = np.zeros((len(langs), BUCKETS + SCRIPTS))
@@ -242,6 +243,7 @@ def label_spans(text: Column, model: Model, spark) -> Column:
                 yield pd.Series([[] for _ in batch], dtype=object)
                 continue
             yield pd.Series(spans_of(["" if x is None else x for x in batch], shared.value), dtype=object)
+        release()
 
     return label(text)
 

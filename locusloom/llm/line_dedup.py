@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import bounded_batches, components, saved
+from locusloom.llm.common import bounded_batches, components, release, saved
 from locusloom.llm.registry import query, table
 
 SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 12, 4
@@ -123,6 +123,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 pa.array(np.concatenate([band[head], a ^ b])), pa.array(np.concatenate([key[head], a])),
                 pa.array(np.concatenate([np.zeros(len(head), np.int64), b]), mask=np.arange(len(head) + len(a)) < len(head)),
             ], ["band", "a", "b"])
+        release()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_band, last_first = None, None
@@ -166,6 +167,7 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
             at = np.mod(key, BITS)
             keep = pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
             yield pa.RecordBatch.from_arrays([pa.array(key).filter(keep), lines.filter(keep)], ["key", "line"])
+        release()
 
     found = docs.select("text").mapInArrow(pick, "key long, line string")
     return found.join(keys, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
@@ -189,6 +191,7 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
                 both = len(known & other)
                 keep.append(both >= SIMILAR * (len(known) + len(other) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        release()
 
     met = pairs.join(lines.select(F.col("key").alias("b"), F.col("line").alias("y")), "b").join(
         lines.select(F.col("key").alias("a"), F.col("line").alias("x")), "a")

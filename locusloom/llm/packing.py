@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import bounded_batches, saved
+from locusloom.llm.common import bounded_batches, release, saved
 from locusloom.llm.registry import query, table
 
 LENGTH, OPEN, SLACK, FAN, END_ID = 2048, 64, 16, 64, 1
@@ -233,6 +233,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         if schema:
             windows.close()
             yield windows.take(schema, part)
+        release()
 
     first = saved(given.mapInArrow(run, f"id {kind}, {PIECES}"), "pieces")
     done = [first.filter("not open")]

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import bounded_batches
+from locusloom.llm.common import bounded_batches, release
 from locusloom.llm.registry import query, table
 
 CHUNK, OVERLAP, WIDTH, STRIDE, EMBED, FILTERS = 1024, 128, 8, 2, 8, 24
@@ -194,6 +194,7 @@ def quality_score(text: Column, net: Network | float, spark) -> Column:
         tables = shared.value.tables()
         for batch in batches:
             yield pd.Series(score_texts([_encode(x) for x in batch], shared.value, tables))
+        release()
 
     return score(text)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locusloom.llm.common import bounded_batches, components, saved
+from locusloom.llm.common import bounded_batches, components, release, saved
 from locusloom.llm.registry import query, table
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -65,6 +65,7 @@ def fingerprints(text: Column, width: int = 3) -> Column:
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([fingerprint(x, width) for x in batch], dtype="int64")
+        release()
 
     return compute(text)
 
