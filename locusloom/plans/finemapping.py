@@ -91,14 +91,12 @@ def _(fx):
 
 
 @query("fallback_sets", with_views("variants", f"""with {_ABF},
- hi as (select * from pp where pip>0.1), rk as (select *, row_number() over (partition by region_id order by round(lbf,9) desc, id) as rn from pp where region_id not in (select region_id from hi))
+ pr as (select region_id, id, round(pip,12) as pip from pp),
+ hi as (select * from pr where pip>0.1), rk as (select *, row_number() over (partition by region_id order by pip desc, id) as rn from pr where region_id not in (select region_id from hi))
 select region_id, id, 1 as cs from hi union all select region_id, id, 1 from rk where rn<=10"""))
 def _(fx):
-    # the rounded evidence orders equal probabilities the same way in every engine
-    pips = _abf(fx)
-    high = pips.filter(F.col("pip") > 0.1)
-    rest = pips.join(high.select("region_id").distinct(), "region_id", "left_anti").withColumn("pip", F.round("lbf", 9) / 1e6)
-    return fm.fallback_set(high).unionByName(fm.fallback_set(rest)).select("region_id", "id", "cs")
+    # rounded, so that equal probabilities are equal in every engine
+    return fm.fallback_set(_abf(fx).withColumn("pip", F.round("pip", 12))).select("region_id", "id", "cs")
 
 
 @query("padded_pips", with_views("variants", f"""with {_ABF}

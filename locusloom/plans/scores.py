@@ -250,11 +250,13 @@ def _(fx):
 
 
 @query("task_progress", with_views("updates", """
-with d as (select hypothesis_id, sum(case task when 'Getting candidate genes' then 10 when 'Predicting causal gene' then 20 when 'Getting relevant gene proof' then 20
+with d as (select hypothesis_id||'@'||strftime(ts, '%Y-%m-%d') as hypothesis_id, sum(case task when 'Getting candidate genes' then 10 when 'Predicting causal gene' then 20 when 'Getting relevant gene proof' then 20
    when 'Creating enrich data' then 20 else 0 end) as e, sum(case when task='Generating hypothesis' then 2 else 0 end) as h from updates where state='completed' group by 1)
 select hypothesis_id, round(least(e/80.0::double*80+h/20.0::double*20,100.0::double),2) as progress from d"""))
 def _(fx):
-    return hi.progress(fx.updates)
+    # a run a day: over the whole month every hypothesis is complete
+    day = F.concat_ws("@", "hypothesis_id", F.date_format("ts", "yyyy-MM-dd"))
+    return hi.progress(fx.updates.withColumn("hypothesis_id", day))
 
 
 @query("latest_state", with_views("updates", """
