@@ -10,14 +10,6 @@ from pyspark.sql import functions as F
 
 from locusloom.functions.running import salted_join, top_k
 
-# The request texts around the gene list.
-TASK_TEXT = (
-    "You are an expert in biology and genetics. Your task is to identify likely causal genes within a locus "
-    "for a given GWAS phenotype based on literature evidence."
-)
-RETRY_TEXT = "You previously identified %s as a causal gene. Your prediction couldn't be verified by the following rule: %s"
-
-
 def _dot(a: Column, b: Column) -> Column:
     product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(product, F.lit(0.0), lambda s, v: s + v)
@@ -124,12 +116,29 @@ def gene_list_text(genes: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(genes), lambda g: F.concat(F.lit("{"), g, F.lit("}"))), ",")
 
 
-def prompts(requests: DataFrame) -> DataFrame:
-    """(request_id, system, user) from phenotype, genes array and, on a retry, prev_gene and rule."""
-    retry = F.format_string(TASK_TEXT + " " + RETRY_TEXT, "prev_gene", "rule")
+def prompts(requests: DataFrame, task: str, answer: str, retry: str) -> DataFrame:
+    """(request_id, system, user) from phenotype, genes array and, on a retry, prev_gene and rule.
+
+    The system text is ``task``, on a retry ``retry`` with its two %s filled, and ``answer``, which asks for a reply in the
+    form that :func:`parse_replies` reads.
+    """
+    again = F.concat(F.lit(" "), F.format_string(retry, "prev_gene", "rule"))
+    system = F.concat(F.lit(task), F.when(F.col("rule").isNull(), "").otherwise(again), F.lit(" " + answer))
     user = F.concat(F.lit("GWAS Phenotype: "), "phenotype", F.lit("\nGenes: "), gene_list_text(F.col("genes")))
-    return requests.select(
-        "request_id", F.when(F.col("rule").isNull(), TASK_TEXT).otherwise(retry).alias("system"), user.alias("user"))
+    return requests.select("request_id", system.alias("system"), user.alias("user"))
+
+
+def retry_requests(predictions: DataFrame, proofs: DataFrame, rule: str) -> DataFrame:
+    """The predictions whose gene no proof supports, as requests to be asked once more.
+
+    ``predictions(request_id, snp, phenotype, genes, causal_gene)``, ``proofs(snp, gene)``; ``rule`` names what failed,
+    with %s for the gene and the variant. A prediction without a gene is asked again without a rule.
+    """
+    proven = proofs.select("snp", F.col("gene").alias("causal_gene")).distinct()
+    failed = predictions.join(proven, ["snp", "causal_gene"], "left_anti")
+    return failed.select(
+        "request_id", "phenotype", "genes", F.col("causal_gene").alias("prev_gene"),
+        F.when(F.col("causal_gene").isNotNull(), F.format_string(rule, "causal_gene", "snp")).alias("rule"))
 
 
 REPLY_SCHEMA = "causal_gene string, confidence double, reason string, _corrupt_record string"

@@ -254,3 +254,12 @@ select distinct source||'/'||lang||'.tsv.bgz' as path, lang as stem from documen
 def _(fx):
     path = F.concat("source", F.lit("/"), "lang", F.lit(".tsv.bgz"))
     return fx.documents.select(path.alias("path"), C.file_stem(path).alias("stem")).distinct()
+
+
+@query("node_facts", with_views("genes", "select 'gene' as type, lower(gene_id) as id from genes union all select 'snp', 'rs'||cast(gene_key as varchar) from genes"))
+def _(fx):
+    path = scratch_path(fx.spark, "nodes")
+    fact = lambda kind, id_: F.format_string(f"{kind}(%s).", id_)
+    genes = fx.genes.select(fact("gene", F.lower("gene_id")).alias("value"))
+    genes.union(fx.genes.select(fact("snp", F.concat(F.lit("rs"), F.col("gene_key").cast("string"))))).write.text(path)
+    return kb.read_nodes(fx.spark, path)

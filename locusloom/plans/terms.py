@@ -239,10 +239,29 @@ def _(fx):
     return fx.part.select("p_partkey", rt.term_text(F.col("p_name"), desc).alias("text"), rt.term_text(F.col("p_name"), F.col("p_type"), "\n").alias("faiss_text"))
 
 
+_TASK = "Name the gene of the list that most likely causes the phenotype."
+_ANSWER = "Reply with one JSON object that has the keys causal_gene, confidence and reason."
+_AGAIN = "The earlier reply %s was not confirmed by %s."
+
+
+@query("retry_prompts", with_views("variants evidence", f"""
+with p as (select snp as request_id, snp, gene_key+(bp%2)*22 as gene, gene_key from variants)
+select request_id, '{_TASK} The earlier reply '||cast(gene as varchar)||' was not confirmed by relevant_gene('||cast(gene as varchar)||', '||snp||'). {_ANSWER}' as system,
+ 'GWAS Phenotype: height'||chr(10)||'Genes: '||array_to_string(list_transform(list_sort(['G'||cast(gene_key as varchar), 'G'||cast(gene_key+22 as varchar)]), lambda x: '{{'||x||'}}'), ',') as "user"
+from p where not exists (select 1 from evidence e where e.snp=p.snp and e.gene_key=p.gene)"""))
+def _(fx):
+    g = F.col("gene_key")
+    name = lambda c: F.concat(F.lit("G"), c.cast("string"))
+    predictions = fx.variants.select(
+        F.col("snp").alias("request_id"), "snp", F.lit("height").alias("phenotype"), F.array(name(g), name(g + 22)).alias("genes"),
+        (g + F.col("bp") % 2 * 22).cast("string").alias("causal_gene"))
+    proofs = fx.evidence.select("snp", g.cast("string").alias("gene"))
+    return rt.prompts(rt.retry_requests(predictions, proofs, "relevant_gene(%s, %s)"), _TASK, _ANSWER, _AGAIN)
+
+
 @query("prompt_table", f"""
 with g as (select l_orderkey, list_sort(list(distinct 'G'||cast(l_partkey as varchar))) as genes from lineitem group by 1)
-select o_orderkey as request_id, '{rt.TASK_TEXT}'||case when o_orderkey%3=0 then ' You previously identified G'||cast(o_custkey as varchar)||
- ' as a causal gene. Your prediction couldn''t be verified by the following rule: r'||cast(o_custkey as varchar) else '' end as system,
+select o_orderkey as request_id, '{_TASK}'||case when o_orderkey%3=0 then ' The earlier reply G'||cast(o_custkey as varchar)||' was not confirmed by r'||cast(o_custkey as varchar)||'.' else '' end||' {_ANSWER}' as system,
  'GWAS Phenotype: '||o_orderpriority||chr(10)||'Genes: '||array_to_string(list_transform(genes, lambda x: '{{'||x||'}}'), ',') as "user"
 from g join orders on o_orderkey=l_orderkey""")
 def _(fx):
@@ -253,7 +272,7 @@ def _(fx):
     rows = genes.join(fx.orders, genes.l_orderkey == fx.orders.o_orderkey).select(
         F.col("o_orderkey").alias("request_id"), F.col("o_orderpriority").alias("phenotype"), "genes",
         F.when(retry, F.concat(F.lit("G"), c)).alias("prev_gene"), F.when(retry, F.concat(F.lit("r"), c)).alias("rule"))
-    return rt.prompts(rows)
+    return rt.prompts(rows, _TASK, _ANSWER, _AGAIN)
 
 
 def _replies(fx):
