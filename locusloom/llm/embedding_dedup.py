@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import bounded_batches, components, local_components, saved
+from locusloom.llm.common import bounded_batches, components, local_components, release, saved
 from locusloom.llm.registry import query, table
 from locusloom.llm.vectors import matrix, usable
 
-BLOCKS, TILE, STRIP, VERIFY = 4, 4096, 512, 50_000
+BLOCKS, TILE, STRIP, VERIFY = 4, 8192, 512, 50_000
 
 
 @cache
@@ -43,6 +43,8 @@ def blocks_of(dim: int) -> list[np.ndarray]:
 
 
 def units(rows: np.ndarray) -> np.ndarray:
+    """Rows at length 1, in doubles."""
+    rows = rows.astype(np.float64)
     scaled = rows / np.abs(rows).max(axis=1, keepdims=True)
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
@@ -78,7 +80,7 @@ def linked(a: np.ndarray, b: np.ndarray, block: int, cosine: float, same: bool)
                 yield x[first], y[first]
 
 
-def tiles(classes: DataFrame, cosine: float) -> DataFrame:
+def tiles(classes: DataFrame, kind: str) -> DataFrame:
     """(tile, dim, block, low, high, ids, counts, vecs) from (class, n, dim, vec); rows of a tile are neighbours along the block's
     first coordinate."""
 
@@ -86,7 +88,7 @@ def tiles(classes: DataFrame, cosine: float) -> DataFrame:
         for batch in batches:
             frame = batch.to_pandas()
             for dim, rows in frame.groupby("dim"):
-                turned = units(matrix(rows["vec"], dim)) @ rotation(dim)
+                turned = units(matrix(rows["vec"], dim, kind)) @ rotation(dim)
                 for number, part in enumerate(blocks_of(dim)):
                     yield pa.RecordBatch.from_pandas(rows.assign(block=number, place=turned[:, part[0]]), preserve_index=False)
 
@@ -122,9 +124,10 @@ def tiles(classes: DataFrame, cosine: float) -> DataFrame:
         pack, "tile long, dim long, block long, low double, high double, ids binary, counts binary, vecs binary"), "tiles")
 
 
-def class_links(classes: DataFrame, cosine: float) -> DataFrame:
-    """(class, links, root) from (class, n, dim, vec): how many rows of other classes link, and a spanning forest."""
-    tiled = tiles(classes, cosine)
+def class_links(classes: DataFrame, cosine: float, kind: str) -> DataFrame:
+    """(class, links, root) from (class, n, dim, vec): how many rows of other classes link, and a spanning forest.
+    ``kind`` is the numpy type of the packed vectors; all arithmetic is in doubles."""
+    tiled = tiles(classes, kind)
     meta = tiled.select("tile", "dim", "block", "low", "high")
     reach = F.sqrt(F.lit((2 - 2 * cosine) * 1.000001) / F.least(F.lit(BLOCKS), F.col("dim"))) * F.sqrt(
         F.ceil(F.col("dim") / F.least(F.lit(BLOCKS), F.col("dim"))) * F.least(F.lit(BLOCKS), F.col("dim")) / F.col("dim")
@@ -147,7 +150,7 @@ def class_links(classes: DataFrame, cosine: float) -> DataFrame:
                 same, dim = row["a"] == row["b"], row["dim"]
                 ids = [np.frombuffer(row[f"ids_{s}"], "<i8") for s in "ab"]
                 n = [np.frombuffer(row[f"counts_{s}"], "<i8") for s in "ab"]
-                a, b = (units(np.frombuffer(row[f"vecs_{s}"], "<f8").reshape(-1, dim)) for s in "ab")
+                a, b = (units(np.frombuffer(row[f"vecs_{s}"], kind).reshape(-1, dim)) for s in "ab")
                 shift = 0 if same else len(a)
                 both = np.zeros(len(a) + (0 if same else len(b)), np.int64)
                 label = np.arange(len(both))
@@ -158,6 +161,7 @@ def class_links(classes: DataFrame, cosine: float) -> DataFrame:
                 name = ids[0] if same else np.concatenate(ids)
                 found = np.flatnonzero(both)
                 yield pa.RecordBatch.from_arrays([pa.array(name[found]), pa.array(both[found]), pa.array(name[label[found]])], ["class", "links", "root"])
+        release()
 
     return met.select("a", "b", "dim", "block", *[f"{c}_{s}" for c in data for s in "ab"]).mapInArrow(run, "class long, links long, root long")
 
@@ -165,6 +169,7 @@ def class_links(classes: DataFrame, cosine: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) per row."""
     bounded_batches(vectors.sparkSession)
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"  # as given
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     some = usable(F.col("v")) & F.col("id").isNotNull() & F.exists("v", lambda x: x != 0)
     part = rows.filter(F.coalesce(some, F.lit(False)))
@@ -175,11 +180,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
         for batch in batches:
             lists = batch.column(3)
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            vecs = [flat[a:b].astype("<f8").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            vecs = [flat[a:b].astype(kind).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(vecs, pa.binary())], ["class", "n", "dim", "vec"])
 
     packed = saved(equal.select("class", "n", "dim", "v").mapInArrow(pack, "class long, n long, dim long, vec binary"), "vectors")
-    links = saved(class_links(packed, cosine), "links")
+    links = saved(class_links(packed, cosine, kind), "links")
     counts = links.groupBy("class").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
     named = saved(equal.select("class", "v", "least", "n").join(counts, "class", "left").join(roots, "class", "left").withColumn(
