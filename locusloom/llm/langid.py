@@ -55,7 +55,7 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     for i, ranges in enumerate(_RANGES.values()):
         for first, last in ranges:
             number[first : last + 1] = i + 1
-    for c in range(0x20, 0x30000):
+    for c in range(0x20, 0x32400):  # no letter lies beyond
         if unicodedata.category(chr(c))[0] == "L":
             script[c] = number[c]
             small = chr(c).lower()
@@ -245,7 +245,7 @@ def label_spans(text: Column, model: Model, spark) -> Column:
             yield pd.Series(spans_of(["" if x is None else x for x in batch], shared.value), dtype=object)
         release()
 
-    return label(text)
+    return label.asNondeterministic()(text)  # else a filter on the result would run it a second time
 
 
 def dominant(spans: Column) -> Column:
