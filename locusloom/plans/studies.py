@@ -95,9 +95,9 @@ _PANEL = """
     and ((ln.a1=st.a1 and ln.a2=st.a2) or (ln.a1=st.a2 and ln.a2=st.a1)))"""
 
 
-@query("ld_alignment", with_views("variants", f"""with {_PANEL}
-select region_id, row_number() over (partition by region_id order by panel_place, sign desc, snp)-1 as place, panel_place, id, snp, round(sign*beta,6) as beta from mt
-qualify count(*) over (partition by region_id, panel_place, sign)=1"""))
+@query("ld_alignment", with_views("variants", f"""with {_PANEL},
+  one as (select * from mt qualify count(*) over (partition by region_id, panel_place, sign)=1)
+select region_id, row_number() over (partition by region_id order by panel_place, sign desc)-1 as place, panel_place, id, snp, round(sign*beta,6) as beta from one"""))
 def _(fx):
     """Positions with one variant per orientation, so that the order is total."""
     locus = F.concat(F.lit("chr"), F.col("chr").cast("string"), F.lit(":"), F.floor(F.col("bp") / 1_000_000).cast("string"))
