@@ -5,9 +5,12 @@ get a MinHash signature of their character shingles, cut into ``BANDS`` bands of
 are candidates, candidates are verified by the exact Jaccard similarity of their shingle sets, and a distributed
 union-find joins what is similar. Of each component the first occurrence (smallest document, then line) stays.
 
-A band of any size stays cheap: every batch links its own lines of a band to the first of them and forwards that one
-only, and the shuffle links what arrives to the first again, under one of two orders by turns. Exact repeats never enter
-a band twice. Texts of candidates are fetched through a bit set of fixed size and met by joins.
+Every two lines of a band meet, in two steps. First every batch links its own lines of a band to the first of them and
+forwards that one only, and the shuffle links what arrives to the first again, under one of two orders by turns; that joins
+most copies without comparing every two. Then the lines of each band that are not in one component by now are cut into
+blocks of about ``GROUP`` lines or ``GROUP_BYTES`` characters, every two blocks meet in a cell of their own, and all pairs of
+different components in it are compared. Work grows with the square of a band's lines only where they are unlike.
+Exact repeats never enter a band twice. Texts of candidates are fetched through a bit set of fixed size and met by joins.
 
 Defined results: null and empty texts have no line and stay as they are; blank lines always stay; lines shorter than a
 shingle fall only to equal ones; rows equal in id and text count as one document and come out alike; a null id sorts
@@ -25,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusloom.functions.running import salted_join
 from locusloom.llm.common import bounded_batches, components, release, saved
 from locusloom.llm.registry import query, table
 
 SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 12, 4
 BITS = 1 << 24
-_BLANK, _BLOCK = " \t\r", 1 << 15
+GROUP, GROUP_BYTES = 256, 1 << 18
+_BLANK, _BLOCK, _WIDE = " \t\r", 1 << 15, 4096
 _MULTIPLIERS = np.random.default_rng(11).integers(1 << 31, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -198,6 +203,105 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _overlaps(sets: list[set[str]]) -> np.ndarray:
+    """Sizes of the intersections of every two sets. Shingles of one line alone are left out, they are in none."""
+    ids: dict[str, int] = {}
+    token = np.array([ids.setdefault(x, len(ids)) for s in sets for x in s], np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(token, minlength=len(ids)) > 1
+    number = np.cumsum(often) - 1
+    row, token = row[often[token]], number[token[often[token]]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    out = np.zeros((len(sets), len(sets)))
+    for low in range(0, int(often.sum()), _WIDE):
+        a, b = np.searchsorted(token, [low, low + _WIDE])
+        part = np.zeros((len(sets), _WIDE), np.float32)
+        part[row[a:b], token[a:b] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def similar_roots(lines: list[str], roots: np.ndarray, sides: np.ndarray, one_block: bool) -> np.ndarray:
+    """Pairs (columns) of different roots with similar lines, of every two lines or of those on different sides."""
+    sets = [_shingles(x) for x in lines]
+    size = np.array([len(s) for s in sets], np.int64)
+    i, j = np.triu_indices(len(sets), 1)
+    long, short = np.maximum(size[i], size[j]), np.minimum(size[i], size[j])
+    meet = (roots[i] != roots[j]) & (short >= SIMILAR * long) & (one_block | (sides[i] != sides[j]))
+    i, j = i[meet], j[meet]
+    if len(i) > 2 * len(sets):
+        both = _overlaps(sets)[i, j]
+    else:
+        both = np.array([len(sets[x] & sets[y]) for x, y in zip(i, j, strict=True)], float)
+    alike = both >= SIMILAR * (size[i] + size[j] - both)
+    a, b = roots[i[alike]], roots[j[alike]]
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+
+
+def rest(lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): pairs of components to join, from comparing all lines of a band that are in different ones."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                text = batch.column(2)
+                columns = [np.tile(c, BANDS) for c in (batch.column(0), batch.column(1), pc.utf8_length(text).cast(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bands_of(signatures(text.to_pylist())).ravel()), *map(pa.array, columns)], ["band", "key", "root", "size"]
+                )
+        release()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            cell = pa.Table.from_batches(held)
+            a, b = similar_roots(
+                cell["line"].to_pylist(), cell["root"].to_numpy(), cell["side"].to_numpy(), cell["i"][0].as_py() == cell["j"][0].as_py()
+            )
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            cell = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            starts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if held and any(held[0].column(c)[0].as_py() != cell[c, a] for c in range(3)):
+                    yield from done()
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from done()
+        release()
+
+    known = lines.filter(F.length("line") >= SHINGLE).join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "line")
+    members = saved(known.mapInArrow(spread, "band long, key long, root long, size long"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_BYTES))
+    # of two lines the first step has compared both
+    mixed = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), blocks.alias("blocks"))
+    mixed = saved(mixed.filter("n > 2 and low <> high").select("band", "blocks"), "mixed")
+    asked = salted_join(members.drop("size"), mixed, ["band"]).join(lines, "key")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    cells = asked.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "root", "line"
+    )
+    return cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+
+
+def grouped(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, root) of the candidate lines that are similar to another."""
+    roots = saved(components(saved(verified(pairs, lines), "similar")).withColumnRenamed("node", "key"), "near")
+    links = saved(rest(lines, roots), "rest")
+    if links.isEmpty():
+        return roots
+    up = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    all_ = lines.select("key").join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    return salted_join(all_, up, ["root"], "left").select("key", F.coalesce("top", "root").alias("root"))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text`` cut to its kept lines, and ``n_lines`` and ``n_kept``."""
     bounded_batches(docs.sparkSession)
@@ -205,7 +309,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = saved(candidates(given), "candidates")
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     lines = saved(texts_of(given, saved(keys, "keys")), "lines")
-    roots = components(saved(verified(pairs, lines), "similar")).withColumnRenamed("node", "key")
+    roots = grouped(lines, pairs)
     trimmed = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANK)))
     places = given.select("id", F.xxhash64("text").alias("hash"), F.posexplode(trimmed).alias("place", "line")).filter("line <> ''")
     places = places.select("id", "hash", "place", F.xxhash64("line").alias("key")).join(roots, "key", "left").select(
