@@ -104,7 +104,9 @@ def search(queries: np.ndarray, ids: np.ndarray, floors: np.ndarray, rows: np.nd
                 direction, t = queries[q] / own[q], min(local[q], 1.0)
                 axes = np.argsort(-np.abs(direction))[:COORDINATES]
                 width = np.sqrt(max(0.0, 1 - t * t) * np.maximum(0.0, 1 - direction[axes] ** 2)) + 1e-9
-                low, high = direction[axes] * t - width, direction[axes] * t + width
+                # a component beyond the threshold bounds its coordinate on one side only
+                low = np.where(direction[axes] <= -t, -np.inf, direction[axes] * t - width)
+                high = np.where(direction[axes] >= t, np.inf, direction[axes] * t + width)
                 first = [np.searchsorted(ranked[:, f], a, "left") for f, a in zip(axes, low, strict=True)]
                 last = [np.searchsorted(ranked[:, f], b, "right") for f, b in zip(axes, high, strict=True)]
                 c = int(np.argmin(np.subtract(last, first)))

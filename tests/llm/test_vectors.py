@@ -47,6 +47,22 @@ def test_topk_matches_brute_force(spark, monkeypatch, seed):
     assert sorted(map(tuple, got.collect())) == plain_topk(rows)
 
 
+@pytest.mark.parametrize("dim", [1, 2, 16])
+def test_topk_with_a_dominant_coordinate(dim):
+    """Coordinates beyond the threshold, over many small buckets of varying length."""
+    rng = np.random.default_rng(dim)
+    rows = rng.normal(scale=0.3, size=(3000, dim))
+    rows[:, 0] += rng.choice([-1.0, 1.0], 3000)
+    rows = np.floor(256 * rows * rng.uniform(0.1, 4.0, 3000)[:, None])
+    ids = np.arange(3000)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(topk, "BUCKET", 16)
+        got = topk.search(rows[:40], ids[:40], np.full(40, -np.inf), rows, ids, 5)
+    for q in range(40):
+        score = (rows[q] @ rows.T).astype(int)
+        assert got[q] == sorted((-int(s), int(i)) for i, s in zip(ids, score, strict=True) if i != q)[:5]
+
+
 def test_topk_odd_rows(spark):
     got = topk.top_k(frame(spark, ODD), F.col("vec_id") % 50 == 0)
     assert sorted(map(tuple, got.collect())) == plain_topk(ODD)
