@@ -52,7 +52,7 @@ _SCOPE = {"table", "td", "th", "caption", "button", "object", "html", "template"
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]++|(?<=[=\s])\"[^\"]{0,20000}+\"|(?<=[=\s])'[^']{0,20000}+'|[\"'])*+)>|[^<]++|<",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]++|(?<=[=\s])\"[^\"]*+\"|(?<=[=\s])'[^']*+'|[\"'])*+)>|[^<]++|<",
     re.S,
 )
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")

@@ -64,3 +64,11 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (None, "<p>x", "u"), (3, "<p>x", "u"), (3, "<p>x", "u")], "page_id long, html string, text string")
     assert sorted(((r.page_id or 0), r.text) for r in extract(pages).collect() if r.text is not None) == [(0, "x"), (2, ""), (3, "x"), (3, "x")]
     assert extract(pages).count() == 5 and extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("quote", ["'", '"'])
+@pytest.mark.parametrize("size", [100, 20_001, 300_000])
+def test_long_attribute_values_stay_in_their_tag(quote, size):
+    page = f"<div data-x={quote}{'y' * size}<b>leak</b> more{quote} hidden>secret</div>shown"
+    assert render(page).strip() == "shown"
+    assert render(f"<p title={quote}{'y' * size}>a<p>seen").endswith("seen")
