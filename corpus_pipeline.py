@@ -26,8 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines leave the texts; ``n_chars`` follows."""
-    cut = line_dedup.deduplicate(docs)
-    return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    aside = {c: f"__given_{c}" for c in docs.columns if c.lower() in ("n_lines", "n_kept")}  # the operator's own columns
+    cut = line_dedup.deduplicate(docs.withColumnsRenamed(aside))
+    return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ Exact repeats never enter a band twice. Texts of candidates are fetched through
 
 Defined results: null and empty texts have no line and stay as they are; blank lines always stay; lines shorter than a
 shingle fall only to equal ones; rows equal in id and text count as one document and come out alike; a null id sorts
-first; an empty table gives an empty table; other columns are kept as they are.
+first; an empty table gives an empty table; other columns are kept as they are,
+but given columns called ``n_lines`` or ``n_kept`` give way to the operator's counts (the pipeline keeps the given ones).
 """
 
 from __future__ import annotations

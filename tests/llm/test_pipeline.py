@@ -91,3 +91,9 @@ def test_odd_rows(spark, sf_dir, documents, odd_rows):
     for name, stage in corpus_pipeline.STAGES:
         empty = saved(stage(spark, empty, sf_dir), f"empty-{name}")
         assert empty.count() == 0
+
+
+def test_line_stage_keeps_given_counts(spark):
+    docs = spark.createDataFrame([(1, "a line\na line", 77, "x")], "doc_id long, text string, n_lines long, n_kept string")
+    got = corpus_pipeline.deduplicate_lines(spark, docs, "")
+    assert got.columns == docs.columns and list(map(tuple, got.collect())) == [(1, "a line", 77, "x")]
