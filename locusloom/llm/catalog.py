@@ -9,6 +9,7 @@ from locusloom.llm import (  # noqa: F401
     mixing,
     packing,
     quality,
+    secrets,
     simhash,
     topk,
     url_filter,
