@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from locusloom.llm import (  # noqa: F401
+    collocations,
     embedding_dedup,
     html_text,
     langid,
