@@ -320,22 +320,25 @@ with pieces as (
     select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
     from documents),
-listed as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
-placed as (select lang, w, unnest(range(1, len(w) + 1)) as i from listed),
+listed as (select lang, row_number() over () as id, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+placed as (select lang, id, unnest(w) as w1, generate_subscripts(w, 1) as i from listed),
+followed as (
+    select lang, w1, lead(w1) over (partition by id order by i) as w2, lead(w1, 2) over (partition by id order by i) as w3 from placed),
 grams as (
-    select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
-    from placed, (values (1), (2), (3)) as sizes(k) where i + k - 1 <= len(w)),
+    select lang, 1 as k, w1 as phrase from followed
+    union all select lang, 2, w1 || ' ' || w2 from followed where w2 is not null
+    union all select lang, 3, w1 || ' ' || w2 || ' ' || w3 from followed where w3 is not null),
 f as (select lang, k, phrase, count(*) as f from grams group by all),
 n as (select lang, sum(f) as n from f where k = 1 group by lang),
 candidates as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k >= 2 and f >= 10),
 cuts as (
     select c.lang, c.phrase, c.k, c.a, cut, array_to_string(w[1:cut], ' ') as left_part, array_to_string(w[cut + 1:], ' ') as right_part
-    from candidates c, (values (1), (2)) as at(cut) where cut < c.k),
+    from candidates c, (values (1), (2)) as places(cut) where cut < c.k),
 measured as (
     select c.*, x.f as l, y.f as r, (1000000::hugeint * a::hugeint * a::hugeint) // (x.f::hugeint * y.f::hugeint) as score
     from cuts c join f x on x.lang = c.lang and x.phrase = left_part and x.k = c.cut
     join f y on y.lang = c.lang and y.phrase = right_part and y.k = c.k - c.cut),
-chosen as (select * from (select *, row_number() over (partition by lang, phrase order by score, cut) as at from measured) where at = 1),
+chosen as (select * from (select *, row_number() over (partition by lang, phrase order by score, cut) as pick from measured) where pick = 1),
 around as (
     select lang, part, max(a) as longer from (
         select lang, a, array_to_string(w[1:2], ' ') as part from candidates where k = 3
