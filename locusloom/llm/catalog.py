@@ -4,6 +4,7 @@ import corpus_pipeline
 from locusloom.llm import (  # noqa: F401
     collocations,
     embedding_dedup,
+    hard_negatives,
     html_text,
     langid,
     line_dedup,
