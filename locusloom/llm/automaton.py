@@ -8,6 +8,8 @@ many prefixes with the same counts are kept once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,6 +40,13 @@ def path_order(paths: np.ndarray, labels: int) -> np.ndarray:
     return np.lexsort(tuple(paths[:, d] for d in reversed(range(DEPTH))))
 
 
+def path_place(paths: np.ndarray, labels: int) -> np.ndarray:
+    """Every path's place in ``path_order``."""
+    place = np.empty(len(paths), np.int64)
+    place[path_order(paths, labels)] = np.arange(len(paths))
+    return place
+
+
 def packed(paths: np.ndarray) -> np.ndarray:
     """Paths of labels below 2^21 - 1 as numbers in path order."""
     key = np.zeros(len(paths), np.int64)
@@ -62,6 +71,70 @@ def folded(paths: np.ndarray, weights: np.ndarray, labels: int, how: np.ufunc =
     return paths[new], how.reduceat(weights, new)
 
 
+def forest(labels: pa.BinaryArray, paths: np.ndarray, weights: np.ndarray, tree: np.ndarray, trees: int) -> Iterator[Transducer]:
+    """One transducer per tree, all built at once: ``tree`` tells each path's, paths are distinct and in order within it."""
+    levels, state, states = [], tree, trees
+    changed = np.r_[True, tree[1:] != tree[:-1]][: len(paths)]
+    owner = [np.arange(trees)]  # the tree of every state
+    for d in range(DEPTH):
+        there = paths[:, d] >= 0
+        changed = changed | np.r_[True, paths[1:, d] != paths[:-1, d]][: len(paths)]
+        opens = there & changed
+        arc = np.cumsum(opens) - 1
+        rows = np.flatnonzero(opens)
+        ends = there & (paths[:, d + 1] < 0 if d + 1 < DEPTH else True)
+        weight = np.zeros(len(rows), np.int64)
+        weight[arc[ends]] = weights[ends]
+        levels.append([np.bincount(state[rows], minlength=states), paths[rows, d].astype(np.int64), weight, np.arange(len(rows))])
+        owner.append(tree[rows])
+        state, states = arc, len(rows)
+    levels[-1][3] = np.zeros(len(levels[-1][3]), np.int64)
+    for d in range(DEPTH - 1, 0, -1):
+        levels[d], moved, kept = _merged(levels[d], owner[d])
+        owner[d] = owner[d][kept]
+        levels[d - 1][3] = moved[levels[d - 1][3]]
+    # words of each tree, numbered from 0 in order
+    wide = len(labels) + 1
+    every = [np.repeat(owner[d], levels[d][0]) * wide + levels[d][1] for d in range(DEPTH)]
+    used, number = np.unique(np.concatenate(every), return_inverse=True)
+    first_word = np.searchsorted(used, np.arange(trees + 1) * wide)
+    bounds = np.cumsum([0, *[len(x) for x in every]])
+    cuts = [np.searchsorted(owner[d], np.arange(trees + 1)) for d in range(DEPTH)]
+    arcs = [np.r_[0, np.cumsum(levels[d][0])] for d in range(DEPTH)]
+    for t in range(trees):
+        parts = []
+        for d, (degree, _, weight, target) in enumerate(levels):
+            a, b = cuts[d][t], cuts[d][t + 1]
+            i, j = arcs[d][a], arcs[d][b]
+            below = cuts[d + 1][t] if d + 1 < DEPTH else 0
+            parts.append((degree[a:b], number[bounds[d] + i : bounds[d] + j] - first_word[t], weight[i:j], target[i:j] - below))
+        yield Transducer(labels.take(pa.array(used[first_word[t] : first_word[t + 1]] - t * wide)), parts)
+
+
+def _merged(level: list[np.ndarray], owner: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The level with one of all states of a tree that have the same arcs, each state's new number, and the states kept."""
+    degree, label, weight, target = level
+    first = np.cumsum(degree) - degree
+    place = np.arange(len(label)) - np.repeat(first, degree)
+    with np.errstate(over="ignore"):
+        arcs = mixed(mixed(mixed(label + 1) + mixed(weight) * _MIX[0] + target.astype(np.uint64)) + place.astype(np.uint64))
+        total = np.r_[np.uint64(0), np.cumsum(arcs)]
+        print_ = mixed(total[first + degree] - total[first] + owner.astype(np.uint64) * _MIX[2]) + degree.astype(np.uint64)
+    _, keep, same = np.unique(print_, return_index=True, return_inverse=True)
+    chosen = keep[same]
+    equal = (degree == degree[chosen]) & (owner == owner[chosen])
+    check = np.flatnonzero(equal & (chosen != np.arange(len(chosen))))
+    mine, other = ranges(first[check], degree[check]), ranges(first[chosen[check]], degree[check])
+    differs = (label[mine] != label[other]) | (weight[mine] != weight[other]) | (target[mine] != target[other])
+    if differs.any():  # two lists of arcs with one fingerprint stay apart
+        equal[np.repeat(check, degree[check])[differs]] = False
+    chosen = np.where(equal, chosen, np.arange(len(degree)))
+    alone = chosen == np.arange(len(degree))
+    kept = np.flatnonzero(alone)
+    at = ranges(first[kept], degree[kept])
+    return [degree[kept], label[at], weight[at], target[at]], (np.cumsum(alone) - 1)[chosen], kept
+
+
 class Transducer:
     """``labels``: sorted words; ``levels``: (degree per state, label, weight, target) of every level's arcs."""
 
@@ -71,54 +144,7 @@ class Transducer:
     @classmethod
     def build(cls, labels: pa.BinaryArray, paths: np.ndarray, weights: np.ndarray) -> Transducer:
         """From distinct paths in order; ``labels`` may hold words that no path uses."""
-        used, numbers = np.unique(paths, return_inverse=True)
-        numbers = numbers.reshape(paths.shape)
-        if len(used) and used[0] == -1:
-            used, numbers = used[1:], numbers - 1
-        levels, state, states = [], np.zeros(len(paths), np.int64), 1
-        changed = np.zeros(len(paths), bool)
-        if len(paths):
-            changed[0] = True
-        for d in range(DEPTH):
-            there = numbers[:, d] >= 0
-            changed = changed | np.r_[True, numbers[1:, d] != numbers[:-1, d]][: len(paths)]
-            opens = there & changed
-            arc = np.cumsum(opens) - 1
-            rows = np.flatnonzero(opens)
-            ends = there & (numbers[:, d + 1] < 0 if d + 1 < DEPTH else True)
-            weight = np.zeros(len(rows), np.int64)
-            weight[arc[ends]] = weights[ends]
-            degree = np.bincount(state[rows], minlength=states)
-            levels.append([degree, numbers[rows, d].astype(np.int64), weight, np.arange(len(rows))])
-            state, states = arc, len(rows)
-        levels[-1][3] = np.zeros(len(levels[-1][3]), np.int64)
-        for d in range(DEPTH - 1, 0, -1):
-            levels[d], moved = cls._merged(levels[d])
-            levels[d - 1][3] = moved[levels[d - 1][3]]
-        return cls(labels.take(pa.array(used)), [tuple(level) for level in levels])
-
-    @staticmethod
-    def _merged(level: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        """The level with one of all states that have the same arcs, and each state's new number."""
-        degree, label, weight, target = level
-        first = np.cumsum(degree) - degree
-        place = np.arange(len(label)) - np.repeat(first, degree)
-        with np.errstate(over="ignore"):
-            arcs = mixed(mixed(mixed(label + 1) + mixed(weight) * _MIX[0] + target.astype(np.uint64)) + place.astype(np.uint64))
-            total = np.r_[np.uint64(0), np.cumsum(arcs)]
-            print_ = mixed(total[first + degree] - total[first]) + degree.astype(np.uint64)
-        _, keep, same = np.unique(print_, return_index=True, return_inverse=True)
-        chosen = keep[same]
-        equal = degree == degree[chosen]
-        check = np.flatnonzero(equal)
-        mine, other = ranges(first[check], degree[check]), ranges(first[chosen[check]], degree[check])
-        differs = (label[mine] != label[other]) | (weight[mine] != weight[other]) | (target[mine] != target[other])
-        if differs.any():  # two lists of arcs with one fingerprint stay apart
-            equal[np.repeat(check, degree[check])[differs]] = False
-        chosen = np.where(equal, chosen, np.arange(len(degree)))
-        kept, moved = np.unique(chosen, return_inverse=True)
-        at = ranges(first[kept], degree[kept])
-        return [degree[kept], label[at], weight[at], target[at]], moved
+        return next(iter(forest(labels, paths, weights, np.zeros(len(paths), np.int64), 1)))
 
     def paths(self) -> tuple[np.ndarray, np.ndarray]:
         """All paths with a count, as label numbers, and their counts; shorter paths first."""
@@ -159,9 +185,7 @@ class Transducer:
 
     def dumps(self) -> bytes:
         """Compressed bytes."""
-        text = self.labels.cast(pa.large_binary())
-        sizes = pc.binary_length(text).to_numpy(zero_copy_only=False) if len(text) else np.zeros(0, np.int64)
-        parts = [np.asarray(sizes, np.int64), np.frombuffer(b"".join(text.to_pylist()), np.uint8)]
+        parts = list(sizes_and_bytes(self.labels))
         for level in self.levels:
             parts += level
         blob = bytearray()
@@ -183,6 +207,15 @@ class Transducer:
         return cls(labels, levels)
 
 
+def sizes_and_bytes(labels: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of words and their joined bytes."""
+    if not len(labels):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    _, offsets, data = labels.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[labels.offset : labels.offset + len(labels) + 1]
+    return np.diff(offsets), np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] else np.zeros(0, np.uint8)
+
+
 def words(sizes: np.ndarray, data: np.ndarray) -> pa.BinaryArray:
     """Words from their sizes and joined bytes."""
     offsets = np.zeros(len(sizes) + 1, np.int32)
@@ -199,15 +232,21 @@ def numbered_words(found: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
     return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-def union(parts: list[Transducer], how: np.ufunc = np.add) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
-    """(labels, distinct paths in order, weights): the paths of all parts, equal ones folded by ``how``."""
+def gathered(parts: list[Transducer]) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, paths, weights, number of the part) of all paths of all parts, over one list of words."""
     labels, number = numbered_words(pa.concat_arrays([p.labels for p in parts]))
-    paths, weights, at = [], [], 0
-    for part in parts:
+    paths, weights, of, at = [], [], [], 0
+    for n, part in enumerate(parts):
         own = np.r_[number[at : at + len(part.labels)], -1].astype(np.int32)
         rows, counts = part.paths()
         paths.append(own[rows])
         weights.append(counts)
+        of.append(np.full(len(rows), n))
         at += len(part.labels)
-    rows, counts = folded(np.concatenate(paths), np.concatenate(weights), len(labels), how)
-    return labels, rows, counts
+    return labels, np.concatenate(paths), np.concatenate(weights), np.concatenate(of)
+
+
+def union(parts: list[Transducer], how: np.ufunc = np.add) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """(labels, distinct paths in order, weights): the paths of all parts, equal ones folded by ``how``."""
+    labels, paths, weights, _ = gathered(parts)
+    return labels, *folded(paths, weights, len(labels), how)

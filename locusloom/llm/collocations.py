@@ -1,10 +1,14 @@
 """Phrase collocations by weighted acyclic automata.
 
-Shards of the texts become count transducers (see ``automaton``): the sorted phrases of up to three words of a shard, each
-with its count, cut into sections by range of the path's code. Sections of one range are united and their weights summed,
-then arcs below ``least`` go. The parts of a candidate lie in other ranges: every range sends the distinct parts it needs
-as a transducer, with the largest count of a longer phrase around each part, to the parts' ranges; there it is composed
-with the counts, and the answers go back. A phrase is scored by its weakest cut, a * a / (l * r), in whole numbers.
+Shards of the texts become count transducers (see ``automaton``): the sorted phrases of a shard, each with its count, cut into
+sections by range of the path's code. Sections of one range are united and their weights summed, then paths below ``least``
+go. This runs once for single words, once for pairs and once for triples; as a phrase never occurs more often than its
+parts, a shard skips phrases with a part that is not in a bit set of the frequent paths of the length before. The bit set
+has a fixed size; a path that it holds by chance is counted and dropped like any other.
+
+The parts of a candidate lie in other ranges: every range sends the distinct parts it needs as a transducer, with the
+largest count of a longer phrase around each part, to the parts' ranges; there it is composed with the counts, and the
+answers go back. A phrase is scored by its weakest cut, a * a / (l * r), in whole numbers.
 
 The code of a path is a 64-bit mix of its language and all its words, so a word or pair that stands in a third of all
 phrases is dealt to all ranges; a shard sends a phrase once, a range asks for a part once. The number of ranges follows
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusloom.llm.automaton import DEPTH, Transducer, folded, mixed, numbered_words, packed, union, unpacked, words
+from locusloom.llm.automaton import DEPTH, Transducer, folded, forest, gathered, mixed, numbered_words, packed, path_place, union, unpacked, words
 from locusloom.llm.common import bounded_batches, release, saved
 from locusloom.llm.registry import query, table
 
 SHARD, RANGE = 16 << 20, 8 << 20
+BITS = 25  # a bit set of 4 MB
 _SALT = 16
 _CUT = 0xFF  # no byte of UTF-8: a cut between pieces
 _FOLD = bytearray(range(256))
@@ -50,7 +56,7 @@ def tokens(data: bytes, limit: int) -> tuple[pa.BinaryArray, np.ndarray, int]:
     word = ~(cut | (raw == 0x20) | (raw == 0x09))
     edge = np.flatnonzero(np.diff(np.r_[False, word, False].view(np.int8)))
     start, end = edge[::2], edge[1::2]
-    piece = np.cumsum(cut, dtype=np.int64)[start] if len(start) else np.zeros(0, np.int64)
+    piece = np.searchsorted(np.flatnonzero(cut), start)
     return words(end - start, raw[word]), piece, int(np.searchsorted(start, limit))
 
 
@@ -72,43 +78,64 @@ def blocks(data: bytes, size: int) -> Iterator[tuple[bytes, int]]:
         at = end
 
 
-def counted(data: bytes, limit: int) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
-    """(words, distinct paths in order, counts) of the phrases that start in the first ``limit`` bytes."""
-    found, piece, own = tokens(data, limit)
-    labels, number = numbered_words(found)
-    paths = []
-    for k in range(1, DEPTH + 1):
-        start = np.arange(min(own, len(number) - k + 1))
-        start = start[piece[start] == piece[start + k - 1]]
-        part = np.full((len(start), DEPTH), -1, np.int32)
-        for d in range(k):
-            part[:, d] = number[start + d]
-        paths.append(part)
-    paths = np.concatenate(paths)
-    if len(labels) < (1 << 21) - 1:
-        key, counts = np.unique(packed(paths), return_counts=True)
-        return labels, unpacked(key), counts
-    return labels, *folded(paths, np.ones(len(paths), np.int64), len(labels))
-
-
-def deal(lang: str, labels: pa.BinaryArray, paths: np.ndarray, parts: int) -> np.ndarray:
-    """Range of every path: the place of its code among ``parts`` equal intervals."""
+def codes(lang: str, labels: pa.BinaryArray, paths: np.ndarray) -> np.ndarray:
+    """64-bit code of every path."""
     digest = np.array([xxhash.xxh3_64_intdigest(w) for w in labels.to_pylist()] + [1], np.uint64)
     code = np.full(len(paths), xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")), np.uint64)
     with np.errstate(over="ignore"):
         for d in range(DEPTH):
             code = mixed(code * np.uint64(3) + digest[paths[:, d]])
+    return code
+
+
+def deal(lang: str, labels: pa.BinaryArray, paths: np.ndarray, parts: int) -> np.ndarray:
+    """Range of every path: the place of its code among ``parts`` equal intervals."""
+    code = codes(lang, labels, paths)
     return ((code >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def places(code: np.ndarray, words_: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the 64-bit word, bit in it) of codes in a bit set of ``words_`` words, a power of two."""
+    bit = code & np.uint64(64 * words_ - 1)
+    return (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63))
+
+
+def runs(number: np.ndarray, piece: np.ndarray, k: int) -> np.ndarray:
+    """All phrases of ``k`` words as paths, -1 in the first column where the words are not of one piece."""
+    n = max(len(number) - k + 1, 0)
+    paths = np.full((n, DEPTH), -1, np.int32)
+    for d in range(k):
+        paths[:, d] = number[d : d + n]
+    paths[piece[:n] != piece[k - 1 : k - 1 + n], 0] = -1
+    return paths
+
+
+def counted(lang: str, data: bytes, limit: int, k: int, frequent: np.ndarray | None = None) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """(words, distinct paths in order, counts) of the phrases of ``k`` words that start in the first ``limit`` bytes and whose
+    parts of one word less are all in the bit set ``frequent``."""
+    found, piece, own = tokens(data, limit)
+    labels, number = numbered_words(found)
+    paths = runs(number, piece, k)
+    good = (paths[:, 0] >= 0) & (np.arange(len(paths)) < own)
+    if k > 1 and frequent is not None:
+        word, bit = places(codes(lang, labels, runs(number, piece, k - 1)), len(frequent))
+        known = (frequent[word] & bit) != 0
+        good &= known[: len(paths)] & known[1 : len(paths) + 1]
+    paths = paths[good]
+    if len(labels) < (1 << 21) - 1:
+        key, counts = np.unique(packed(paths), return_counts=True)
+        return labels, unpacked(key), counts
+    return labels, *folded(paths, np.ones(len(paths), np.int64), len(labels))
+
+
 def sections(lang: str, labels: pa.BinaryArray, paths: np.ndarray, weights: np.ndarray, parts: int, kind: int, source: int) -> Iterator[tuple]:
     """Rows (range, lang, kind, source, transducer) of the paths, which are in order."""
     place = deal(lang, labels, paths, parts)
     order = np.argsort(place.astype(np.uint16) if parts < 65536 else place, kind="stable")
-    edges = np.flatnonzero(np.r_[True, np.diff(place[order]) != 0, True]) if len(order) else []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        rows = order[a:b]
-        yield int(place[rows[0]]), lang, kind, source, Transducer.build(labels, paths[rows], weights[rows]).dumps()
+    targets, tree = np.unique(place[order], return_inverse=True)
+    made = forest(labels, paths[order], weights[order], tree, len(targets))
+    for target, part in zip(targets.tolist(), made, strict=True):
+        yield target, lang, kind, source, part.dumps()
 
 
 def _batches(rows: Iterator[tuple], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -124,8 +151,8 @@ def _batches(rows: Iterator[tuple], most: int = 4 << 20) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ROW, strict=True)], schema=_ROW)
 
 
-def shards(docs: DataFrame, parts: int) -> DataFrame:
-    """Sections of the count transducers of all texts; ``docs``: lang, text."""
+def shards(docs: DataFrame, parts: int, k: int, frequent: np.ndarray | None) -> DataFrame:
+    """Sections of the count transducers of all phrases of ``k`` words; ``docs``: lang, text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -135,7 +162,7 @@ def shards(docs: DataFrame, parts: int) -> DataFrame:
                 for lang in sorted(held):
                     data = bytes([_CUT]).join(held.pop(lang))
                     for block, own in blocks(data, SHARD):
-                        yield from sections(lang, *counted(block, own), parts, 0, -1)
+                        yield from sections(lang, *counted(lang, block, own, k, frequent), parts, 0, -1)
 
             for batch in batches:
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -153,6 +180,26 @@ def shards(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(count, _ROW_SQL)
 
 
+def bit_set(counts: DataFrame) -> np.ndarray:
+    """The codes of all paths as a bit set; its size is fixed, so it may reach the driver and every task."""
+    size = 1 << (BITS - 6)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                held = Transducer.loads(row["blob"])
+                word, bit = places(codes(row["lang"], held.labels, held.paths()[0]), size)
+                order = np.argsort(word, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(word[order]) != 0]) if len(word) else np.zeros(0, np.int64)
+                both = np.bitwise_or.reduceat(bit[order], first) if len(word) else bit
+                yield pa.RecordBatch.from_arrays([pa.array(word[order][first]), pa.array(both.view(np.int64))], ["word", "bits"])
+
+    out = np.zeros(size, np.uint64)
+    found = counts.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def united(rows: DataFrame, least: int) -> DataFrame:
     """(range, lang, kind, source, blob): per range and language the summed transducer of phrases that occur ``least`` times
     or more; ``source`` carries the number of word occurrences of the range."""
@@ -199,6 +246,8 @@ def asked(counts: DataFrame, parts: int) -> DataFrame:
                     paths, a = held.paths()
                     several = paths[:, 1] >= 0
                     paths, a = paths[several], a[several]
+                    if not len(paths):
+                        continue
                     need, weight = [], []
                     for first, rest in cuts(paths):
                         there = rest[:, 0] >= 0
@@ -224,12 +273,13 @@ def answered(rows: DataFrame, absorb: int) -> DataFrame:
             asks = [(s, Transducer.loads(b)) for kind, s, b in found if kind == 1]
             if not held or not asks:
                 continue
-            for source, part in asks:
-                paths, _ = part.paths()
-                paths, counts = folded(paths, held[0].compose(part.labels, paths), len(part.labels))
-                out.append((source, lang, 2, here, Transducer.build(part.labels, paths, counts).dumps()))
-            labels, paths, longer = union([a for _, a in asks], np.maximum)
-            a = held[0].compose(labels, paths)
+            labels, paths, longer, of = gathered([part for _, part in asks])
+            a = Transducer.build(*union(held)).compose(labels, paths)
+            order = np.lexsort((path_place(paths, len(labels)), of))
+            for (source, _), part in zip(asks, forest(labels, paths[order], a[order], of[order], len(asks)), strict=True):
+                out.append((source, lang, 2, here, part.dumps()))
+            paths, both = folded(paths, np.stack([longer, a], axis=1), len(labels), np.maximum)
+            longer, a = both.T
             gone = (paths[:, 1] >= 0) & (100 * (longer - 1) >= absorb * a)
             if gone.any():
                 out.append((here, lang, 3, here, Transducer.build(labels, paths[gone], longer[gone]).dumps()))
@@ -265,7 +315,7 @@ def scored(rows: DataFrame) -> DataFrame:
             held = [Transducer.loads(b) for kind, _, b in found if kind == 0]
             if not held:
                 continue
-            labels, (paths, a) = held[0].labels, held[0].paths()
+            labels, paths, a = union(held)
             keep = paths[:, 1] >= 0
             absorbed = [Transducer.loads(b) for kind, _, b in found if kind == 3]
             if absorbed:
@@ -273,7 +323,7 @@ def scored(rows: DataFrame) -> DataFrame:
             paths, a = paths[keep], a[keep]
             if not len(paths):
                 continue
-            answers = Transducer.build(*union([Transducer.loads(b) for kind, _, b in found if kind == 2]))
+            answers = Transducer.build(*union([Transducer.loads(b) for kind, _, b in found if kind == 2], np.maximum))  # a part may be asked for twice
             sides = []
             for first, rest in cuts(paths):
                 there = rest[:, 0] >= 0
@@ -298,8 +348,12 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("text is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // RANGE))
-    counts = saved(united(shards(texts, parts), max(least, 1)), "counts")
-    total = saved(counts.groupBy("lang").agg(F.sum("source").alias("n")), "words")
+    levels, frequent = [], None
+    for k in range(1, DEPTH + 1):
+        levels.append(saved(united(shards(texts, parts, k, frequent), max(least, 1)), "counts"))
+        frequent = bit_set(levels[-1]) if k < DEPTH else None
+    counts = reduce(DataFrame.unionByName, levels)
+    total = saved(levels[0].groupBy("lang").agg(F.sum("source").alias("n")), "words")
     answers = answered(counts.unionByName(asked(counts, parts)), absorb)
     found = scored(counts.unionByName(answers))
     return found.join(total, "lang").select("lang", "phrase", "words", "a", "l", "r", "n", "score")
