@@ -5,18 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusloom.functions.columns import log_p
 from locusloom.functions.running import numbered, running, salted_join, top_k
-from locusloom.functions.session import cut_lineage
 
 PRIOR_SD = 0.2
 COVERAGE, MIN_ABS_CORR = 0.95, 0.5
 L_GRID = tuple(range(1, 21))
-GROUP_ROWS = 20_000  # largest region worked on inside one task
+TILE_BYTES = 32 << 20  # genotypes or correlations that one task holds at a time
 
 
 def region_batches(leads: DataFrame, size: int = 5) -> DataFrame:
@@ -117,40 +115,122 @@ def locuszoom_pack(credible: DataFrame, page_rows: int = 1000) -> DataFrame:
 # ---- sum of single effects ------------------------------------------------------------
 
 
+ROUNDING = 1e-10  # a smallest eigenvalue above -ROUNDING counts as 0
+
+
+def psd_lift(smallest: float, shift: float = 1e-6) -> float:
+    """What to add to the diagonal of a correlation matrix with this smallest eigenvalue."""
+    return shift if smallest < -ROUNDING else 0.0
+
+
 def psd_repair(r: np.ndarray, shift: float = 1e-6) -> np.ndarray:
     """Lift the diagonal of a correlation matrix that has a negative eigenvalue."""
-    return r + shift * np.eye(len(r)) if np.linalg.eigvalsh(r)[0] < 0 else r
+    return r + psd_lift(np.linalg.eigvalsh(r)[0], shift) * np.eye(len(r))
 
 
 def adjusted_z(z: np.ndarray, n: float) -> np.ndarray:
     return np.sqrt((n - 1) / (z**2 + n - 2)) * z
 
 
-def _log_bf(bhat: np.ndarray, s2: float, v) -> np.ndarray:
-    return 0.5 * np.log(s2 / (v + s2)) + 0.5 * bhat**2 / s2 * v / (v + s2)
+def log_bf(bhat: np.ndarray, s2: float, v) -> np.ndarray:
+    """ln Bayes factor of every variant under prior variance ``v``; 0 without one."""
+    return 0.5 * np.log(s2 / (v + s2)) + 0.5 * bhat**2 / s2 * v / (v + s2) if v > 0 else np.zeros(len(bhat))
 
 
-def _lse(x: np.ndarray) -> float:
-    m = x.max()
-    return float(m + np.log(np.exp(x - m).sum()))
-
-
-def _evidence(bhat2: np.ndarray, s2: float, v: np.ndarray) -> np.ndarray:
-    """ln sum of Bayes factors for each prior variance in ``v``, in one pass over the rows."""
+def evidence_parts(bhat2: np.ndarray, s2: float, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(maximum, sum relative to it) of the Bayes factors for each prior variance in ``v``."""
     slope = (0.5 / s2) * v / (v + s2)
     top = slope * bhat2.max()
-    return 0.5 * np.log(s2 / (v + s2)) + top + np.log(np.exp(np.outer(bhat2, slope) - top).sum(axis=0))
+    total = sum(np.exp(np.outer(bhat2[i : i + 4096], slope) - top).sum(axis=0) for i in range(0, len(bhat2), 4096))
+    return 0.5 * np.log(s2 / (v + s2)) + top, total
 
 
-def _best_prior(bhat: np.ndarray, s2: float) -> float:
-    """Prior variance with the highest evidence; 0 when no value beats 'no effect'."""
-    bhat2, lo, hi = bhat**2, -14.0, 4.0
+def search_prior(evidence, rows: int) -> float:
+    """Prior variance with the highest evidence on three grids, each between the neighbours of the best before; 0 when no
+    value beats 'no effect'. ``evidence(x)``: ln sum of Bayes factors for each log variance in ``x``."""
+    lo, hi = -14.0, 4.0
     for _ in range(3):
         grid = np.linspace(lo, hi, 13)
-        fit = _evidence(bhat2, s2, np.exp(grid))
-        k = int(fit.argmax())
+        fit = evidence(grid)
+        k = int(np.argmax(fit))
         lo, hi = grid[max(k - 1, 0)], grid[min(k + 1, 12)]
-    return float(np.exp(grid[k])) if fit[k] > np.log(len(bhat)) else 0.0
+    return float(np.exp(grid[k])) if fit[k] > np.log(rows) else 0.0
+
+
+class Effects:
+    """What a fit of one region with a given number of effects remembers: per effect the vector that the others need
+    (``fitted``), the sum of the others that it was fitted against (``others``), prior variance, normaliser and the terms
+    of the evidence bound. It asks for sums over all variants and moves on by them, so the variants may lie anywhere."""
+
+    def __init__(self, effects: int, width: int, n: float, rows: int, max_iter: int = 100, tol: float = 1e-3):
+        self.n, self.rows, self.max_iter, self.tol = n, rows, max_iter, tol
+        self.fitted, self.others = np.zeros((effects, width)), np.zeros((effects, width))
+        self.v, self.lse = np.zeros(effects), np.zeros(effects)
+        self.terms = np.zeros((effects, 4))
+        self.round, self.k, self.last, self.elbo, self.converged, self.done = 0, 0, -np.inf, -np.inf, False, False
+
+    @property
+    def s2(self) -> float:
+        return 1.0 / (self.n - 1)
+
+    def against(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of all other effects, and of those already fitted in this round."""
+        return self.fitted.sum(0) - self.fitted[self.k], self.fitted[: self.k].sum(0)
+
+    def take(self, v: float, lse: float, sums: np.ndarray, vector: np.ndarray) -> None:
+        """The posterior sums of effect ``k``: with bhat, squared size, target and the fit of the effects before it."""
+        with_bhat, squared, with_target, with_before = sums
+        loglik = -0.5 / self.s2 * (-2 * with_bhat + squared)
+        self.others[self.k] = self.against()[0]
+        self.fitted[self.k], self.v[self.k], self.lse[self.k] = vector, v, lse
+        self.terms[self.k] = loglik - (lse - np.log(self.rows)), squared, with_target, with_before
+        self.k += 1
+        if self.k == len(self.v):
+            kl, squared, with_target, with_before = self.terms.sum(0)
+            rss = (self.n - 1) * (1 - 2 * with_target + 2 * with_before + squared)
+            self.elbo = float(-self.n / 2 * np.log(2 * np.pi) - 0.5 * rss - kl)
+            self.k, self.round = 0, self.round + 1
+            self.converged = bool(abs(self.elbo - self.last) < self.tol)
+            self.done = self.converged or self.round >= self.max_iter
+            self.last = self.elbo
+
+
+class Block:
+    """Variants of one region: z-scores and either their unit genotype rows or their rows of the correlation matrix
+    (``at`` then tells their places in it, ``lift`` what its diagonal gets)."""
+
+    def __init__(self, z: np.ndarray, rows: np.ndarray, n: float, at: np.ndarray | None = None, lift: float = 0.0):
+        self.rows, self.at, self.lift, self.s2 = rows, at, lift, 1.0 / (n - 1)
+        self.target = adjusted_z(z, n) / np.sqrt(n - 1)  # marginal effects of standardised variants
+
+    def times(self, vector: np.ndarray) -> np.ndarray:
+        """The variants' rows of the correlation matrix times an effect, given by its vector."""
+        out = self.rows @ vector
+        return out if self.at is None else out + self.lift * vector[self.at]
+
+    def vector(self, b: np.ndarray) -> np.ndarray:
+        """The vector of an effect with weights ``b`` on these variants."""
+        if self.at is None:
+            return self.rows.T @ b
+        out = np.zeros(self.rows.shape[1])
+        out[self.at] = b
+        return out
+
+    def bhat(self, others: np.ndarray) -> np.ndarray:
+        return self.target - self.times(others)
+
+    def posterior(self, others: np.ndarray, before: np.ndarray, v: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """(maximum ln Bayes factor, sums relative to it: 1 and the four of :meth:`Effects.take`, vector)."""
+        bhat = self.bhat(others)
+        lbf = log_bf(bhat, self.s2, v)
+        top = float(lbf.max())
+        e, shrink = np.exp(lbf - top), v / (v + self.s2)
+        b = e * shrink * bhat
+        sums = [e.sum(), b @ bhat, (e * ((shrink * bhat) ** 2 + shrink * self.s2)).sum(), b @ self.target, b @ self.times(before)]
+        return top, np.array(sums), self.vector(b)
+
+    def alpha(self, others: np.ndarray, v: float, lse: float) -> np.ndarray:
+        return np.exp(log_bf(self.bhat(others), self.s2, v) - lse)
 
 
 class Fit:
@@ -165,40 +245,33 @@ class Fit:
         return np.clip(1 - np.prod(1 - live, axis=0), 0, 1)
 
 
+def fit_block(block: Block, n: float, effects: int, max_iter: int = 100, tol: float = 1e-3) -> Fit:
+    """Iterative Bayesian stepwise selection over the variants of one block, which hold the whole region."""
+    rows = len(block.target)
+    state = Effects(min(effects, rows), block.rows.shape[1], n, rows, max_iter, tol)
+    while not state.done:
+        others, before = state.against()
+        bhat2 = block.bhat(others) ** 2
+
+        def evidence(x: np.ndarray) -> np.ndarray:
+            top, total = evidence_parts(bhat2, state.s2, np.exp(x))
+            return top + np.log(total)
+
+        v = search_prior(evidence, rows)
+        top, sums, vector = block.posterior(others, before, v)
+        state.take(v, top + np.log(sums[0]), sums[1:] / sums[0], vector / sums[0])
+    alpha = np.array([block.alpha(w, v, lse) for w, v, lse in zip(state.others, state.v, state.lse, strict=True)])
+    return Fit(alpha, state.v, state.elbo, state.converged)
+
+
 def single_effects(z: np.ndarray, u: np.ndarray, n: float, effects: int, max_iter: int = 100, tol: float = 1e-3) -> Fit:
-    """Iterative Bayesian stepwise selection from z-scores and unit genotype rows ``u``.
+    """The fit from z-scores and unit genotype rows ``u``. R = u u' is never formed: R b = u (u' b)."""
+    return fit_block(Block(z, u, n), n, effects, max_iter, tol)
 
-    R = u u' is never formed: R b = u (u' b), so memory is rows x samples.
-    """
-    m, effects, s2 = len(z), min(effects, len(z)), 1.0 / (n - 1)
-    target = adjusted_z(z, n) / np.sqrt(n - 1)  # marginal effects of standardised variants
-    alpha, mu, mu2, v = np.full((effects, m), 1 / m), np.zeros((effects, m)), np.zeros((effects, m)), np.zeros(effects)
-    fitted = np.zeros((effects, u.shape[1]))
-    last, elbo, converged = -np.inf, -np.inf, False
-    for _ in range(max_iter):
-        kl = 0.0
-        for k in range(effects):
-            bhat = target - u @ (fitted.sum(0) - fitted[k])
-            v[k] = _best_prior(bhat, s2)
-            lbf = _log_bf(bhat, s2, v[k]) if v[k] > 0 else np.zeros(m)
-            evidence = _lse(lbf)
-            alpha[k] = np.exp(lbf - evidence)
-            shrink = v[k] / (v[k] + s2)
-            mu[k] = shrink * bhat
-            mu2[k] = mu[k] ** 2 + shrink * s2
-            b = alpha[k] * mu[k]
-            fitted[k] = u.T @ b
-            loglik = -0.5 / s2 * (-2 * (b @ bhat) + (alpha[k] * mu2[k]).sum())
-            kl += loglik - (evidence - np.log(m))
-        total = (alpha * mu).sum(0)
-        all_fit = fitted.sum(0)
-        rss = (n - 1) * (1 - 2 * total @ target + all_fit @ all_fit - (fitted**2).sum() + (alpha * mu2).sum())
-        elbo = -n / 2 * np.log(2 * np.pi) - 0.5 * rss - kl
-        if abs(elbo - last) < tol:
-            converged = True
-            break
-        last = elbo
-    return Fit(alpha, v, float(elbo), converged)
+
+def single_effects_of_matrix(z: np.ndarray, r: np.ndarray, n: float, effects: int, max_iter: int = 100, tol: float = 1e-3) -> Fit:
+    """The fit from z-scores and their correlation matrix, lifted where it is not positive semidefinite."""
+    return fit_block(Block(z, psd_repair(r), n, np.arange(len(z))), n, effects, max_iter, tol)
 
 
 def purity(u: np.ndarray, members: np.ndarray, block: int = 512) -> float:
@@ -209,78 +282,63 @@ def purity(u: np.ndarray, members: np.ndarray, block: int = 512) -> float:
     return low
 
 
-def credible_sets(fit: Fit, u: np.ndarray, coverage: float, min_abs_corr: float) -> list[np.ndarray]:
-    """Distinct pure sets, purest first."""
+def credible_sets(fit: Fit, u: np.ndarray, coverage: float, min_abs_corr: float, matrix: bool = False) -> list[np.ndarray]:
+    """Distinct pure sets, purest first; ``u``: genotype rows, or the correlation matrix where ``matrix`` is set."""
     found: dict[tuple, float] = {}
     for a, v in zip(fit.alpha, fit.v):
         if v <= 1e-9:
             continue
         order = np.lexsort((np.arange(len(a)), -a))
         members = np.sort(order[: int(np.searchsorted(np.cumsum(a[order]), coverage * (1 - 1e-12))) + 1])
-        p = purity(u, members)
+        p = round(float(np.abs(u[np.ix_(members, members)]).min()) if matrix else purity(u, members), 9)  # equal sets stay equal
         if p >= min_abs_corr:
             found[tuple(members)] = p
     return [np.array(k) for k, _ in sorted(found.items(), key=lambda kv: -kv[1])]
 
 
+def best_count(fits: Sequence[tuple]) -> tuple:
+    """The (count, elbo, converged, ...) with the best evidence bound among those that converged to a finite one, the
+    smaller count among equals; where none did, among the rest."""
+    good = [f for f in fits if f[2] and np.isfinite(f[1])]
+    return max(good or fits, key=lambda f: (f[1], -f[0]))
+
+
 def choose_effects(z, u, n, grid: Sequence[int] = L_GRID) -> tuple[int, Fit]:
     """Number of effects with the best converged evidence bound over the whole grid; a region where no fit converges
     gets the best that did not, so that it stays in the result and is marked."""
-    best, rest = (0, None), (0, None)
-    for count in grid:
-        if count > len(z):
-            break
-        fit = single_effects(z, u, n, count)
-        if not fit.converged or not np.isfinite(fit.elbo):
-            rest = (count, fit) if rest[1] is None or fit.elbo > rest[1].elbo else rest
-        elif best[1] is None or fit.elbo > best[1].elbo:
-            best = (count, fit)
-    return rest if best[1] is None else best
-
-
-_SCHEMA = "region_id {key}, id {id}, pip double, cs int, effects int, elbo double, converged boolean"
+    fits = [(k, single_effects(z, u, n, k)) for k in grid if k <= len(z)]
+    count, _, _, fit = best_count([(k, f.elbo, f.converged, f) for k, f in fits])
+    return count, fit
 
 
 def susie_finemap(
     members: DataFrame, effects: int = -1, coverage: float = COVERAGE, min_abs_corr: float = MIN_ABS_CORR,
-    key_type: str = "string", id_type: str = "string", group_rows: int = GROUP_ROWS,
+    key_type: str = "string", id_type: str = "string", tile_bytes: int = TILE_BYTES, grid: Sequence[int] = L_GRID,
 ) -> DataFrame:
     """(region_id, id, pip, cs, effects, elbo, converged) for every variant of every region; a fit that did not
-    converge keeps its rows with ``converged`` false.
+    converge keeps its rows with ``converged`` false. ``effects`` -1: the count of ``grid`` with the best evidence bound.
 
     ``members(region_id, id, z, n, u)`` with unit genotype rows ``u``. cs 0 = in no set.
     Regions with a NaN or infinite value, or with fewer than two variants, give no rows.
-    Regions above ``group_rows`` variants go to the distributed fit instead of one task.
+    One algorithm at every size: variants lie in tiles of at most ``tile_bytes``, and a fit needs only sums over tiles.
     """
-    bad = F.isnan("z") | F.col("z").isNull() | (F.abs("z") == float("inf")) | F.exists("u", lambda v: F.isnan(v) | v.isNull())
-    health = members.groupBy("region_id").agg(F.count("*").alias("__rows"), F.bool_or(bad).alias("__bad"))
-    usable = health.filter((F.col("__rows") >= 2) & ~F.col("__bad"))
-    schema = _SCHEMA.format(key=key_type, id=id_type)
-
-    def fit_region(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        z, u, n = pdf["z"].to_numpy(float), np.vstack(pdf["u"].to_numpy()), float(pdf["n"].iloc[0])
-        if effects > 0:
-            count, fit = effects, single_effects(z, u, n, effects)
-        else:
-            count, fit = choose_effects(z, u, n)
-        cs = np.zeros(len(z), dtype=int)
-        for i, found in enumerate(credible_sets(fit, u, coverage, min_abs_corr)):
-            cs[found] = i + 1
-        return pd.DataFrame({"region_id": pdf["region_id"].to_numpy(), "id": pdf["id"].to_numpy(), "pip": fit.pip, "cs": cs,
-                             "effects": count, "elbo": fit.elbo, "converged": fit.converged})
-
-    rows = members.select("region_id", "id", "z", "n", "u")
-    small = rows.join(usable.filter(F.col("__rows") <= group_rows).select("region_id"), "region_id", "left_semi")
-    fitted = small.groupBy("region_id").applyInPandas(fit_region, schema)
-    large_keys = cut_lineage(usable.filter(F.col("__rows") > group_rows).select("region_id"))
-    if large_keys.isEmpty():
-        return fitted
-    from locusloom.operators.finemap_large import fit_large
-
-    # spare effects get prior variance 0, so the widest count of the grid stands for all of it
-    large = rows.join(large_keys, "region_id", "left_semi")
-    return fitted.unionByName(fit_large(large, effects if effects > 0 else max(L_GRID), coverage, min_abs_corr, key_type, id_type))
+    from locusloom.operators import finemap_large as tiled
+
+    tiles = tiled.genotype_tiles(members, tile_bytes)
+    return tiled.fit_tiles(tiles, False, [effects] if effects > 0 else list(grid), coverage, min_abs_corr, key_type, id_type)
+
+
+def susie_finemap_matrix(
+    stats: DataFrame, pairs: DataFrame, effects: int = -1, coverage: float = COVERAGE, min_abs_corr: float = MIN_ABS_CORR,
+    key_type: str = "string", id_type: str = "string", tile_bytes: int = TILE_BYTES, grid: Sequence[int] = L_GRID,
+) -> DataFrame:
+    """The same from a given correlation matrix: ``stats(region_id, place, id, z, n)`` with places from 0, ``pairs(region_id,
+    i, j, r)`` by place. A pair given in one order counts in both, one that is not given is 0, the diagonal is 1. A matrix
+    with a negative eigenvalue gets its diagonal lifted."""
+    from locusloom.operators import finemap_large as tiled
+
+    tiles = tiled.matrix_tiles(stats, pairs, tile_bytes)
+    return tiled.fit_tiles(tiles, True, [effects] if effects > 0 else list(grid), coverage, min_abs_corr, key_type, id_type)
 
 
 def final_sets(fitted: DataFrame) -> DataFrame:

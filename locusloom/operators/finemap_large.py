@@ -1,15 +1,19 @@
-"""Sum of single effects for regions too large for one task.
+"""Sum of single effects over tiles of variants.
 
-The same updates as :func:`locusloom.operators.finemap.single_effects`, with the variants
-spread over the cluster. What a region must remember between updates is one sample-length
-vector per effect (``u' b``), so a pass over the variants needs only that small state and
-returns only partial sums; nothing per variant is kept, and every probability can be worked
-out again from the state.
+A tile holds variants of one region with their unit genotype rows, or with their rows of the region's correlation matrix, in
+bounded bytes. A fit of one region with one number of effects is a small state (:class:`finemap.Effects`) that asks for
+sums over all variants: first the evidence of every prior variance that its search may look at, then the posterior sums
+under the one it chose. Where one tile holds the whole region the sums are complete there and the fit runs to its end in
+that task. Where a region has several tiles every pass puts the open questions of all numbers of effects to all its
+tiles, adds the partial sums up and moves each fit on by itself; updates, stop rule and evidence bound are the same.
+
+Regions of several tiles go in waves, so that the questions of one wave have a bounded size and are broadcast to the
+tiles, which stay where they are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,134 +22,325 @@ from pyspark.sql import functions as F
 
 from locusloom.functions.running import running, salted_join
 from locusloom.functions.session import cut_lineage
+from locusloom.operators import finemap as fm
 from locusloom.operators import ld
-from locusloom.operators.finemap import _log_bf, adjusted_z, pip_bucket
 
-PRIOR_GRID = np.exp(np.linspace(-14.0, 4.0, 49))
+WAVE_BYTES = 64 << 20
+_STATE = (
+    "region_id {key}, effects int, n double, rows long, width long, lift double, phase int, vk double, k int, round int, last double, "
+    "elbo double, converged boolean, done boolean, fitted array<double>, others array<double>, v array<double>, lse array<double>, terms array<double>, asked array<double>, before array<double>"
+)
+_ANSWER = "region_id {key}, effects int, top array<double>, sums array<double>"
+
+
+def _prior_points() -> np.ndarray:
+    """Every log variance that the three nested grids of the search can reach."""
+    seen: set[float] = set()
+
+    def look(lo: float, hi: float, depth: int) -> None:
+        grid = np.linspace(lo, hi, 13)
+        seen.update(np.round(grid, 9))
+        if depth < 3:
+            for k in range(13):
+                look(grid[max(k - 1, 0)], grid[min(k + 1, 12)], depth + 1)
+
+    look(-14.0, 4.0, 1)
+    return np.array(sorted(seen))
+
+
+POINTS = _prior_points()
+
+
+# ---- tiles ----------------------------------------------------------------------------
+
+
+def _health(rows: DataFrame, bad) -> DataFrame:
+    """Regions with two variants or more and no value that is missing or not finite."""
+    health = rows.groupBy("region_id").agg(F.count("*").alias("rows"), F.max("n").cast("double").alias("n0"), F.bool_or(bad).alias("bad"), F.max("size").alias("width"))
+    return health.filter((F.col("rows") >= 2) & ~F.col("bad")).drop("bad")
+
+
+def genotype_tiles(members: DataFrame, tile_bytes: int) -> DataFrame:
+    """(region_id, tile, tiles, n, rows, width, ids, z, at, matrix) from ``members(region_id, id, z, n, u)``; ``at`` is null."""
+    bad = F.isnan("z") | F.col("z").isNull() | (F.abs("z") == float("inf")) | F.exists("u", lambda v: F.isnan(v) | v.isNull())
+    rows = members.select("region_id", "id", "z", "n", F.col("u").cast("array<double>").alias("u"), F.size("u").cast("long").alias("size"))
+    shape = _health(rows, bad).withColumn("tiles", F.ceil(F.col("rows") * (F.col("width") + 2) * 8 / tile_bytes).cast("long"))
+    placed = salted_join(rows.drop("n"), shape, ["region_id"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    packed = placed.groupBy("region_id", "tile", "tiles", "n0", "rows", "width").agg(F.sort_array(F.collect_list(F.struct("id", "z", "u"))).alias("r"))
+    field = lambda c: F.transform("r", lambda x: x[c])
+    return cut_lineage(packed.select(
+        "region_id", "tile", "tiles", F.col("n0").alias("n"), "rows", "width", field("id").alias("ids"), field("z").alias("z"),
+        F.lit(None).cast("array<long>").alias("at"), F.flatten(field("u")).alias("matrix")))
+
+
+def matrix_tiles(stats: DataFrame, pairs: DataFrame, tile_bytes: int) -> DataFrame:
+    """The same from ``stats(region_id, place, id, z, n)`` and ``pairs(region_id, i, j, r)``: a tile holds whole rows of the
+    matrix, ``at`` their places."""
+    bad = F.isnan("z") | F.col("z").isNull() | (F.abs("z") == float("inf"))
+    rows = stats.select("region_id", F.col("place").cast("long").alias("place"), "id", "z", "n").withColumn("size", F.col("place") + 1)
+    shape = _health(rows, bad).withColumn("per", F.greatest(F.lit(1), F.floor(tile_bytes / (8 * (F.col("width") + 2)))).cast("long"))
+    shape = shape.withColumn("tiles", F.ceil(F.col("width") / F.col("per")).cast("long"))
+    flat = pairs.filter("i <> j and r is not null and not isnan(r)").select("region_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "r")
+    both = flat.unionByName(flat.select("region_id", F.col("j").alias("i"), F.col("i").alias("j"), "r")).groupBy("region_id", "i", "j").agg(F.max("r").alias("r"))
+    entries = both.join(rows.select("region_id", F.col("place").alias("i")), ["region_id", "i"], "left_semi").join(
+        rows.select("region_id", F.col("place").alias("j")), ["region_id", "j"], "left_semi")
+    tile = F.floor(F.col("place") / F.col("per"))
+    packed = salted_join(rows.drop("n"), shape, ["region_id"]).withColumn("tile", tile).groupBy("region_id", "tile", "tiles", "n0", "rows", "width").agg(
+        F.sort_array(F.collect_list(F.struct("place", "id", "z"))).alias("r"))
+    cells = salted_join(entries.withColumnRenamed("i", "place"), shape.select("region_id", "per"), ["region_id"]).groupBy("region_id", tile.alias("tile")).agg(
+        F.collect_list(F.struct("place", "j", "r")).alias("cells"))  # at most ``per`` rows of the matrix
+    key = dict(rows.dtypes)["region_id"]
+    id_type = dict(rows.dtypes)["id"]
+
+    field = lambda r, c: F.transform(r, lambda x: x[c])
+    listed = packed.join(cells, ["region_id", "tile"], "left").select(
+        "region_id", "tile", "tiles", F.col("n0").alias("n"), "rows", "width", field("r", "id").alias("ids"), field("r", "z").alias("z"),
+        field("r", "place").alias("at"), *[field("cells", c).alias(c) for c in ("place", "j", "r")])
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            full = []
+            for row in pdf.itertuples(index=False):
+                at = np.asarray(row.at, np.int64)
+                matrix = np.zeros((len(at), int(row.width)))
+                matrix[np.arange(len(at)), at] = 1.0
+                if row.place is not None:
+                    matrix[np.searchsorted(at, np.asarray(row.place, np.int64)), np.asarray(row.j, np.int64)] = np.asarray(row.r, float)
+                full.append(matrix.ravel())
+            yield pdf.drop(columns=["place", "j", "r"]).assign(matrix=full)
+
+    kinds = f"region_id {key}, tile long, tiles long, n double, rows long, width long, ids array<{id_type}>, z array<double>, at array<long>, matrix array<double>"
+    return cut_lineage(listed.mapInPandas(fill, kinds))
+
+
+def block_of(row, lift: float = 0.0) -> fm.Block:
+    z = np.asarray(row.z, float)
+    at = None if row.at is None else np.asarray(row.at, np.int64)
+    return fm.Block(z, np.asarray(row.matrix, float).reshape(len(z), -1), float(row.n), at, lift)
+
+
+# ---- fits -----------------------------------------------------------------------------
+
+
+def fit_tiles(tiles: DataFrame, square: bool, grid: Sequence[int], coverage: float, min_abs_corr: float, key_type: str, id_type: str) -> DataFrame:
+    """(region_id, id, pip, cs, effects, elbo, converged); the number of effects is chosen from ``grid`` by the evidence bound."""
+    schema = f"region_id {key_type}, id {id_type}, pip double, cs int, effects int, elbo double, converged boolean"
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                n, matrix = float(row.n), np.asarray(row.matrix, float).reshape(len(row.z), -1)
+                if square:  # places without statistics are gaps; they take no part
+                    matrix = fm.psd_repair(matrix[:, np.asarray(row.at, np.int64)])
+                block = fm.Block(np.asarray(row.z, float), matrix, n, np.arange(len(row.z)) if square else None)
+                fits = [(k, f.elbo, f.converged, f) for k in _counts(grid, len(row.z)) for f in [fm.fit_block(block, n, k)]]
+                count, elbo, converged, fit = fm.best_count(fits)
+                cs = np.zeros(len(row.z), dtype=int)
+                for i, found in enumerate(fm.credible_sets(fit, matrix, coverage, min_abs_corr, square)):
+                    cs[found] = i + 1
+                yield pd.DataFrame({"region_id": row.region_id, "id": row.ids, "pip": fit.pip, "cs": cs, "effects": count, "elbo": elbo, "converged": converged})
+
+    fitted = tiles.filter("tiles = 1").mapInPandas(whole, schema)
+    several = tiles.filter("tiles > 1").select("region_id", "n", "rows", "width").distinct()
+    several = cut_lineage(several.withColumn("bytes", F.col("width") * 16 * len(grid)))
+    if several.isEmpty():
+        return fitted
+    before = F.sum("bytes").over(Window.orderBy(F.desc("bytes"), "region_id"))  # one row per region of several tiles
+    waves = cut_lineage(several.withColumn("wave", F.floor(before / WAVE_BYTES)))
+    for (wave,) in sorted(waves.select("wave").distinct().collect()):
+        part = waves.filter(F.col("wave") == wave).drop("wave")
+        fitted = fitted.unionByName(_fit_wave(tiles, part, square, grid, coverage, min_abs_corr, key_type, id_type))
+    return fitted
+
+
+def _counts(grid: Sequence[int], rows: int) -> list[int]:
+    """Numbers of effects to try: those of the grid that the region has rows for, else the first."""
+    return [k for k in grid if k <= rows] or [grid[0]]
+
+
+def _fit_wave(tiles, regions, square, grid, coverage, min_abs_corr, key_type, id_type) -> DataFrame:
+    size = regions.agg(F.sum("bytes")).head()[0]
+    hint = F.broadcast if size <= 2 * WAVE_BYTES else (lambda df: df)  # a single region may be larger: then Spark joins as it sees fit
+    mine = tiles.join(hint(regions.select("region_id")), "region_id", "left_semi")
+    lifted = _lifts(mine, regions, hint, key_type) if square else regions.withColumn("lift", F.lit(0.0))
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                for count in _counts(grid, row.rows):
+                    yield _dump(row.region_id, fm.Effects(min(count, int(row.rows)), int(row.width), float(row.n), int(row.rows)), row.lift, 0, 0.0)
+
+    state_kind = _STATE.format(key=key_type)
+    state = cut_lineage(lifted.select("region_id", "n", "rows", "width", "lift").mapInPandas(begin, state_kind))
+
+    def answer(phase: int, vk: float, asked: np.ndarray, before: np.ndarray, block: fm.Block) -> tuple[np.ndarray, np.ndarray]:
+        if phase == 0:
+            return fm.evidence_parts(block.bhat(asked) ** 2, block.s2, np.exp(POINTS))
+        top, sums, vector = block.posterior(asked, before, vk)
+        return np.array([top]), np.concatenate([sums, vector])
+
+    def move(key, before: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        row = next(before.itertuples(index=False))
+        if row.done:
+            return before
+        state, (top, sums) = _load(row), _added(parts)
+        if row.phase == 0:
+            known = top + np.log(sums)
+            v = fm.search_prior(lambda x: known[np.searchsorted(POINTS, np.round(x, 9))], state.rows)
+            return _dump(row.region_id, state, row.lift, 1, v)
+        state.take(row.vk, float(top[0] + np.log(sums[0])), sums[1:5] / sums[0], sums[5:] / sums[0])
+        return _dump(row.region_id, state, row.lift, 0, 0.0)
+
+    while not state.filter("not done").isEmpty():  # two passes an update; every fit ends by its own stop rule
+        asked = state.filter("not done").select("region_id", "effects", "phase", "vk", "lift", "asked", "before")
+        parts = _answers(mine, asked, hint, answer, key_type)
+        state = cut_lineage(state.groupBy("region_id", "effects").cogroup(parts.groupBy("region_id", "effects")).applyInPandas(move, state_kind))
+    usable = F.col("converged") & ~F.isnan("elbo") & (F.abs("elbo") < float("inf"))
+    order = Window.partitionBy("region_id").orderBy(F.desc(usable), F.desc("elbo"), "effects")  # one row per number of effects
+    chosen = cut_lineage(state.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place"))
+    return _sets(mine, chosen, hint, square, coverage, min_abs_corr, key_type, id_type)
+
+
+def _dump(region, state: fm.Effects, lift: float, phase: int, vk: float) -> pd.DataFrame:
+    asked, before = state.against()
+    return pd.DataFrame({
+        "region_id": [region], "effects": len(state.v), "n": state.n, "rows": state.rows, "width": state.fitted.shape[1], "lift": lift, "phase": phase, "vk": vk,
+        "k": state.k, "round": state.round, "last": state.last, "elbo": state.elbo, "converged": state.converged, "done": state.done,
+        "fitted": [state.fitted.ravel()], "others": [state.others.ravel()], "v": [state.v], "lse": [state.lse], "terms": [state.terms.ravel()], "asked": [asked], "before": [before]})
 
 
-def _residual(g: pd.DataFrame, w) -> tuple[np.ndarray, np.ndarray, float]:
-    n = float(g["n0"].iloc[0])
-    u = np.vstack(g["u"].to_numpy())
-    target = adjusted_z(g["z"].to_numpy(float), n) / np.sqrt(n - 1)
-    return target - u @ np.asarray(w, float), u, 1.0 / (n - 1)
+def _load(row) -> fm.Effects:
+    state = fm.Effects(int(row.effects), int(row.width), float(row.n), int(row.rows))
+    array = lambda x, *shape: np.array(x, float).reshape(shape)
+    state.fitted, state.others = array(row.fitted, row.effects, row.width), array(row.others, row.effects, row.width)
+    state.v, state.lse, state.terms = array(row.v, row.effects), array(row.lse, row.effects), array(row.terms, row.effects, 4)
+    state.k, state.round, state.last, state.elbo = int(row.k), int(row.round), float(row.last), float(row.elbo)
+    state.converged, state.done = bool(row.converged), bool(row.done)
+    return state
 
 
-def _shifted_add(held, top, total):
-    """Add sums that are scaled by their own maximum."""
+def _added(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Partial sums that are relative to their own maxima, added up."""
+    held = None
+    for t, s in zip(parts["top"], parts["sums"], strict=True):
+        held = _shifted(held, np.asarray(t, float), np.asarray(s, float))
+    return held
+
+
+def _shifted(held, top: np.ndarray, sums: np.ndarray):
     if held is None:
-        return top, total
+        return top, sums
     new = np.maximum(held[0], top)
-    a, b = np.exp(held[0] - new), np.exp(top - new)
-    return new, (held[1].T * a + total.T * b).T if np.ndim(total) > 1 else held[1] * a + total * b
+    return new, held[1] * np.exp(held[0] - new) + sums * np.exp(top - new)
+
 
+def _answers(tiles: DataFrame, asked: DataFrame, hint, answer, key_type: str) -> DataFrame:
+    """Partial sums per (task, region, number of effects); a tile meets all questions of its region at once."""
+    listed = asked.groupBy("region_id").agg(F.max("lift").alias("lift"), F.collect_list(F.struct("effects", "phase", "vk", "asked", "before")).alias("q"))
+    field = lambda c: F.transform("q", lambda x: x[c])
+    questions = listed.select("region_id", "lift", *[field(c).alias(c) for c in ("effects", "phase", "vk")], *[F.flatten(field(c)).alias(c) for c in ("asked", "before")])
 
-def _pass(rows: DataFrame, state: DataFrame, key_type: str, partial) -> DataFrame:
-    """Partial sums per (task, region); ``partial`` gives (max, sums) for a batch of one region."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for pdf in batches:
-            for region, g in pdf.groupby("region_id", sort=False):
-                held[region] = _shifted_add(held.get(region), *partial(g))
+            for row in pdf.itertuples(index=False):
+                block, many = block_of(row, row.lift), len(row.effects)
+                asked, before = (np.asarray(x, float).reshape(many, -1) for x in (row.asked, row.before))
+                for i in range(many):
+                    key = (row.region_id, int(row.effects[i]))
+                    held[key] = _shifted(held.get(key), *answer(int(row.phase[i]), float(row.vk[i]), asked[i], before[i], block))
         if held:
-            yield pd.DataFrame([(r, np.atleast_1d(t).tolist(), np.atleast_1d(s).tolist()) for r, (t, s) in held.items()],
-                               columns=["region_id", "top", "sums"])
-
-    return salted_join(rows, state, ["region_id"]).mapInPandas(run, f"region_id {key_type}, top array<double>, sums array<double>")
-
-
-def _evidence_part(g: pd.DataFrame):
-    bhat, _, s2 = _residual(g, g["w"].iloc[0])
-    lbf = _log_bf(bhat[:, None], s2, PRIOR_GRID[None, :])
-    top = lbf.max(axis=0)
-    return top, np.exp(lbf - top).sum(axis=0)
-
-
-def _posterior_part(g: pd.DataFrame):
-    bhat, u, s2 = _residual(g, g["w"].iloc[0])
-    v = float(g["vk"].iloc[0])
-    lbf = _log_bf(bhat, s2, v) if v > 0 else np.zeros(len(bhat))
-    top = lbf.max()
-    e = np.exp(lbf - top)
-    return top, np.concatenate([[e.sum()], (e * v / (v + s2) * bhat) @ u])
-
-
-def fit_large(
-    members: DataFrame, effects: int, coverage: float, min_abs_corr: float, key_type: str, id_type: str,
-    max_iter: int = 50, tol: float = 1e-4,
-) -> DataFrame:
-    """(region_id, id, pip, cs, effects, elbo, converged); ``elbo`` is null on this path."""
-    rows = cut_lineage(members.select("region_id", "id", "z", "n", "u"))
-    shape = rows.groupBy("region_id").agg(F.max("n").cast("double").alias("n0"), F.count("*").cast("double").alias("m"), F.max(F.size("u")).alias("d"))
-    zeros = F.array_repeat(F.lit(0.0), F.col("d"))
-    state = cut_lineage(shape.select(
-        "region_id", "n0", "m", F.array_repeat(zeros, effects).alias("fitted"), F.array_repeat(zeros, effects).alias("resid"),
-        F.array_repeat(F.lit(0.0), effects).alias("v"), F.array_repeat(F.lit(0.0), effects).alias("lse"), F.lit(0.0).alias("moved")))
-    columns = state.columns
-
-    def put(column: str, k: int, value):
-        return F.transform(column, lambda x, i: F.when(i == k, value).otherwise(x))
-
-    def merge_evidence(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = None
-        for t, s in zip(pdf["top"], pdf["sums"]):
-            held = _shifted_add(held, np.asarray(t), np.asarray(s))
-        fit = held[0] + np.log(held[1])
-        k = int(fit.argmax())
-        return pd.DataFrame({"region_id": [pdf["region_id"].iloc[0]], "vk": [float(PRIOR_GRID[k])], "best": [float(fit[k])]})
-
-    def merge_posterior(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = None
-        for t, s in zip(pdf["top"], pdf["sums"]):
-            held = _shifted_add(held, float(t[0]), np.asarray(s))
-        top, sums = held
-        return pd.DataFrame({"region_id": [pdf["region_id"].iloc[0]], "lsek": [float(top + np.log(sums[0]))], "fit_k": [(sums[1:] / sums[0]).tolist()]})
-
-    converged = False
-    for _ in range(max_iter):
-        state = state.withColumn("moved", F.lit(0.0))
-        for k in range(effects):
-            others = F.aggregate(F.transform("fitted", lambda x, i: F.when(i == k, F.transform(x, lambda y: y * 0.0)).otherwise(x)),
-                                 F.transform(F.col("fitted")[0], lambda y: y * 0.0), lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
-            state = cut_lineage(state.withColumn("w", others))
-            # a group below is the partial sums of one region, one row per task
-            prior = _pass(rows, state.select("region_id", "n0", "w"), key_type, _evidence_part).groupBy("region_id").applyInPandas(
-                merge_evidence, f"region_id {key_type}, vk double, best double")
-            chosen = cut_lineage(state.join(prior, "region_id").withColumn("vk", F.when(F.col("best") > F.log("m"), F.col("vk")).otherwise(0.0)))
-            post = _pass(rows, chosen.select("region_id", "n0", "w", "vk"), key_type, _posterior_part).groupBy("region_id").applyInPandas(
-                merge_posterior, f"region_id {key_type}, lsek double, fit_k array<double>")
-            both = chosen.join(post, "region_id")
-            gap = F.aggregate(F.zip_with(F.col("fitted")[k], "fit_k", lambda p, q: F.abs(p - q)), F.lit(0.0), lambda a, b: F.greatest(a, b))
-            state = cut_lineage(both.withColumns({
-                "moved": F.greatest("moved", gap), "fitted": put("fitted", k, F.col("fit_k")), "resid": put("resid", k, F.col("w")),
-                "v": put("v", k, F.col("vk")), "lse": put("lse", k, F.col("lsek"))}).select(*columns))
-        if state.agg(F.max("moved")).head()[0] < tol:
-            converged = True
-            break
-    return _sets(rows, state, effects, coverage, min_abs_corr, key_type, id_type, converged)
-
-
-def _sets(rows, state, effects, coverage, min_abs_corr, key_type, id_type, converged) -> DataFrame:
+            yield pd.DataFrame([(r, e, t, s) for (r, e), (t, s) in held.items()], columns=["region_id", "effects", "top", "sums"])
+
+    data = tiles.select("region_id", "n", "z", "at", "matrix")
+    return data.join(hint(questions), "region_id").mapInPandas(run, _ANSWER.format(key=key_type))
+
+
+def _lifts(tiles: DataFrame, regions: DataFrame, hint, key_type: str, steps: int = 60) -> DataFrame:
+    """``regions`` with ``lift``: what the diagonal gets, from the smallest eigenvalue by Lanczos steps. Each step is one
+    product of all tiles with one vector per region; the vectors so far are kept, as their number is at most ``steps``."""
+    kind = f"region_id {key_type}, effects int, basis array<double>, alpha array<double>, beta array<double>, smallest double, done boolean"
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                q = np.random.default_rng(7).normal(size=int(row.width))
+                yield pd.DataFrame({"region_id": [row.region_id], "effects": 0, "basis": [q / np.linalg.norm(q)], "alpha": [[]], "beta": [[]], "smallest": 0.0, "done": False})
+
+    def answer(phase: int, vk: float, asked: np.ndarray, before: np.ndarray, block: fm.Block) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(1), block.vector(block.times(asked))
+
+    def move(key, held: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        row = next(held.itertuples(index=False))
+        if row.done:
+            return held
+        product = np.sum([np.asarray(s, float) for s in parts["sums"]], axis=0)
+        basis = np.asarray(row.basis, float).reshape(-1, len(product))
+        alpha, beta = [*row.alpha, float(basis[-1] @ product)], list(row.beta)
+        rest = product - basis.T @ (basis @ product)
+        rest -= basis.T @ (basis @ rest)  # twice, so that the vectors stay orthogonal
+        size = float(np.linalg.norm(rest))
+        least = float(np.linalg.eigvalsh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))[0])
+        settled = len(alpha) >= min(steps, len(product)) or size < 1e-10 or least < -fm.ROUNDING
+        if not settled:
+            basis, beta = np.vstack([basis, rest / size]), [*beta, size]
+        return pd.DataFrame({"region_id": [row.region_id], "effects": 0, "basis": [basis.ravel()], "alpha": [alpha], "beta": [beta], "smallest": least, "done": settled})
+
+    newest = F.slice("basis", -(F.size("basis") / (F.size("alpha") + 1)).cast("int"), (F.size("basis") / (F.size("alpha") + 1)).cast("int"))
+    state = cut_lineage(regions.mapInPandas(begin, kind))
+    while not state.filter("not done").isEmpty():
+        none = F.lit(0.0)
+        asked = state.filter("not done").select(
+            "region_id", "effects", F.lit(0).alias("phase"), none.alias("vk"), none.alias("lift"), newest.alias("asked"), newest.alias("before"))
+        parts = _answers(tiles, asked, hint, answer, key_type)
+        state = cut_lineage(state.groupBy("region_id", "effects").cogroup(parts.groupBy("region_id", "effects")).applyInPandas(move, kind))
+    lift = F.when(F.col("smallest") < -fm.ROUNDING, 1e-6).otherwise(0.0)
+    return regions.join(state.select("region_id", lift.alias("lift")), "region_id")
+
+
+# ---- results --------------------------------------------------------------------------
+
+
+def _sets(tiles, state, hint, square, coverage, min_abs_corr, key_type, id_type) -> DataFrame:
+    """PIPs and credible sets of the chosen fits; a variant's probabilities come again from the state."""
+
     def probabilities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for region, g in pdf.groupby("region_id", sort=False):
-                alphas = np.zeros((len(g), effects))
-                for k in range(effects):
-                    v = float(g["v"].iloc[0][k])
-                    if v > 0:
-                        bhat, _, s2 = _residual(g, g["resid"].iloc[0][k])
-                        alphas[:, k] = np.exp(_log_bf(bhat, s2, v) - g["lse"].iloc[0][k])
-                yield pd.DataFrame({"region_id": region, "id": g["id"].to_numpy(), "pip": 1 - np.prod(1 - alphas, axis=1), "alpha": alphas.tolist()})
-
-    per_variant = cut_lineage(salted_join(rows, state.select("region_id", "n0", "v", "resid", "lse"), ["region_id"]).mapInPandas(
-        probabilities, f"region_id {key_type}, id {id_type}, pip double, alpha array<double>"))
+            for row in pdf.itertuples(index=False):
+                block = block_of(row, row.lift)
+                others = np.asarray(row.others, float).reshape(len(row.v), -1)
+                alphas = np.array([block.alpha(w, v, lse) for w, v, lse in zip(others, row.v, row.lse, strict=True)]).T
+                live = alphas[:, np.asarray(row.v) > 1e-9]
+                place = row.at if row.at is not None else np.zeros(len(row.ids), np.int64)
+                yield pd.DataFrame({"region_id": row.region_id, "id": row.ids, "place": place, "pip": np.clip(1 - np.prod(1 - live, axis=1), 0, 1), "alpha": alphas.tolist()})
+
+    fits = state.select("region_id", "others", "v", "lse", "lift")
+    per_variant = cut_lineage(tiles.select("region_id", "ids", "n", "z", "at", "matrix").join(hint(fits), "region_id").mapInPandas(
+        probabilities, f"region_id {key_type}, id {id_type}, place long, pip double, alpha array<double>"))
     live = state.select("region_id", F.posexplode("v").alias("effect", "vk")).filter(F.col("vk") > 1e-9).select("region_id", "effect")
-    spread = salted_join(per_variant.select("region_id", "id", F.posexplode("alpha").alias("effect", "a")), live, ["region_id", "effect"])
-    before = running(spread, ["region_id", "effect"], pip_bucket(F.col("a")), [F.col("a").desc(), F.col("id")], F.col("a"), "before", exclusive=True)
-    members = cut_lineage(before.filter(F.col("before") < coverage).select("region_id", "effect", "id"))
-    # every pair of member tiles counts: one position for all, so no pair lies outside the window
-    packed = members.join(rows.select("region_id", "id", "u"), ["region_id", "id"]).select(
-        F.struct("region_id", "effect").alias("region"), "id", F.lit(0).cast("long").alias("pos"), "u")
+    spread = salted_join(per_variant.select("region_id", "id", "place", F.posexplode("alpha").alias("effect", "a")), live, ["region_id", "effect"])
+    before = running(spread, ["region_id", "effect"], fm.pip_bucket(F.col("a")), [F.col("a").desc(), F.col("id")], F.col("a"), "before", exclusive=True)
+    members = cut_lineage(before.filter(F.col("before") < coverage * (1 - 1e-12)).select("region_id", "effect", "id", "place"))
+    lowest = _purity_of_matrix if square else _purity_of_genotypes
+    purity = lowest(tiles, members, key_type).groupBy("region_id", "effect").agg(F.round(F.min("low"), 9).alias("purity"))
+    mark = members.groupBy("region_id", "effect").agg(F.count("*").alias("k"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
+    # sets of one region: at most one per effect
+    pure = purity.filter(F.col("purity") >= min_abs_corr).join(mark, ["region_id", "effect"])
+    single = pure.groupBy("region_id", "k", "h", "purity").agg(F.min("effect").alias("effect"))
+    order = Window.partitionBy("region_id").orderBy(F.col("purity").desc(), "effect")
+    named = single.withColumn("cs", F.row_number().over(order)).select("region_id", "effect", "cs")
+    of_variant = members.join(named, ["region_id", "effect"]).groupBy("region_id", "id").agg(F.max("cs").alias("cs"))
+    facts = state.select("region_id", "effects", "elbo", "converged")
+    return salted_join(per_variant, facts, ["region_id"]).join(of_variant, ["region_id", "id"], "left").select(
+        "region_id", "id", "pip", F.coalesce("cs", F.lit(0)).alias("cs"), "effects", "elbo", "converged")
+
+
+def _purity_of_genotypes(tiles: DataFrame, members: DataFrame, key_type: str) -> DataFrame:
+    """Smallest |r| per pair of member tiles; every pair counts: one position for all, so none lies outside the window."""
+    width = F.col("width").cast("int")
+    rows = tiles.select("region_id", width.alias("width"), "matrix", F.posexplode("ids").alias("k", "id")).select(
+        "region_id", "id", F.slice("matrix", F.col("k") * F.col("width") + 1, F.col("width")).alias("u"))
+    packed = members.join(rows, ["region_id", "id"]).select(F.struct("region_id", "effect").alias("region"), "id", F.lit(0).cast("long").alias("pos"), "u")
     pairs = ld.tile_pairs(ld.tiles(packed, [], 1), 0, [])
 
     def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,14 +350,20 @@ def _sets(rows, state, effects, coverage, min_abs_corr, key_type, id_type, conve
             yield pd.DataFrame({"region_id": pdf["region_id"], "effect": pdf["effect"], "low": low})
 
     flat = pairs.select("region.region_id", "region.effect", "a_ids", "a_u", "b_ids", "b_u")
-    purity = flat.mapInPandas(lowest, f"region_id {key_type}, effect int, low double").groupBy("region_id", "effect").agg(F.min("low").alias("purity"))
-    mark = members.groupBy("region_id", "effect").agg(F.count("*").alias("k"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
-    # sets of one region: at most one per effect
-    pure = purity.filter(F.col("purity") >= min_abs_corr).join(mark, ["region_id", "effect"])
-    single = pure.groupBy("region_id", "k", "h", "purity").agg(F.min("effect").alias("effect"))
-    order = Window.partitionBy("region_id").orderBy(F.col("purity").desc(), "effect")
-    named = single.withColumn("cs", F.row_number().over(order)).select("region_id", "effect", "cs")
-    of_variant = members.join(named, ["region_id", "effect"]).groupBy("region_id", "id").agg(F.max("cs").alias("cs"))
-    return per_variant.join(of_variant, ["region_id", "id"], "left").select(
-        "region_id", "id", "pip", F.coalesce("cs", F.lit(0)).alias("cs"), F.lit(effects).alias("effects"),
-        F.lit(None).cast("double").alias("elbo"), F.lit(converged).alias("converged"))
+    return flat.mapInPandas(lowest, f"region_id {key_type}, effect int, low double")
+
+
+def _purity_of_matrix(tiles: DataFrame, members: DataFrame, key_type: str) -> DataFrame:
+    """Smallest |r| per tile among the members' rows and columns; a set has at most as many places as the matrix has rows."""
+    places = members.groupBy("region_id", "effect").agg(F.collect_list("place").alias("places"))
+
+    def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                matrix = np.asarray(row.matrix, float).reshape(len(row.at), -1)
+                inside = np.isin(np.asarray(row.at), np.asarray(row.places))
+                if inside.any():
+                    low = float(np.abs(matrix[np.ix_(inside, np.asarray(row.places))]).min())
+                    yield pd.DataFrame({"region_id": [row.region_id], "effect": row.effect, "low": low})
+
+    return tiles.select("region_id", "at", "matrix").join(places, "region_id").mapInPandas(lowest, f"region_id {key_type}, effect int, low double")

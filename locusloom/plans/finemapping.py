@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from locusloom.functions.running import salted_join
+from locusloom.functions.running import numbered, salted_join
+from locusloom.operators import alignment
 from locusloom.operators import finemap as fm
 from locusloom.operators import heritability as h2
 from locusloom.operators import ld
@@ -171,6 +172,34 @@ def _(fx):
     return out.select("region_id", "id", F.round("pip", 5).alias("pip"))
 
 
+def _unturned(fx):
+    """Three quarters of the statistics, every fifth with its alleles, and so its effect, the other way round."""
+    turned = F.col("id") % 5 == 0
+    chr_, bp = F.col("region_id").alias("chr"), F.col("id").alias("bp")
+    a1, a2 = F.when(turned, "C").otherwise("A").alias("a1"), F.when(turned, "A").otherwise("C").alias("a2")
+    z = F.when(turned, -F.col("z")).otherwise(F.col("z")).alias("z")
+    return members(fx).filter("id % 4 <> 3").select("region_id", chr_, bp, a1, a2, z, "n")
+
+
+@query("susie_matrix_effect", f"""with {_SCORES},
+ ce as (select region, arg_min(u, id) as c1, arg_max(u, id) as c2 from c group by region),
+ z as (select region, id, 11*list_cosine_similarity(u, c1)+9*list_cosine_similarity(u, c2)+cast('0x'||substr(md5(cast(id as varchar)),1,4) as int)/65536.0::double-0.5::double as z from c join ce using(region) where id % 4 <> 3),
+ {_single_sql()}
+select region as region_id, region||':'||id||':C:A' as id, round(case when live then pip else 0 end,5) as pip from r where m >= 2""")
+def _(fx):
+    # the panel's matrix cut to the rows and columns that have statistics, turned with them, lifted where it is not semidefinite
+    rows = panel(fx).drop("annot")
+    stand = ld.standardised(rows).select(F.col("region").alias("region_id"), F.col("region").alias("chr"), F.col("id").alias("bp"), F.lit("A").alias("a1"), F.lit("C").alias("a2"))
+    placed = alignment.align_to_panel(_unturned(fx), stand, ["z", "n"])
+    at = numbered(ld.standardised(rows).select(F.col("region").alias("region_id"), "id"), ["region_id"], F.floor(F.col("id") / 1000), [F.col("id")], "k")
+    at = at.select("region_id", "id", (F.col("k") - 1).alias("k"))
+    side = lambda c: at.select("region_id", F.col("id").alias(c), F.col("k").alias(f"{c}_k"))
+    pairs = ld.ld_pairs(rows, WINDOW).withColumnRenamed("region", "region_id").join(side("i"), ["region_id", "i"]).join(side("j"), ["region_id", "j"])
+    cut = alignment.aligned_matrix(pairs.select("region_id", F.col("i_k").alias("i"), F.col("j_k").alias("j"), "r"), placed)
+    out = fm.susie_finemap_matrix(placed, cut, effects=1, key_type="int", id_type="string")
+    return out.select("region_id", "id", F.round("pip", 5).alias("pip"))
+
+
 @query("susie_finemap")
 def _(fx):
     # iterative; tests check simulated regions with known causal variants
