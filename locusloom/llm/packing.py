@@ -52,14 +52,15 @@ class Encoder:
 
     A space between two other characters always starts a token, so a text's ids are those of its space-led words: the
     distinct words of a batch are encoded joined, and cut apart by the byte lengths of their tokens. Texts with other
-    white space around spaces are encoded whole by the tokenizer of the file itself."""
+    white space around spaces, and texts that hold an added token of the file, are encoded whole by the tokenizer of the
+    file itself, as it comes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        special = {str(t): i for i, t in self._tokenizer.get_added_tokens_decoder().items()}
+        special = {str(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()}
+        self._added = sorted(special)
         byte, vocab = _byte_of(), self._tokenizer.get_vocab(with_added_tokens=False)
         ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
         self._fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -96,6 +97,8 @@ class Encoder:
         """Ids (uint32) of each text, in order."""
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, _UNSAFE)
+        for added in self._added:
+            whole = pc.or_(whole, pc.match_substring(texts, added))
         split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
@@ -141,27 +144,28 @@ class Windows:
 
     def add(self, piece: tuple) -> None:
         id_, start, tokens, ids = piece
-        while ids:
+        ids = memoryview(ids)  # cut without copying the rest
+        while len(ids):
             need = len(ids) // 4
             if need >= self.length:
-                head, ids = ids[: 4 * self.length], ids[4 * self.length :]
+                head, ids = bytes(ids[: 4 * self.length]), ids[4 * self.length :]
                 self._leave([(id_, start, tokens, head)])
                 start += self.length
                 continue
             at = bisect_left(self.open, (need, -1, []))
             if at == len(self.open) < self.most:
                 self.opened += 1
-                insort(self.open, (self.length - need, self.opened, [(id_, start, tokens, ids)]))
+                insort(self.open, (self.length - need, self.opened, [(id_, start, tokens, bytes(ids))]))
                 return
             if at == len(self.open):  # none fits: the fullest leaves
                 free, _, pieces = self.open.pop(0)
                 if free > self.slack:
-                    pieces.append((id_, start, tokens, ids[: 4 * free]))
+                    pieces.append((id_, start, tokens, bytes(ids[: 4 * free])))
                     ids, start = ids[4 * free :], start + free
                 self._leave(pieces)
                 continue
             free, number, pieces = self.open.pop(at)
-            pieces.append((id_, start, tokens, ids))
+            pieces.append((id_, start, tokens, bytes(ids)))
             if free == need:
                 self._leave(pieces)
             else:

@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import defaultdict
 
@@ -16,9 +17,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=150, deadline=None)
@@ -83,3 +82,13 @@ def test_fullest_window_leaves_when_none_fits():
     assert [(p[0], p[1], len(p[3]) // 4, p[5]) for p in w.out] == [(1, 0, 7, 0), (2, 0, 3, 7)]
     w.close()
     assert sum(len(p[3]) // 4 for p in w.out) == 18
+
+
+def test_a_long_document_takes_time_in_proportion():
+    def seconds(tokens):
+        started = time.perf_counter()
+        packing.Windows(0).add((1, 0, tokens, bytes(4 * tokens)))
+        return time.perf_counter() - started
+
+    seconds(100_000)
+    assert seconds(8_000_000) < 12 * max(seconds(2_000_000), 0.02)

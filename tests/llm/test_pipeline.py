@@ -76,7 +76,6 @@ def test_mixture(stages):
 def test_sequences(spark, stages):
     (_, given), (_, pieces) = stages[4], stages[5]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     check_packing(spark, tokenizer, [(r.doc_id, r.text) for r in given], pieces)
 
 
