@@ -133,11 +133,12 @@ def whole_copies(cells: DataFrame, wanted: DataFrame, solved: DataFrame, cap: fl
 
 def mixed_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: id, draw (hash of id and text), key of its source, size, source_size, target and copies."""
+    """One row per document: id, draw (hash of id and text), key of its source, size, source_size, target, copies and the
+    columns ``also``."""
     sized = saved(docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")).alias("key"),
+        *also, F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")).alias("key"),
         word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col).alias("draw"),
     ), "sized")
     cells = saved(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "cells")
@@ -150,13 +151,13 @@ def mixed_copies(
     ahead = Window.partitionBy("key", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     counts = sized.groupBy("key", "size", "slot").agg(F.count("*").alias("held"))
     begins = saved(counts.withColumn("begin", F.coalesce(F.sum("held").over(ahead), F.lit(0))).drop("held"), "slots")
-    inside = Window.partitionBy("key", "size", "slot").orderBy("draw", "id")
+    inside = Window.partitionBy("key", "size", "slot").orderBy("draw", "id", *also)
     placed = sized.withColumn("place", F.row_number().over(inside))
     begins = begins.join(plan, ["key", "size"])
     extra = (F.col("begin") + F.col("place") <= F.pmod(F.col("copies"), F.col("n"))).cast("long")
     return placed.drop("n").join(begins, ["key", "size", "slot"]).withColumn(
         "copies", F.floor(F.col("copies") / F.col("n")) + extra
-    ).select("id", "draw", "key", "size", "source_size", "target", "copies")
+    ).select("id", "draw", "key", "size", "source_size", "target", "copies", *also)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -168,14 +169,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it."""
-    key = ["__no", "__id", "__draw"]
-    named = lambda df, id_, draw: df.select("*", F.col(id_).isNull().alias("__no"), F.coalesce(F.col(id_), F.lit(0)).alias("__id"), draw.alias("__draw"))
-    times = saved(
-        named(mixed_copies(docs, id_col, text_col, source_col, **how), "id", F.col("draw"))
-        .groupBy(*key).agg(F.sum("copies").cast("int").alias("__times")).filter("__times > 0"), "times",
-    )
-    taken = named(docs, id_col, F.xxhash64(id_col, text_col)).join(times, key).dropDuplicates(key)
+    """``docs`` with every row as often as the mix takes it. Rows go by a hash of all their columns, so rows that are equal in
+    id and text but not elsewhere stay apart, and what counts as one row is equal in every column."""
+    plain = [F.sort_array(F.map_entries(c)) if kind.startswith("map") else F.col(c) for c, kind in docs.dtypes]
+    key = ["__key", "__draw", "__whole"]
+    named = docs.select("*", F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")).alias("__key"),
+                        F.xxhash64(id_col, text_col).alias("__draw"), F.xxhash64(*plain).alias("__whole"))
+    copies = mixed_copies(named, id_col, text_col, source_col, also=("__whole",), **how)
+    times = copies.groupBy(F.col("key").alias("__key"), F.col("draw").alias("__draw"), "__whole").agg(F.sum("copies").cast("int").alias("__times"))
+    taken = named.dropDuplicates(key).join(saved(times.filter("__times > 0"), "times"), key)
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from locusloom.llm import mixing
 
@@ -58,6 +59,30 @@ def test_odd_rows(spark, documents, odd_rows):
     assert {r.taken for r in rows if r.doc_id in (1, 2, 3)} == {0}
     again = mixing.mixture(documents(odd_rows))
     assert again.columns == ["doc_id", "text", "lang", "source", "n_chars", "line"]
-    times = {i: sum(r.copies for r in rows if r.doc_id == i) for i in (5, 6, 7, 8)}
-    assert {i: sum(r.doc_id == i for r in again.collect()) for i in times} == times
+    assert taken_rows(documents(odd_rows)) == copied_rows(documents(odd_rows))
     assert mixing.mix(documents([])).count() == 0
+
+
+def taken_rows(docs):
+    return sorted((tuple(r) for r in mixing.mixture(docs).collect()), key=str)
+
+
+def copied_rows(docs):
+    """Every row as often as its copies say; ``also`` carries a place that only the test knows."""
+    numbered = docs.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+    whole = F.xxhash64(*docs.columns)
+    copies = {}
+    for r in mixing.mixed_copies(docs.withColumn("whole", whole), also=("whole",)).collect():
+        copies.setdefault(r.whole, []).append(r.copies)
+    out = []
+    for r in numbered.withColumn("whole", whole).collect():
+        out += [tuple(r[c] for c in docs.columns)] * copies[r.whole].pop()
+    return sorted(out, key=str)
+
+
+def test_rows_equal_in_id_and_text_stay_apart(spark):
+    rows = [("1", "a b c d", "A", 1), ("1", "a b c d", "B", 2), ("1", "a b c d", "B", 3), ("2", "a b c d e f", "A", 4), ("3", "a b c d e", "B", 5), ("3", "a b c d e", "B", 5), (None, "x y", "A", 6), (None, "x y", "A", 7)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, place2 int")
+    got = taken_rows(docs)
+    assert got == copied_rows(docs)
+    assert all(got.count(r) <= 2 * rows.count(r) for r in rows) and set(got) <= set(rows)
