@@ -116,12 +116,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
-    """The first row of each group, with all columns of ``docs``."""
-    first = _grouped(docs, id_col, text_col, distance).select("first.*").distinct()
-    first = saved(first.select(F.col("no_id").alias("__no"), F.coalesce("id", F.lit(0)).alias("__id"), F.col("hash").alias("__hash")), "first")
-    key = ["__no", "__id", "__hash"]
-    keyed = docs.select("*", F.col(id_col).isNull().alias("__no"), F.coalesce(F.col(id_col), F.lit(0)).alias("__id"), F.xxhash64(text_col).alias("__hash"))
-    return keyed.join(first, key).dropDuplicates(key).select(*docs.columns)
+    """The first row of each group, with all columns of ``docs``; of rows equal in id and text that with the smallest hash of
+    all columns."""
+    first = saved(_grouped(docs, id_col, text_col, distance).select("first.*").distinct().select(F.col("id").alias("__id"), F.col("hash").alias("__of")), "first")
+    plain = [F.sort_array(F.map_entries(c)) if kind.startswith("map") else F.col(c) for c, kind in docs.dtypes]
+    keyed = docs.select(F.col(id_col).alias("__key"), F.xxhash64(text_col).alias("__hash"), F.xxhash64(*plain).alias("__whole"), F.struct(*docs.columns).alias("__row"))
+    met = keyed.join(first, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of")))
+    return met.groupBy("__key", "__hash").agg(F.min_by("__row", "__whole").alias("row")).select("row.*")
 
 
 @query("op9_simhash")

@@ -57,3 +57,13 @@ def test_odd_rows(spark, documents, odd_rows):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "line"]
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7]
     assert simhash.near_duplicates(documents([])).count() == 0
+
+
+def test_representatives_of_text_ids_and_of_rows_that_differ_elsewhere(spark):
+    text = "one two three four five six seven"
+    rows = [("b", text, 1), ("b", text, 2), ("a", text + " ", 3), (None, text, 4), ("c", "other words here altogether", 5), (None, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, place int")
+    got = sorted(map(tuple, simhash.representatives(docs).collect()), key=str)
+    assert [r[0] for r in got] == ["a", "c", None] or len(got) == 3
+    assert ("c", "other words here altogether", 5) in got and (None, None, 6) in got
+    assert got == sorted(map(tuple, simhash.representatives(docs.repartition(5)).collect()), key=str)
