@@ -35,6 +35,7 @@ from locusloom.llm.topk import products
 from locusloom.llm.vectors import usable
 
 SEGMENTS, TILE, SLOT, BLOCK, STRIP, CELLS = 8, 8192, 4096, 2048, 256, 32
+MOST_TASKS = 10_000
 _LOOSE = 1e-3  # summaries travel as 32-bit numbers: bounds widen by its square times both lengths
 _HUGE = 1e30  # from this length on summaries bound nothing
 _DENSE = 0.05
@@ -259,7 +260,8 @@ def meet(pairs: DataFrame, slots: DataFrame, tiles: DataFrame, run) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=_FOUND)
         release()
 
-    joined = pairs.join(_spread(tiles, "b", "tile"), "tile").join(slots, "slot")
+    spread = max(1, min(pairs.count(), MOST_TASKS))  # by tile: a slot meets most tiles, and there are few slots
+    joined = pairs.join(slots, "slot").repartition(spread, "tile").join(_spread(tiles, "b", "tile").repartition(spread, "tile"), "tile")
     return joined.mapInArrow(work, "slot long, place long, part long, anchor_id long, vec_id long, score long")
 
 
@@ -292,8 +294,8 @@ def hard_negatives(
 
     each = F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("cell")
     cell = F.pmod(F.xxhash64("tile"), F.lit(CELLS)).cast("int").alias("cell")
-    same = slots.select(F.col("tile").alias("slot"), "dim", "held", each).select("slot", "dim", "cell", F.explode("held").alias("label")).join(
-        tiles.select("tile", "dim", cell, F.explode("held").alias("label")), ["dim", "cell", "label"]).select("slot", "tile", "dim").distinct()
+    same = saved(slots.select(F.col("tile").alias("slot"), "dim", "held", each).select("slot", "dim", "cell", F.explode("held").alias("label")).join(
+        tiles.select("tile", "dim", cell, F.explode("held").alias("label")), ["dim", "cell", "label"]).select("slot", "tile", "dim").distinct(), "pairs")
     near = meet(same, _spread(slots, "a", "slot"), tiles, find_positives)
     rank = F.row_number().over(Window.partitionBy("slot", "place").orderBy(F.desc("score"), "vec_id"))
     near = saved(near.withColumn("part", rank.cast("long")).filter(F.col("part") <= positives), "positives")
@@ -321,9 +323,9 @@ def hard_negatives(
     border = lambda i: F.floor(i * dims / count)
     lengths = F.transform(F.sequence(F.lit(1), count), lambda i: (border(i) - border(i - 1)).cast("double"))
     alone = (F.col("s.least_label") == F.col("s.most_label")) & (F.col("t.least_label") == F.col("t.most_label")) & (F.col("s.least_label") == F.col("t.least_label"))
-    pairs = s.join(t, ["dim", "cell"]).withColumn("lengths", lengths).filter(
+    pairs = saved(s.join(t, ["dim", "cell"]).withColumn("lengths", lengths).filter(
         ~alone & F.col("s.least").isNotNull() & (bound(1) >= F.col("s.least")) & (bound(-1) <= F.col("s.most"))
-    ).select(F.col("s.tile").alias("slot"), F.col("t.tile").alias("tile"), "dim")
+    ).select(F.col("s.tile").alias("slot"), F.col("t.tile").alias("tile"), "dim"), "pairs")
     given = _spread(slots, "a", "slot").join(asked.select("slot", "near"), "slot")
     far = meet(pairs, given, tiles, find_negatives)
     place = F.row_number().over(Window.partitionBy("slot", "place", "part").orderBy(F.desc("score"), "vec_id"))
