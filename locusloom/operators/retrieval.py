@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusloom.functions.running import salted_join, top_k
 
+
 def _dot(a: Column, b: Column) -> Column:
     product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(product, F.lit(0.0), lambda s, v: s + v)
@@ -44,57 +46,63 @@ def term_text(term: Column, desc: Column, sep: str = " [SEP] ") -> Column:
     return F.concat_ws(sep, F.coalesce(term, F.lit("")), F.coalesce(desc, F.lit("")))
 
 
-_GRAMS, _BITS = (1, 2, 4, 8, 16), 1 << 16
-
-
-def _bit_words(grams: DataFrame) -> list[int]:
-    """Bit set of fixed size over the hashes of ``__gram``."""
-    bit = F.pmod(F.xxhash64("__gram"), F.lit(_BITS))
-    rows = grams.select(bit.alias("b")).select(
-        F.expr("b div 64").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m")
-    ).groupBy("w").agg(F.bit_or("m").alias("m")).collect()  # at most _BITS / 64 rows
-    words = [0] * (_BITS // 64)
-    for r in rows:
-        words[r.w] = r.m
-    return words
-
-
-def _listed(words: Column) -> Callable[[Column], Column]:
-    def test(gram: Column) -> Column:
-        bit = F.pmod(F.xxhash64(gram), F.lit(_BITS))
-        return F.getbit(F.element_at(words, (F.floor(bit / 64) + 1).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1
-
-    return test
+CHUNK_BYTES = 4 << 20  # pattern text that one automaton holds
 
 
 def contains_pairs(texts: DataFrame, patterns: DataFrame, text_id: str, text: str, pattern_id: str, pattern: str) -> DataFrame:
-    """(text_id, pattern_id) with the pattern inside the text, letter case ignored.
+    """(text_id, pattern_id) for every text and pattern row with the pattern inside the text, letter case ignored.
 
-    Patterns are keyed by their first 1, 2, 4, 8 or 16 characters, the most they have. Of a text's stretches of such
-    a length only those in a bit set of the keys are laid out as rows; an equi-join on the stretch finds candidates,
-    and each candidate is decided once on the whole text. A full bit set lets everything pass.
+    Patterns are cut into chunks of at most ``CHUNK_BYTES`` of text; a chunk becomes an Aho-Corasick automaton in the
+    tasks, which passes over each text once, whatever the number of patterns in it. There are as many passes as chunks.
+    Null and empty patterns, and null texts, match nothing.
     """
-    pats = patterns.select(pattern_id, F.lower(pattern).alias("__pat")).filter(F.length("__pat") > 0)
-    low = texts.select(text_id, F.lower(text).alias("__text"))
-    long = F.length("__pat")
-    size = F.lit(_GRAMS[0])
-    for q in _GRAMS[1:]:
-        size = F.when(long >= q, q).otherwise(size)
-    keyed = pats.withColumn("__q", size).withColumn("__gram", F.expr("substring(__pat, 1, __q)"))
+    pats = patterns.select(F.col(pattern_id).alias("id"), F.lower(pattern).alias("low")).filter(F.length("low") > 0)
+    size = pats.agg(F.sum(F.octet_length("low") + 16)).head()[0] or 0
+    chunks = max(1, -(-2 * size // CHUNK_BYTES))  # hashed, so chunks of half the size on average
+    low = texts.filter(F.col(text).isNotNull()).select(F.col(text_id).alias("text_id"), F.lower(text).alias("text"))
+    kinds = f"{text_id} {texts.schema[text_id].dataType.simpleString()}, {pattern_id} {patterns.schema[pattern_id].dataType.simpleString()}"
     found = None
-    for q in sorted(r[0] for r in keyed.select("__q").distinct().collect()):  # at most five
-        mine = keyed.filter(F.col("__q") == q)
-        words = F.from_json(F.lit(json.dumps(_bit_words(mine))), "array<bigint>")
-        stretches = F.array_distinct(F.regexp_extract_all("__text", F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
-
-        parts = low.select(text_id, F.explode(F.filter(stretches, _listed(words))).alias("__gram"))
-        met = parts.join(mine, "__gram").select(text_id, pattern_id, "__pat").distinct()
-        found = met if found is None else found.union(met)
-    if found is None:
-        return texts.select(text_id).join(pats.select(pattern_id), F.lit(False))
-    sure = F.length("__pat").isin(*_GRAMS)  # such a pattern is its own key
-    whole = found.filter(~sure).join(low, text_id).filter(F.contains("__text", "__pat"))
-    return found.filter(sure).select(text_id, pattern_id).unionByName(whole.select(text_id, pattern_id))
+    for chunk in range(chunks):
+        mine = pats.filter(F.pmod(F.xxhash64("low"), F.lit(chunks)) == chunk).toArrow()  # of bounded size
+        part = low.mapInArrow(_matcher(mine["id"].combine_chunks(), mine["low"].to_pylist(), (text_id, pattern_id)), kinds)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _matcher(ids: pa.Array, patterns: list[str], names: tuple[str, str]):
+    """Batches of (text id, text) to pairs of ids; the automaton is built once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, rows = ahocorasick.Automaton(), {}
+        for i, p in enumerate(patterns):
+            rows.setdefault(p, []).append(i)
+        for p, places in rows.items():
+            automaton.add_word(p, tuple(places))
+        automaton.make_automaton()
+        for batch in batches:
+            left, right = [], []
+            for n, text in enumerate(batch.column(1).to_pylist() if rows else []):
+                hits = [i for places in {places for _, places in automaton.iter(text)} for i in places]
+                left += [n] * len(hits)
+                right += hits
+            pairs = [batch.column(0).take(pa.array(left, pa.int64())), ids.take(pa.array(right, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(pairs, list(names))
+
+    return run
+
+
+def matched_replies(replies: DataFrame, table: DataFrame) -> DataFrame:
+    """(request_id, id, term, rank, reason, genes, p): enrichment rows that a structured reply names, with its rank and reason.
+
+    ``replies(request_id, place, name, rank, reason)`` in the order of the reply, ``table(request_id, row, id, term, genes,
+    p)`` in the order of the enrichment table. A named term takes the first row whose term holds the name, letter case
+    ignored; of several that take the same id the first in the reply counts. Names without a row, null or empty ones drop.
+    """
+    named = replies.filter(F.length("name") > 0).select("request_id", "place", F.lower("name").alias("__name"), "rank", "reason")
+    met = salted_join(table, named, ["request_id"]).filter(F.contains(F.lower("term"), F.col("__name")))
+    first = top_k(met, ["request_id", "place"], [F.col("row"), F.col("id")], 1)
+    once = top_k(first, ["request_id", "id"], [F.col("place")], 1)
+    return once.select("request_id", "id", "term", "rank", "reason", "genes", "p")
 
 
 def first_match(pairs: DataFrame, text_id: str, pattern_id: str) -> DataFrame:

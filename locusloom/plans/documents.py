@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from locusloom.functions.session import scratch_path
 from locusloom.operators import tables as tb
 from locusloom.plans.registry import query
+from locusloom.sources.stored import StoredTable
 
 
 @query("upsert_latest", """
@@ -19,6 +21,27 @@ def _(fx):
     return tb.upsert(rows.filter(half == 0), rows.filter(half == 1), ["lead_variant_id", "type"], [F.col("version").desc()])
 
 
+@query("stored_changes", """
+with allv as (select o_custkey as lead_variant_id, o_orderpriority as type, o_orderkey as version, round(o_totalprice,2) as score from orders),
+ newest as (select lead_variant_id, type, version, score from (select *, row_number() over (partition by lead_variant_id, type order by version desc) as rn from allv) t where rn=1)
+select lead_variant_id, type, version, score from newest where lead_variant_id%50<>0
+union all select lead_variant_id, type, 0, 0.0::double from newest where lead_variant_id%50=0""")
+def _(fx):
+    # two upserts, one of them twice under its name, and a replacement of some keys, read back from storage
+    rows = fx.orders.select(
+        F.col("o_custkey").alias("lead_variant_id"), F.col("o_orderpriority").alias("type"),
+        F.col("o_orderkey").alias("version"), F.round("o_totalprice", 2).alias("score"))
+    spark = rows.sparkSession
+    table = StoredTable(spark, scratch_path(spark, "stored"), "lead_variant_id long, type string, version long, score double", ["lead_variant_id", "type"], 16)
+    newest, half = [F.col("version").desc(), F.col("score")], F.col("version") % 2
+    table.upsert(rows.filter(half == 0), newest, "even")
+    table.upsert(rows.filter(half == 1), newest, "odd")
+    table.upsert(rows.filter(half == 1).withColumn("version", F.col("version") + 1), newest, "odd")
+    some = rows.filter("lead_variant_id % 50 = 0").select("lead_variant_id", "type").distinct()
+    table.replace(some.withColumns({"version": F.lit(0).cast("long"), "score": F.lit(0.0)}), ["lead_variant_id", "type"], "reset")
+    return table.read()
+
+
 @query("partial_update", """
 select o_orderkey as id, case when o_orderkey%3=0 then 'done' else o_orderstatus end as status,
   case when o_orderkey%9=0 then 'HIGH' else o_orderpriority end as priority from orders""")

@@ -224,6 +224,21 @@ def _(fx):
     return rt.first_match(rt.contains_pairs(fx.documents, _patterns(fx), "doc_id", "text", "name", "name"), "doc_id", "name")
 
 
+@query("matched_replies", """
+with t as (select p_partkey%7 as request_id, p_partkey as row, p_name||' '||p_brand as id, p_name as term, p_type as genes, p_retailprice as p from part),
+ r as (select p_partkey%7 as request_id, p_partkey as place, upper(string_split(p_name,' ')[1]) as name, p_size as rank, p_type as reason from part where p_partkey%9=0),
+ m as (select r.place, r.rank, r.reason, t.*, row_number() over (partition by r.request_id, r.place order by t.row) as k from r join t on t.request_id=r.request_id and contains(lower(t.term), lower(r.name))),
+ o as (select *, row_number() over (partition by request_id, id order by place) as j from m where k=1)
+select request_id, id, term, rank, reason, genes, p from o where j=1""")
+def _(fx):
+    request = (F.col("p_partkey") % 7).alias("request_id")
+    table = fx.part.select(request, F.col("p_partkey").alias("row"), F.concat_ws(" ", "p_name", "p_brand").alias("id"), F.col("p_name").alias("term"),
+                           F.col("p_type").alias("genes"), F.col("p_retailprice").alias("p"))
+    replies = fx.part.filter("p_partkey % 9 = 0").select(
+        request, F.col("p_partkey").alias("place"), F.upper(F.split("p_name", " ")[0]).alias("name"), F.col("p_size").alias("rank"), F.col("p_type").alias("reason"))
+    return rt.matched_replies(replies, table)
+
+
 @query("passages", """
 with s as (select doc_id, coalesce(source,'') as title, string_split(text,' ') as w from documents where text is not null),
  b as (select doc_id, title, w, i from s, unnest(range(0, (len(w)-1)//100+1)) as u(i))
