@@ -222,10 +222,19 @@ def shared(line: np.ndarray, token: np.ndarray, size: np.ndarray, i: np.ndarray,
     return out
 
 
-def _alike(x: str, y: str) -> bool:
-    a, b = _shingles(x), _shingles(y)
-    both = len(a & b)
-    return both >= SIMILAR * (len(a) + len(b) - both)
+class Exact:
+    """The decision on text for two of ``lines``; a line's shingles are laid out once."""
+
+    def __init__(self, lines: list[str]):
+        self.lines, self.sets = lines, {}
+
+    def alike(self, i: int, j: int) -> bool:
+        for k in (i, j):
+            if k not in self.sets:
+                self.sets[k] = _shingles(self.lines[k])
+        a, b = self.sets[i], self.sets[j]
+        both = len(a & b)
+        return both >= SIMILAR * (len(a) + len(b) - both)
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -240,9 +249,9 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             i, j = code[: len(batch)], code[len(batch) :]
             line, token, size = shingle_tokens(text)
             met = shared(line, token, size, i, j)
-            good = met >= SIMILAR * (size[i] + size[j] - met)
+            good, exact = met >= SIMILAR * (size[i] + size[j] - met), Exact(text)
             for k in np.flatnonzero(good):  # hashes may only propose
-                good[k] = _alike(text[i[k]], text[j[k]])
+                good[k] = exact.alike(int(i[k]), int(j[k]))
             yield batch.filter(pa.array(good)).select(["a", "b"])
         release()
 
@@ -275,10 +284,13 @@ def similar_roots(lines: list[str], roots: np.ndarray, sides: np.ndarray, one_bl
     meet = (roots[i] != roots[j]) & (short >= SIMILAR * long) & (one_block | (sides[i] != sides[j]))
     i, j = i[meet], j[meet]
     both = _overlaps(len(lines), row, token)[i, j] if len(i) > 2 * len(lines) else shared(row, token, size, i, j)
-    alike = np.flatnonzero(both >= SIMILAR * (size[i] + size[j] - both))
-    alike = alike[[_alike(lines[i[k]], lines[j[k]]) for k in alike]] if len(alike) else alike
-    a, b = roots[i[alike]], roots[j[alike]]
-    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    found, exact = set(), Exact(lines)
+    for k in np.flatnonzero(both >= SIMILAR * (size[i] + size[j] - both)).tolist():
+        a, b = int(i[k]), int(j[k])
+        pair = tuple(sorted((int(roots[a]), int(roots[b]))))
+        if pair not in found and exact.alike(a, b):
+            found.add(pair)
+    return np.array(sorted(found), np.int64).reshape(-1, 2).T
 
 
 def rest(lines: DataFrame, roots: DataFrame) -> DataFrame:
