@@ -36,7 +36,7 @@ from locusloom.llm.registry import query, table
 SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 12, 4
 BITS = 1 << 24
 GROUP, GROUP_BYTES = 256, 1 << 18
-_BLANK, _BLOCK, _WIDE, _PAIRED = " \t\r", 1 << 15, 4096, 1 << 20
+_BLANK, _BLOCK, _WIDE = " \t\r", 1 << 15, 4096
 _MULTIPLIERS = np.random.default_rng(11).integers(1 << 31, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,12 +109,24 @@ def star(band: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return order, order[head], np.searchsorted(head, np.arange(len(order)), side="right") - 1
 
 
+def several(batches: Iterator[pa.RecordBatch], size: int = 6 << 20) -> Iterator[pa.Array]:
+    """The first columns of some batches together, of about ``size`` bytes: repeats among more lines leave at once."""
+    held: list[pa.Array] = []
+    for batch in batches:
+        held.append(batch.column(0))
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.concat_arrays(held)
+            held = []
+    if held:
+        yield pa.concat_arrays(held)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(a, b): pairs of line keys to verify."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines, keys = batch_lines(batch.column(0))
+        for texts in several(batches):
+            lines, keys = batch_lines(texts)
             long = pc.greater_equal(pc.utf8_length(lines), SHINGLE).to_numpy(zero_copy_only=False)
             if not long.any():
                 continue
@@ -183,76 +195,20 @@ def _shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
 
-def shingle_tokens(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, number of its shingle) of all distinct shingles, by line, and how many each line has. Shingles are numbered by
-    64-bit hashes."""
-    sizes = np.array([max(len(x) - SHINGLE + 1, 0) for x in lines], np.int64)
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if not sizes.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), sizes
-    whole = codes[: len(codes) - SHINGLE + 1].copy()
-    for i in range(1, SHINGLE):
-        whole = (whole ^ (whole >> np.uint64(29))) * _MIX + codes[i : len(codes) - SHINGLE + 1 + i]
-    whole = (whole ^ (whole >> np.uint64(32))) * _MIX
-    lengths = np.array([len(x) for x in lines], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    line = np.repeat(np.arange(len(lines)), sizes)
-    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(line))
-    numbers, token = np.unique(whole[at], return_inverse=True)
-    both = np.unique(line * len(numbers) + token)
-    line, token = both // len(numbers), both % len(numbers)
-    return line, token, np.bincount(line, minlength=len(lines))
-
-
-def shared(line: np.ndarray, token: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Number of shingles that lines i[k] and j[k] share, for every k."""
-    first, width = np.cumsum(size) - size, int(token.max(initial=0)) + 1
-    out = np.zeros(len(i), np.int64)
-    cost = np.cumsum(size[i] + size[j])
-    at = 0
-    while at < len(i):  # blocks of bounded size
-        upto = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + _PAIRED)))
-        n = np.concatenate([size[i[at:upto]], size[j[at:upto]]])
-        begin = np.concatenate([first[i[at:upto]], first[j[at:upto]]])
-        pair = np.repeat(np.tile(np.arange(upto - at), 2), n)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin, n)
-        key = np.sort(pair * width + token[place])
-        out[at:upto] = np.bincount(key[1:][key[1:] == key[:-1]] // width, minlength=upto - at)
-        at = upto
-    return out
-
-
-class Exact:
-    """The decision on text for two of ``lines``; a line's shingles are laid out once."""
-
-    def __init__(self, lines: list[str]):
-        self.lines, self.sets = lines, {}
-
-    def alike(self, i: int, j: int) -> bool:
-        for k in (i, j):
-            if k not in self.sets:
-                self.sets[k] = _shingles(self.lines[k])
-        a, b = self.sets[i], self.sets[j]
-        both = len(a & b)
-        return both >= SIMILAR * (len(a) + len(b) - both)
-
-
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs whose shingle sets have Jaccard similarity SIMILAR or more."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, set()
         for batch in batches:
-            if not len(batch):
-                continue
-            both = pa.concat_arrays([batch.column(2), batch.column(3)]).dictionary_encode()
-            text, code = both.dictionary.to_pylist(), both.indices.to_numpy()
-            i, j = code[: len(batch)], code[len(batch) :]
-            line, token, size = shingle_tokens(text)
-            met = shared(line, token, size, i, j)
-            good, exact = met >= SIMILAR * (size[i] + size[j] - met), Exact(text)
-            for k in np.flatnonzero(good):  # hashes may only propose
-                good[k] = exact.alike(int(i[k]), int(j[k]))
-            yield batch.filter(pa.array(good)).select(["a", "b"])
+            keep = []
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if a != last:
+                    last, known = a, _shingles(x)
+                other = _shingles(y)
+                both = len(known & other)
+                keep.append(both >= SIMILAR * (len(known) + len(other) - both))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
         release()
 
     met = pairs.join(lines.select(F.col("key").alias("b"), F.col("line").alias("y")), "b").join(
@@ -260,17 +216,20 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _overlaps(lines: int, row: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of every two lines. Shingles of one line alone are left out, they are in none."""
-    often = np.bincount(token) > 1
+def _overlaps(sets: list[set[str]]) -> np.ndarray:
+    """Sizes of the intersections of every two sets. Shingles of one line alone are left out, they are in none."""
+    ids: dict[str, int] = {}
+    token = np.array([ids.setdefault(x, len(ids)) for s in sets for x in s], np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(token, minlength=len(ids)) > 1
     number = np.cumsum(often) - 1
     row, token = row[often[token]], number[token[often[token]]]
     order = np.argsort(token, kind="stable")
     row, token = row[order], token[order]
-    out = np.zeros((lines, lines))
+    out = np.zeros((len(sets), len(sets)))
     for low in range(0, int(often.sum()), _WIDE):
         a, b = np.searchsorted(token, [low, low + _WIDE])
-        part = np.zeros((lines, _WIDE), np.float32)
+        part = np.zeros((len(sets), _WIDE), np.float32)
         part[row[a:b], token[a:b] - low] = 1
         out += part @ part.T
     return out
@@ -278,19 +237,19 @@ def _overlaps(lines: int, row: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 def similar_roots(lines: list[str], roots: np.ndarray, sides: np.ndarray, one_block: bool) -> np.ndarray:
     """Pairs (columns) of different roots with similar lines, of every two lines or of those on different sides."""
-    row, token, size = shingle_tokens(lines)
-    i, j = np.triu_indices(len(lines), 1)
+    sets = [_shingles(x) for x in lines]
+    size = np.array([len(s) for s in sets], np.int64)
+    i, j = np.triu_indices(len(sets), 1)
     long, short = np.maximum(size[i], size[j]), np.minimum(size[i], size[j])
     meet = (roots[i] != roots[j]) & (short >= SIMILAR * long) & (one_block | (sides[i] != sides[j]))
     i, j = i[meet], j[meet]
-    both = _overlaps(len(lines), row, token)[i, j] if len(i) > 2 * len(lines) else shared(row, token, size, i, j)
-    found, exact = set(), Exact(lines)
-    for k in np.flatnonzero(both >= SIMILAR * (size[i] + size[j] - both)).tolist():
-        a, b = int(i[k]), int(j[k])
-        pair = tuple(sorted((int(roots[a]), int(roots[b]))))
-        if pair not in found and exact.alike(a, b):
-            found.add(pair)
-    return np.array(sorted(found), np.int64).reshape(-1, 2).T
+    if len(i) > 2 * len(sets):
+        both = _overlaps(sets)[i, j]
+    else:
+        both = np.array([len(sets[x] & sets[y]) for x, y in zip(i, j, strict=True)], float)
+    alike = both >= SIMILAR * (size[i] + size[j] - both)
+    a, b = roots[i[alike]], roots[j[alike]]
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
 
 
 def rest(lines: DataFrame, roots: DataFrame) -> DataFrame:
