@@ -5,7 +5,10 @@ items, rows and cells, missing rows, unclosed elements); visibility rules take o
 renderer walks the tree and writes every visible text with blank lines around paragraphs, headings and the like, bullets
 and numbers of lists with their indents, kept white space in ``pre``, and table cells in aligned columns.
 
-Walks use explicit stacks, so nesting may be of any depth. Columns wider than ``ALIGNED`` characters are not padded.
+Walks use explicit stacks, so nesting may be of any depth, and time grows with the length of a page: open elements are
+found by the places of their name, and a scan for the end of a tag that fails leaves a note for the next one. Columns wider
+than ``ALIGNED`` characters are not padded, indents stop at ``ALIGNED``, and tables inside ``DEEP`` others are written as
+blocks; no text is lost by that.
 
 Defined results: a null page gives null, an empty one or one without visible text an empty text; a broken tag at the end
 is text as far as it is none; repeated rows and null ids keep their own row; an empty table gives an empty table; other
@@ -15,6 +18,8 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,6 +31,7 @@ from locusloom.llm.common import bounded_batches, release
 from locusloom.llm.registry import query, table
 
 ALIGNED = 80
+DEEP = 16
 
 # Element names of HTML by what they do.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,16 +51,16 @@ ENDS: dict[str, tuple[set[str], set[str]]] = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, _TABLE),
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, _TABLE),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, _TABLE),
-    "body": ({"head"}, set()),
+    "caption": ({"caption", "colgroup"}, _TABLE), "body": ({"head"}, set()),
 }
 _ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "option", "optgroup"}
 _SCOPE = {"table", "td", "th", "caption", "button", "object", "html", "template"}
 
-_TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]++|(?<=[=\s])\"[^\"]*+\"|(?<=[=\s])'[^']*+'|[\"'])*+)>|[^<]++|<",
-    re.S,
-)
+_WALLS = BLOCK | _SCOPE
+
+_OTHER = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>|[^<]++|<", re.S)
+_TAG, _LONE = re.compile(r"</?(?=[a-zA-Z])"), re.compile("<")
+_NAME_END, _QUOTE_OR_END = re.compile(r"[\s/>]"), re.compile("[\"'>]")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\f\r]+")
@@ -80,28 +86,45 @@ class Builder:
     def __init__(self):
         self.root = Node("html", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = defaultdict(list)  # name -> its places among the open elements, outermost first
+        self.walls: list[int] = []  # places of open blocks and scopes
 
     def text(self, text: str) -> None:
         self.open[-1].children.append(text)
 
+    def _cut(self, at: int) -> None:
+        """Close the open elements from place ``at`` on."""
+        while len(self.open) > at:
+            name = self.open.pop().name
+            self.places[name].pop()
+            if name in _WALLS:
+                self.walls.pop()
+
+    def _last(self, names: set[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
     def _end(self, names: set[str], scope: set[str]) -> None:
         """Close the outermost of ``names`` that is open inside ``scope``."""
-        at = None
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i].name
-            if name in names:
-                at = i
-            elif name in scope:
-                break
-        if at is not None:
-            del self.open[at:]
+        found = [p for n in names if (p := self.places.get(n))]
+        if found:
+            wall = self._last(scope)
+            inside = [p[i] for p in found if (i := bisect_right(p, wall)) < len(p)]
+            if inside:
+                self._cut(min(inside))
 
     def _push(self, name: str, attrs: dict[str, str]) -> None:
         node = Node(name, attrs)
         self.open[-1].children.append(node)
         if name not in VOID:
+            self.places[name].append(len(self.open))
+            if name in _WALLS:
+                self.walls.append(len(self.open))
             self.open.append(node)
 
+    def leave(self) -> None:
+        """Close the innermost element."""
+        self._cut(len(self.open) - 1)
+
     def start(self, name: str, attrs: dict[str, str]) -> None:
         if name == "html":
             return
@@ -112,48 +135,80 @@ class Builder:
         if name in ("td", "th") and self.open[-1].name in ("table", "tbody", "thead", "tfoot"):
             self._push("tr", {})
         if self.open[-1].name == "head" and name not in RAW | VOID | {"template", "noscript"}:
-            self.open.pop()
+            self.leave()
         self._push(name, attrs)
 
     def end(self, name: str) -> None:
         if name == "br":
             self._push("br", {})
-        elif name == "p" and not any(n.name == "p" for n in self.open):
+        elif name == "p" and not self.places.get("p"):
             self.start("p", {})
-            self.open.pop()
-        else:
-            for i in range(len(self.open) - 1, 0, -1):
-                at = self.open[i].name
-                if at == name:
-                    del self.open[i:]
-                    return
-                if at in _SCOPE and name not in BLOCK or at == "table" or name not in BLOCK and at in BLOCK:
-                    return
+            self.leave()
+        elif self.places.get(name):
+            wall = self._last(_TABLE) if name in BLOCK else self.walls[-1] if self.walls else 0
+            if self.places[name][-1] >= wall:
+                self._cut(self.places[name][-1])
+
+
+class Tags:
+    """Ends of the tags of a page, asked for at rising places."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.name_end = self.first = -1
+        self.dead: set[int] = set()  # quotes outside of values from which no end of a tag can be reached
+
+    def _next(self, at: int) -> int:
+        return m.start() if (m := _QUOTE_OR_END.search(self.page, at)) else -1
+
+    def end(self, at: int) -> tuple[int, int] | None:
+        """(end of the name, place of the closing ``>``) of the tag whose name starts at ``at``; None if it has no end."""
+        if at > self.last[">"]:
+            return None
+        if self.name_end < at:
+            self.name_end = _NAME_END.search(self.page, at).start()
+        if self.first < self.name_end:
+            self.first = self._next(self.name_end)
+        spot, seen = self.first, []
+        while spot >= 0 and spot not in self.dead:
+            sign = self.page[spot]
+            if sign == ">":
+                return self.name_end, spot
+            seen.append(spot)
+            before = self.page[spot - 1]
+            if spot < self.last[sign] and (before == "=" or before.isspace()):
+                spot = self.page.index(sign, spot + 1)
+            spot = self._next(spot + 1)
+        self.dead.update(seen)
+        return None
 
 
 def parse(page: str) -> Node:
-    builder, at = Builder(), 0
+    builder, tags, at = Builder(), Tags(page), 0
     while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m["name"]
-        if name is None:
+        tag = _TAG.match(page, at)
+        ends = tags.end(tag.end()) if tag else None
+        if ends is None:
+            m = (_LONE if tag else _OTHER).match(page, at)
+            at = m.end()
             if m[0][:2] not in ("<!", "<?", "</"):
                 builder.text(unescape(m[0]) if "&" in m[0] else m[0])
             elif m[0].startswith("<![CDATA["):
                 builder.text(m[0][9:].removesuffix("]]>"))
             continue
-        name = name.lower()
-        if m["end"]:
+        name, attrs, at = page[tag.end() : ends[0]].lower(), page[ends[0] : ends[1]], ends[1] + 1
+        if tag[0] == "</":
             builder.end(name)
             continue
-        builder.start(name, _attributes(m["attrs"]) if m["attrs"] else {})
+        builder.start(name, _attributes(attrs) if attrs else {})
         if name in RAW:
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-            inside = page[at : close.start()]
+            # up to the last ">" every begun end tag has its end, so none is scanned in vain
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at, tags.last[">"] + 1)
+            inside = page[at : close.start() if close else len(page)]
             builder.text(unescape(inside) if name in ("textarea", "title") else inside)
-            builder.open.pop()
-            at = close.end()
+            builder.leave()
+            at = close.end() if close else len(page)
         elif name == "plaintext":
             builder.text(page[at:])
             break
@@ -173,18 +228,15 @@ class Writer:
     def __init__(self):
         self.lines: list[str] = []
         self.line: list[str] = []
-        self.space, self.gap, self.indents, self.mark = False, 0, [""], ""
+        self.space, self.gap, self.indents, self.mark = False, 0, [0], ""
 
     def _begin(self) -> None:
         if not self.line:
             if self.lines:
                 self.lines.extend([""] * self.gap)
             self.gap = 0
-            indent = self.indents[-1]
-            if self.mark:
-                indent = indent[: len(indent) - len(self.mark)] + self.mark
-                self.mark = ""
-            self.line.append(indent)
+            self.line.append(" " * max(0, self.indents[-1] - len(self.mark)) + self.mark)
+            self.mark = ""
             self.space = False
 
     def text(self, text: str) -> None:
@@ -212,6 +264,9 @@ class Writer:
                 self._begin()
                 self.line.append(row)
 
+    def indent(self, width: int) -> None:
+        self.indents.append(min(ALIGNED, self.indents[-1] + width))
+
     def flush(self) -> None:
         if self.line:
             self.lines.append("".join(self.line).rstrip(" \t"))
@@ -309,17 +364,17 @@ def render(page: str | None) -> str | None:
         role = ""
         if name == "table":
             out.block(1)
-            tables.append(Table())
+            tables.append(Table() if len(tables) < DEEP else None)
             role = "table"
-        elif name == "tr" and tables:
+        elif name == "tr" and tables and tables[-1]:
             tables[-1].row()
             role = "row"
-        elif name in ("td", "th") and tables and tables[-1].grid:
+        elif name in ("td", "th") and tables and tables[-1] and tables[-1].grid:
             writers.append(Writer())
             role = "cell"
-        elif name in ("tbody", "thead", "tfoot") and tables:
+        elif name in ("tbody", "thead", "tfoot") and tables and tables[-1]:
             role = "rows"
-        elif name == "caption":
+        elif name == "caption" and tables and tables[-1]:
             writers.append(Writer())
             role = "caption"
         elif name in ("ul", "ol", "menu", "dir"):
@@ -334,12 +389,12 @@ def render(page: str | None) -> str | None:
                 number = _number(node.attrs.get("value"), lists[-1][0])
                 lists[-1][0] = number + lists[-1][1]
                 mark = f"{number}. "
-            out.indents.append(out.indents[-1] + " " * len(mark))
+            out.indent(len(mark))
             out.mark = mark
             role = "item"
         elif name in ("dd", "blockquote"):
             out.block(int(name == "blockquote"))
-            out.indents.append(out.indents[-1] + "  ")
+            out.indent(2)
             role = "indent"
         elif name in ("pre", "xmp", "textarea", "plaintext"):
             out.block(int(name != "textarea"))
@@ -354,8 +409,8 @@ def render(page: str | None) -> str | None:
         nonlocal pre
         out = writers[-1]
         if role == "table":
-            lines = tables.pop().lines()
-            out.rows(lines)
+            done = tables.pop()
+            out.rows(done.lines() if done else [])
             out.block(1)
         elif role == "cell":
             tables[-1].cell(writers.pop().done(), node.attrs)

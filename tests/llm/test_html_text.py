@@ -1,4 +1,5 @@
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -72,3 +73,41 @@ def test_long_attribute_values_stay_in_their_tag(quote, size):
     page = f"<div data-x={quote}{'y' * size}<b>leak</b> more{quote} hidden>secret</div>shown"
     assert render(page).strip() == "shown"
     assert render(f"<p title={quote}{'y' * size}>a<p>seen").endswith("seen")
+
+
+HOSTILE = {
+    "nested": lambda n: "<div>" * n + "x",
+    "nested inline": lambda n: "<b>" * n + "<p>" * n + "x",
+    "quotes": lambda n: "<a b=\"" * n + "x",
+    "both quotes": lambda n: "<a b=\"" * n + " ='>'",
+    "names": lambda n: "<a" * n + " ='>'",
+    "stray ends": lambda n: "<b>" * n + "</i>" * n + "x",
+    "raw": lambda n: "x<script>" + "</script " * n,
+    "quoted blocks": lambda n: "<blockquote>x" * n,
+    "tables": lambda n: "<table><tr><td>x" * n,
+    "captions": lambda n: "<table><caption>x" * n,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_grows_with_length(name):
+    def seconds(n):
+        page = HOSTILE[name](n)
+        start = time.process_time()
+        assert "x" in render(page) or name in ("both quotes", "names")
+        return time.process_time() - start
+
+    seconds(2000)
+    # quadratic work would take four times as long, and minutes at this size
+    assert min(seconds(20_000), seconds(20_000)) < 3 * min(seconds(10_000), seconds(10_000)) + 0.5
+
+
+def test_text_at_every_depth_stays():
+    for page in ("<table><tr><td>w" * 60, "<blockquote>w" * 60, "<ul><li>w" * 60, "<table><caption>w" * 60):
+        assert render(page).count("w") == 60
+
+
+def test_tag_without_end_is_text():
+    assert render("a <b c=\"d") == "a <b c=\"d"
+    assert render("a <b c=\"d> e <i>f</i>") == "a e f"
+    assert render("<b<i>x") == "x"
