@@ -1,4 +1,4 @@
-"""Cell-type heritability: weighted regression of chi-square on LD scores, block jackknife."""
+"""Cell-type heritability: weighted regression of chi-square on LD scores beside any number of baseline annotations, block jackknife."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusloom.functions.running import numbered
+from locusloom.functions.session import cut_lineage
 
 MERGED_NAME = "all_merged_cCREs"
-REGRESSORS = ("cell", "base", "one")
 
 
 def snp_blocks(snps: DataFrame, blocks: int, width: int = 1_000_000) -> DataFrame:
@@ -24,37 +24,62 @@ def snp_blocks(snps: DataFrame, blocks: int, width: int = 1_000_000) -> DataFram
 
 
 def regression_rows(sumstats: DataFrame, base: DataFrame, cells: DataFrame) -> DataFrame:
-    """One row per (cell type, variant): chi-square, LD scores and weight.
+    """One row per (cell type, variant): chi-square, regressors ``x`` and weight.
 
-    ``sumstats(id, z, n, block)``, ``base(id, score)``, ``cells(id, cell_type, score)``.
-    Weight: 1 / (max(l,1) (1 + max(l,1) n h / M)^2) with h from the mean chi-square.
+    ``sumstats(id, z, n, block)``, ``base(id, scores array<double>)`` with one LD score per baseline annotation,
+    ``cells(id, cell_type, score)``. ``x`` is the cell type's score, the baseline scores and 1. With l the sum of the
+    baseline scores, the weight is 1 / (max(l,1) (1 + max(l,1) n h / M)^2) with h from the mean chi-square.
     """
-    joined = sumstats.join(base.select("id", F.col("score").alias("base")), "id").withColumn("chi2", F.col("z") * F.col("z"))
-    ratio = joined.agg(F.greatest((F.avg("chi2") - 1) / F.avg("base"), F.lit(0.0)).alias("r")).scalar()  # n h / M
-    l = F.greatest("base", F.lit(1.0))  # noqa: E741
+    total = F.aggregate("scores", F.lit(0.0), lambda s, v: s + v)
+    joined = sumstats.join(base.select("id", "scores", total.alias("__l")), "id").withColumn("chi2", F.col("z") * F.col("z"))
+    ratio = joined.agg(F.greatest((F.avg("chi2") - 1) / F.avg("__l"), F.lit(0.0)).alias("r")).scalar()  # n h / M
+    l = F.greatest("__l", F.lit(1.0))  # noqa: E741
     weighted = joined.withColumn("__r", ratio).withColumn("w", 1 / (l * F.pow(1 + F.col("__r") * l, 2)))
-    return weighted.join(cells.select("id", "cell_type", F.col("score").alias("cell")), "id").select(
-        "cell_type", "id", "block", "chi2", "cell", "base", F.lit(1.0).alias("one"), "w", (F.col("n") / 1.0).alias("n"))
+    x = F.concat(F.array("__cell"), "scores", F.array(F.lit(1.0)))
+    return weighted.join(cells.select("id", "cell_type", F.col("score").alias("__cell")), "id").select(
+        "cell_type", "id", "block", "chi2", x.alias("x"), l.alias("l"), "w", (F.col("n") / 1.0).alias("n"))
 
 
-def block_sums(rows: DataFrame) -> DataFrame:
-    """Normal-equation sums per (cell type, block): one partially aggregated groupBy."""
-    aggs = []
-    for i, a in enumerate(REGRESSORS):
-        for b in REGRESSORS[i:]:
-            aggs.append(F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"{a}_{b}"))
-        aggs.append(F.sum(F.col("w") * F.col(a) * F.col("chi2")).alias(f"{a}_y"))
-    return rows.groupBy("cell_type", "block").agg(*aggs, F.sum("n").alias("n_sum"), F.count("*").alias("rows"))
+def block_sums(rows: DataFrame, baselines: int = 1) -> DataFrame:
+    """(cell_type, block, xx, xy, n_sum, rows): normal equations of every block, in one partially aggregated groupBy.
+
+    ``xx`` is the upper triangle of the weighted products of ``x`` row by row, ``xy`` the products with chi-square;
+    ``x`` holds ``baselines`` + 2 numbers.
+    """
+    k = baselines + 2
+    x = [F.col("x")[i] for i in range(k)]
+    xx = [F.sum(F.col("w") * x[i] * x[j]) for i in range(k) for j in range(i, k)]
+    xy = [F.sum(F.col("w") * x[i] * F.col("chi2")) for i in range(k)]
+    return rows.groupBy("cell_type", "block").agg(
+        F.array(*xx).alias("xx"), F.array(*xy).alias("xy"), F.sum("n").alias("n_sum"), F.count("*").alias("rows"))
+
+
+def _solve(upper: np.ndarray, xy: np.ndarray) -> np.ndarray:
+    k = len(xy)
+    xx = np.zeros((k, k))
+    xx[np.triu_indices(k)] = upper
+    return np.linalg.lstsq(xx + np.triu(xx, 1).T, xy, rcond=None)[0]
+
+
+def reweighted(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """``rows`` weighted by each cell type's own fit: 1 / (l max(predicted chi-square, 1)^2)."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        coef = _solve(np.stack(pdf["xx"]).sum(axis=0), np.stack(pdf["xy"]).sum(axis=0))
+        return pd.DataFrame({"cell_type": pdf["cell_type"].iloc[:1], "__coef": [coef.tolist()]})
+
+    fits = sums.groupBy("cell_type").applyInPandas(fit, "cell_type string, __coef array<double>")
+    predicted = F.aggregate(F.zip_with("x", "__coef", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return rows.join(fits, "cell_type").withColumn("w", 1 / (F.col("l") * F.pow(F.greatest(predicted, F.lit(1.0)), 2))).drop("__coef")
 
 
-def _solve(sums: dict) -> np.ndarray:
-    k = len(REGRESSORS)
-    xx, xy = np.zeros((k, k)), np.zeros(k)
-    for i, a in enumerate(REGRESSORS):
-        for j in range(i, k):
-            xx[i, j] = xx[j, i] = sums[f"{a}_{REGRESSORS[j]}"]
-        xy[i] = sums[f"{a}_y"]
-    return np.linalg.lstsq(xx, xy, rcond=None)[0]
+def weighted_sums(rows: DataFrame, baselines: int = 1, rounds: int = 0) -> DataFrame:
+    """Block sums after ``rounds`` rounds of fitting and weighting anew; rows are kept in the shared folder between rounds."""
+    if rounds:
+        rows = cut_lineage(rows)
+    for _ in range(rounds):
+        rows = reweighted(rows, block_sums(rows, baselines))
+    return block_sums(rows, baselines)
 
 
 def cell_type_coefficients(sums: DataFrame) -> DataFrame:
@@ -63,11 +88,11 @@ def cell_type_coefficients(sums: DataFrame) -> DataFrame:
     A group is the block sums of one cell type, as many rows as there are blocks.
     """
     def jackknife(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = [c for c in pdf.columns if c not in ("cell_type", "block")]
-        total = pdf[cols].sum()
-        n_mean, b = total["n_sum"] / total["rows"], len(pdf)
-        whole = _solve(total)[0] / n_mean
-        left = np.array([_solve(total - row)[0] / n_mean for _, row in pdf[cols].iterrows()])
+        xx, xy = np.stack(pdf["xx"]), np.stack(pdf["xy"])
+        n_mean, b = pdf["n_sum"].sum() / pdf["rows"].sum(), len(pdf)
+        all_xx, all_xy = xx.sum(axis=0), xy.sum(axis=0)
+        whole = _solve(all_xx, all_xy)[0] / n_mean
+        left = np.array([_solve(all_xx - xx[i], all_xy - xy[i])[0] / n_mean for i in range(b)])
         pseudo = b * whole - (b - 1) * left
         se = float(pseudo.std(ddof=1) / sqrt(b)) if b > 1 else float("nan")
         est = float(pseudo.mean())

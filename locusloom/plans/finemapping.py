@@ -224,7 +224,7 @@ BLOCKS = 20
 
 def _h2_sums(fx):
     scores = ld.ld_scores(panel(fx), WINDOW, len(CATEGORIES))
-    base = scores.filter("category = 0").select("id", "score")
+    base = scores.filter("category = 0").select("id", F.array("score").alias("scores"))
     cells = scores.filter("category > 0").select("id", F.concat(F.lit("cell"), F.col("category").cast("string")).alias("cell_type"), "score")
     stats = members(fx).select("id", "z", "n", F.lit(1).alias("chr"), "pos")
     blocks = h2.snp_blocks(stats, BLOCKS, width=1000)
@@ -241,7 +241,8 @@ def _h2_sums(fx):
 select 'cell'||cast(l.category as varchar) as cell_type, w.block, round(sum(w*l.score*l.score),4) as cell_cell, round(sum(w*l.score*chi2),4) as cell_y, round(sum(w*base*chi2),4) as base_y, count(*) as rows
 from w join ls l on l.id=w.id and l.category>0 group by 1,2""")
 def _(fx):
-    return _h2_sums(fx).select("cell_type", "block", *[F.round(c, 4).alias(c) for c in ("cell_cell", "cell_y", "base_y")], "rows")
+    named = {"cell_cell": F.col("xx")[0], "cell_y": F.col("xy")[0], "base_y": F.col("xy")[1]}
+    return _h2_sums(fx).select("cell_type", "block", *[F.round(c, 4).alias(name) for name, c in named.items()], "rows")
 
 
 _SUMS = ("cc", "cb", "co", "cy", "bb", "bo", "b_y", "oo", "o_y")
@@ -282,6 +283,68 @@ def _(fx):
     return out.select("name", F.round("coefficient", 8).alias("coefficient"), F.round("std_error", 8).alias("std_error"), F.round("p_value", 6).alias("p_value"))
 
 
+FIVE = ("1.0", "case when {0}%2=0 then 1.0 else 0.0 end", "case when {0}%5=1 then 1.0 else 0.0 end", "case when {0}%7<3 then 1.0 else 0.0 end",
+        "case when {0}%11<4 then 1.0 else 0.0 end")
+TWO = ("case when {0}%3=0 then 1.0 else 0.0 end", "case when {0}%4=1 then 1.0 else 0.0 end")
+_X = ("x0", "x1", "x2", "x3", "x4", "x5", "x6")
+
+
+def _eliminated(name: str, start: str) -> str:
+    """CTEs that solve the normal equations in ``start(key, i, j, v)`` (j = 7: right side) by elimination; ``name`` holds i, v."""
+    out, last = [], start
+    for k in range(7):
+        step = f"{name}{k}"
+        out.append(f"""{step} as materialized (select a.key, a.i, a.j, case when a.i={k} then a.v/p.v else a.v-c.v*r.v/p.v end as v from {last} a
+   join {last} p on p.key=a.key and p.i={k} and p.j={k} join {last} r on r.key=a.key and r.i={k} and r.j=a.j join {last} c on c.key=a.key and c.j={k} and c.i=a.i)""")
+        last = step
+    return ",\n ".join([*out, f"{name} as (select key, i, v from {last} where j=7)"])
+
+
+def _equations(rows: str, keys: str) -> str:
+    """Sums of all products of the regressors of ``rows`` in long form."""
+    cells = [(i, j, f"sum(w*{_X[i]}*{_X[j] if j < 7 else 'chi2'})") for i in range(7) for j in range(8)]
+    parts = [f"select {keys}, {i} as i, {j} as j, {v} as v from {rows} group by {keys}" for i, j, v in cells]
+    return " union all ".join(parts)
+
+
+@query("h2_five_baselines", f"""with {_PAIRS},
+ sym as (select i as id, j as other, r from pr union all select j, i, r from pr union all select id, id, 1.0::double from c),
+ sc as materialized (select id, {", ".join(f"sum((r*r-(1-r*r)/62.0::double)*({a.format('other')})::double) as {x}" for a, x in zip(FIVE, _X[1:6], strict=True))},
+   {", ".join(f"sum((r*r-(1-r*r)/62.0::double)*({a.format('other')})::double) as t{k}" for k, a in enumerate(TWO, 1))} from sym group by 1),
+ e as (select region, arg_min(u, id) as c1, arg_max(u, id) as c2 from c group by region),
+ z as (select id, 11*list_cosine_similarity(u, c1)+9*list_cosine_similarity(u, c2)+cast('0x'||substr(md5(cast(id as varchar)),1,4) as int)/65536.0::double-0.5::double as z from c join e using(region)),
+ b as (select id, z*z as chi2, cast((row_number() over (order by id)-1)*{BLOCKS}//count(*) over () as int) as block from z),
+ j as (select *, greatest(x1+x2+x3+x4+x5,1) as l from b join sc using (id)),
+ m as (select greatest((avg(chi2)-1)/avg(x1+x2+x3+x4+x5),0) as ratio from j),
+ w0 as materialized (select t.k as cell, j.*, 1.0::double as x6, case t.k when 1 then t1 else t2 end as x0, 1/(l*power(1+ratio*l,2)) as w from j, m, (values (1),(2)) t(k)),
+ q as materialized (select cell as key, i, j, v from ({_equations('w0', 'cell')})),
+ {_eliminated('f', 'q')},
+ w1 as materialized (select w0.* exclude (w), 1/(l*power(greatest({"+".join(f"{x}*(select v from f where key=cell and i={i})" for i, x in enumerate(_X))},1),2)) as w from w0),
+ s as materialized ({_equations('w1', 'cell, block')}),
+ t as materialized (select cell, i, j, sum(v) as v from s group by all),
+ d as materialized (select cell*1000+999 as key, i, j, v from t union all select cell*1000+block, i, j, t.v-s.v from s join t using (cell, i, j)),
+ {_eliminated('g', 'd')},
+ h as (select key//1000 as cell, key%1000 as block, v/5000.0::double as est from g where i=0),
+ ps as (select a.cell, {BLOCKS}*o.est-({BLOCKS}-1)*a.est as pseudo from h a join h o on o.cell=a.cell and o.block=999 where a.block<999),
+ n as (select cell, avg(pseudo) as est, stddev_samp(pseudo)/sqrt({BLOCKS}) as se from ps group by 1),
+ y as (select *, abs(est/se)/sqrt(2.0::double) as y from n)
+select 'cell'||cast(cell as varchar) as name, round(est*1e4,4) as coefficient_e4, round(se*1e4,4) as std_error_e4,
+  round(0.5-0.5*sign(est)*2/sqrt(pi())*exp(-y*y)*(select sum(y*exp(k*ln(4)+lgamma(k+1)+2*k*ln(y)-lgamma(2*k+2))) from range(0,200) r(k)),4) as p_value from y""")
+def _(fx):
+    k = F.col("vec_id")
+    annot = F.array(*[F.expr(f"cast({a.format('vec_id')} as double)") for a in (*FIVE, *TWO)])
+    rows = fx.embeddings.select(F.col("label").alias("region"), k.alias("id"), k.alias("pos"), F.col("embedding").alias("x"), annot.alias("annot"))
+    scores = ld.ld_scores(rows, WINDOW, 7)
+    base = scores.filter("category < 5").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("category", "score"))).alias("s"))
+    cells = scores.filter("category >= 5").select("id", F.concat(F.lit("cell"), (F.col("category") - 4).cast("string")).alias("cell_type"), "score")
+    stats = members(fx).select("id", "z", "n", F.lit(1).alias("chr"), "pos")
+    blocks = h2.snp_blocks(stats, BLOCKS, width=1000)
+    joined = h2.regression_rows(blocks, base.select("id", F.col("s.score").alias("scores")), cells)
+    out = h2.cell_type_coefficients(h2.weighted_sums(joined, 5, rounds=1))
+    return out.select("name", F.round(F.col("coefficient") * 1e4, 4).alias("coefficient_e4"),
+                      F.round(F.col("std_error") * 1e4, 4).alias("std_error_e4"), F.round("p_value", 4).alias("p_value"))
+
+
 @query("cell_type_completeness", with_views("peaks", """
 with f as (select distinct cell_type, chr from peaks where not (cell_type='Brand#3' and chr in (5,9)) and cell_type<>'Brand#1')
 select cell_type, count(*)=22 as is_complete, coalesce((select string_agg(cast(k as varchar), ',' order by k) from range(1,23) t(k) where k not in (select chr from f g where g.cell_type=f.cell_type)),'') as missing from f group by cell_type"""))

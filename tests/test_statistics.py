@@ -167,13 +167,28 @@ def test_precision_is_null_without_listed_replies(spark):
     assert r.precision is None and r.recall == 0 and r.f1 is None
 
 
-def test_jackknife_recovers_a_planted_coefficient(spark):
+@pytest.mark.parametrize("baselines", [1, 4])
+def test_jackknife_recovers_a_planted_coefficient(spark, baselines):
     rng = np.random.default_rng(1)
     rows = []
     for i in range(4000):
-        cell, base = rng.uniform(0, 10), rng.uniform(1, 20)
-        chi2 = 1 + 1000 * (2e-3 * cell + 1e-4 * base) + rng.normal() * 0.5
-        rows.append(("t", i, i // 200, float(chi2), float(cell), float(base), 1.0, 1.0, 1000.0))
-    df = spark.createDataFrame(rows, "cell_type string, id bigint, block int, chi2 double, cell double, base double, one double, w double, n double")
-    r = h2.cell_type_coefficients(h2.block_sums(df)).head()
-    assert r.coefficient == pytest.approx(2e-3, abs=4 * r.std_error) and r.p_value < 1e-6
+        cell, base = rng.uniform(0, 10), rng.uniform(1, 20, baselines)
+        chi2 = 1 + 1000 * (2e-3 * cell + 1e-4 * base.sum()) + rng.normal() * 0.5
+        rows.append(("t", i, i // 200, float(chi2), [float(cell), *base.tolist(), 1.0], float(base.sum()), 1.0, 1000.0))
+    df = spark.createDataFrame(rows, "cell_type string, id bigint, block int, chi2 double, x array<double>, l double, w double, n double")
+    for rounds in (0, 2):
+        r = h2.cell_type_coefficients(h2.weighted_sums(df, baselines, rounds)).head()
+        assert r.coefficient == pytest.approx(2e-3, abs=4 * r.std_error) and r.p_value < 1e-6
+
+
+def test_weights_follow_the_fit(spark):
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.uniform(0, 9, 300), rng.uniform(1, 9, 300), rng.uniform(1, 9, 300), np.ones(300)])
+    y = x @ [0.5, 0.2, 0.1, 1.0] + rng.normal(size=300) * 0.3
+    l, w = x[:, 1:3].sum(axis=1), 1 / x[:, 1]  # noqa: E741
+    df = spark.createDataFrame([("t", i, i // 30, float(y[i]), x[i].tolist(), float(l[i]), float(w[i]), 1.0) for i in range(300)],
+                               "cell_type string, id bigint, block int, chi2 double, x array<double>, l double, w double, n double")
+    coef = np.linalg.solve(x.T @ (w[:, None] * x), x.T @ (w * y))
+    want = 1 / (l * np.maximum(x @ coef, 1) ** 2)
+    got = {r.id: r.w for r in h2.reweighted(df, h2.block_sums(df, 2)).collect()}
+    assert np.allclose([got[i] for i in range(300)], want, rtol=1e-8)
