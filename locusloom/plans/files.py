@@ -12,6 +12,7 @@ from locusloom.plans.registry import query
 from locusloom.sources import knowledge as kb
 from locusloom.sources import readers as rd
 from locusloom.sources import writers as wr
+from locusloom.sources.blockgzip import write_lines
 
 
 @query("sumstats_roundtrip", with_views("variants", """
@@ -27,6 +28,18 @@ def _(fx):
     return back.select("chr", "pos", "snp", "a1", "a2", F.round("beta", 6).alias("beta"), F.round("se", 6).alias("se"), "n")
 
 
+@query("sumstats_block_gzip", with_views("variants", """
+select chr, bp as pos, snp, a1, a2, round(beta,6) as beta, n from variants"""))
+def _(fx):
+    path = scratch_path(fx.spark, "blockgzip")
+    names = ["#CHROM", "POS", "ID", "a1", "a2", "beta", "N"]
+    cells = [F.col(c).cast("string") for c in ("chr", "bp", "snp", "a1", "a2", "beta", "n")]
+    write_lines(fx.variants.select(F.concat_ws("\t", *cells).alias("value")), path, "\t".join(names))
+    # short ranges, so that several tasks share a file at every size
+    back = hz.coerce(hz.canonical_columns(rd.read_sumstats(fx.spark, path, range_bytes=50_000)))
+    return back.select("chr", "pos", "snp", "a1", "a2", F.round("beta", 6).alias("beta"), "n")
+
+
 @query("bim_union", with_views("variants", """
 select chr, snp, bp/1000000.0::double as cm, bp as pos, a1, a2 from variants"""))
 def _(fx):

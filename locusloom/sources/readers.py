@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import partial, reduce
 from urllib.parse import unquote
 
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusloom.functions.running import numbered
+from locusloom.sources import blockgzip
 
 BIM_SCHEMA = "chr int, snp string, cm double, pos bigint, a1 string, a2 string"
 ANNOTATED_SCHEMA = (
@@ -48,17 +49,24 @@ def _headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
     return found
 
 
-def read_sumstats(spark: SparkSession, path: str) -> DataFrame:
+def read_sumstats(spark: SparkSession, path: str, range_bytes: int = blockgzip.RANGE_BYTES) -> DataFrame:
     """Delimited summary statistics, every column as text.
 
     Files are read by their own headers and united by column name; a file's missing columns are null. Preamble and
-    header lines are filtered by value, so plain files stay splittable. ``.bgz`` files go through a block reader.
+    header lines are filtered by value, so plain files stay splittable, and so do ``.bgz`` files, by ranges of ``range_bytes`` compressed bytes.
     """
     files = [unquote(f) for f in spark.read.text(path).inputFiles()]
     blocked = [f for f in files if f.endswith(".bgz")]
     plain = [f for f in files if not f.endswith(".bgz")]
     groups = _headers(spark, plain) if len(plain) > 1 else {first_line(spark, plain[0]): plain} if plain else {}
-    parts = [_split_lines(read_bgz_lines(spark, f)) for f in blocked]
+    parts, by_header = [], {}
+    for f, header in blockgzip.header_lines(blocked).items():
+        by_header.setdefault(header, []).append(f)
+    for header, members in by_header.items():
+        if header:
+            parts.append(_split_lines(blockgzip.read_lines(spark, members, range_bytes), header))
+        elif header is None:
+            parts += [_split_lines(lines, lines.filter(~F.col("value").startswith("##")).head()[0]) for lines in map(partial(read_gzip_lines, spark), members)]
     for header, members in groups.items():
         sep = sniff_separator(header)
         names = clean_header(header.split(sep))
@@ -74,8 +82,8 @@ def read_sumstats(spark: SparkSession, path: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_bgz_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of block-gzip files; one task streams one file, as with any gzip."""
+def read_gzip_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a ``.bgz`` file of other gzip members, or in a store that Arrow can't open: one value, read by one task."""
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -94,9 +102,8 @@ def read_bgz_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string")
 
 
-def _split_lines(lines: DataFrame) -> DataFrame:
+def _split_lines(lines: DataFrame, header: str) -> DataFrame:
     kept = lines.filter(~F.col("value").startswith("##"))
-    header = kept.head()[0]
     sep = sniff_separator(header)
     names = clean_header(header.split(sep))
     cells = F.split("value", "\\" + sep if sep == "," else sep)
