@@ -84,10 +84,16 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return ranked if rank else ranked.drop(name)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A join side that must not be broadcast: its estimate comes from a small compressed file and does not count the copies
+    that an ``explode`` makes, so the planner would build it whole in the driver."""
+    return df.hint("merge")
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salt: int = 8) -> DataFrame:
     """Equi-join whose hot keys are spread over ``salt`` tasks; ``small`` is copied per slot."""
     flat = [c for c, kind in big.dtypes if not kind.startswith(("array", "map", "struct", "binary"))]
     spread = flat if set(flat) - set(on) else big.columns  # long vectors are hashed only where nothing else differs
     left = big.withColumn("__slot", F.pmod(F.xxhash64(*spread), F.lit(salt)).cast("int"))
     right = small.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return left.join(right, [*on, "__slot"], how).drop("__slot")
+    return left.join(shuffled(right), [*on, "__slot"], how).drop("__slot")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusloom.functions.running import salted_join, top_k
+from locusloom.functions.running import salted_join, shuffled, top_k
 from locusloom.operators.intervals import (
     ENHANCER_WINDOW_BP,
     GENE_WINDOW_BP,
@@ -58,7 +58,7 @@ def regulatory_effect(variants: DataFrame, enhancers: DataFrame, associated_with
 def in_tad_with(closest: DataFrame, tads: DataFrame) -> DataFrame:
     """The closest gene of a variant and every gene sharing one of its domains."""
     member = tads.select("gene_key", "tad_id").distinct()
-    domains = closest.join(member, "gene_key").select("snp", "tad_id").distinct()
+    domains = closest.join(shuffled(member), "gene_key").select("snp", "tad_id").distinct()
     shared = salted_join(domains, member, ["tad_id"]).select("snp", "gene_key")
     return closest.select("snp", "gene_key").union(shared).distinct()
 
@@ -70,7 +70,7 @@ def candidate_genes(variants: DataFrame, genes: DataFrame, closest: DataFrame, t
 
 def candidate_sets(candidates: DataFrame, genes: DataFrame) -> DataFrame:
     """One row per variant; the list is bounded by the genes around one position."""
-    named = candidates.join(genes.select("gene_key", "gene_id"), "gene_key")
+    named = candidates.join(shuffled(genes.select("gene_key", "gene_id")), "gene_key")
     return named.groupBy("snp").agg(
         F.array_join(F.array_sort(F.collect_set(F.upper("gene_id"))), ",").alias("genes"),
         F.count_distinct("gene_id").alias("n_genes"),

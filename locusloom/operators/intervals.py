@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.functions.running import running
+from locusloom.functions.running import running, shuffled
 
 _BIN, _SALT = "__bin", "__salt"
 GENE_WINDOW_BP = 500_000
@@ -40,7 +40,7 @@ def range_join(
         .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     )
     return (
-        left.join(right, [*on, _BIN, _SALT])
+        left.join(shuffled(right), [*on, _BIN, _SALT])
         .filter((F.col(pos) >= F.col(lo)) & (F.col(pos) <= F.col(hi)))
         .drop(_BIN, _SALT)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.functions.running import salted_join
+from locusloom.functions.running import salted_join, shuffled
 from locusloom.functions.session import cut_lineage
 
 
@@ -25,7 +25,7 @@ def ancestors(edges: DataFrame) -> DataFrame:
     while True:  # a pair is new once, so it ends
         depth += 1
         step = salted_join(frontier, up, ["ancestor"]).select("node", F.col("parent").alias("ancestor")).distinct()
-        new = step.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
+        new = step.join(shuffled(known.select("node", "ancestor")), ["node", "ancestor"], "left_anti")
         frontier = cut_lineage(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return known
@@ -58,16 +58,16 @@ def map_tissues(tissues: DataFrame, target: DataFrame, closure: DataFrame) -> Da
     ``tissues(tissue, source_id)``, ``target`` from :func:`descendant_map`, ``closure`` from
     :func:`ancestors`. A broader match is the first target key among the ancestors.
     """
-    direct = tissues.join(target.select(F.col("id").alias("source_id"), F.col("parent").alias("__mapped")), "source_id", "left")
+    direct = tissues.join(shuffled(target.select(F.col("id").alias("source_id"), F.col("parent").alias("__mapped"))), "source_id", "left")
     open_ids = direct.filter(F.col("source_id").isNotNull() & F.col("__mapped").isNull()).select("source_id").distinct()
-    up = open_ids.join(closure.withColumnRenamed("node", "source_id"), "source_id")
+    up = open_ids.join(shuffled(closure.withColumnRenamed("node", "source_id")), "source_id")
     known = up.select("source_id").distinct().withColumn("__known", F.lit(True))
     broader = (
-        up.join(target.select(F.col("id").alias("ancestor"), "key_order"), "ancestor")
+        up.join(shuffled(target.select(F.col("id").alias("ancestor"), "key_order")), "ancestor")
         .withColumn("__d", F.when(F.col("ancestor") == F.col("source_id"), 0).otherwise(1))
         .groupBy("source_id").agg(F.min_by("ancestor", F.struct("__d", "key_order")).alias("__broader"))
     )
-    rows = direct.join(broader, "source_id", "left").join(known, "source_id", "left")
+    rows = direct.join(shuffled(broader), "source_id", "left").join(shuffled(known), "source_id", "left")
     match = (
         F.when(F.col("source_id").isNull(), "no_direct_uberon_found")
         .when(F.col("__mapped") == F.col("source_id"), "direct")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusloom.functions.running import shuffled
 from locusloom.operators import evidence as ev
 from locusloom.operators import intervals as iv
 from locusloom.operators import proofs as pf
@@ -32,7 +33,7 @@ def relevant(fx: Fixtures) -> DataFrame:
 
 
 def closest(fx: Fixtures) -> DataFrame:
-    return fx.variants.select("snp", "gene_key").join(fx.genes.select("gene_key"), "gene_key", "left_semi")
+    return fx.variants.select("snp", "gene_key").join(shuffled(fx.genes.select("gene_key")), "gene_key", "left_semi")
 
 
 def candidates(fx: Fixtures) -> DataFrame:
@@ -56,7 +57,7 @@ def flagship(fx: Fixtures) -> DataFrame:
     scores = ev.noisy_or(ev.relevant_gene(leads, fx.enhancers, fx.associated_with, facts))
     scored = (
         near.join(scores, ["snp", "gene_key"], "left")
-        .join(fx.genes.select("gene_key", "gene_id"), "gene_key")
+        .join(shuffled(fx.genes.select("gene_key", "gene_id")), "gene_key")
         .withColumn("score", F.coalesce("score", F.lit(0.0)))
     )
     best = ev.best_gene(scored)
@@ -67,7 +68,7 @@ def flagship(fx: Fixtures) -> DataFrame:
 select v.snp, g.gene_id from variants v join genes g on g.chr=v.chr and ({_NEAR_500K})"""))
 def _(fx):
     near = ev.near_genes(fx.variants, fx.genes)
-    return near.join(fx.genes.select("gene_key", "gene_id"), "gene_key").select("snp", "gene_id")
+    return near.join(shuffled(fx.genes.select("gene_key", "gene_id")), "gene_key").select("snp", "gene_id")
 
 
 @query("overlaps_with", with_views("tfbs genes", """
