@@ -91,16 +91,38 @@ def _matcher(ids: pa.Array, patterns: list[str], names: tuple[str, str]):
     return run
 
 
+GRAM_LENGTHS = (8, 4, 2, 1)  # a name is looked up by its first characters, as many of them as the longest of these that fits
+
+
+def named_terms(names: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of ``table(request_id, low, ...)`` beside ``names(request_id, name)`` of their request whose first characters
+    their text holds somewhere, once each: the only ones that can hold the name."""
+    def pieces(n: int) -> Column:
+        places = F.when(F.length("low") >= n, F.sequence(F.lit(1), F.length("low") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.substring(F.col("low"), i, F.lit(n)))
+
+    start = F.coalesce(*[F.when(F.length("name") >= n, F.substring("name", 1, n)) for n in GRAM_LENGTHS])
+    laid = table.withColumn("__gram", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in GRAM_LENGTHS]))))
+    return salted_join(laid, names.withColumn("__gram", start), ["request_id", "__gram"]).drop("__gram")
+
+
 def matched_replies(replies: DataFrame, table: DataFrame) -> DataFrame:
     """(request_id, id, term, rank, reason, genes, p): enrichment rows that a structured reply names, with its rank and reason.
 
     ``replies(request_id, place, name, rank, reason)`` in the order of the reply, ``table(request_id, row, id, term, genes,
     p)`` in the order of the enrichment table. A named term takes the first row whose term holds the name, letter case
     ignored; of several that take the same id the first in the reply counts. Names without a row, null or empty ones drop.
+
+    Equal names of a request share one look-up, and of equal terms only the first row can be taken. What is left meets by
+    the first characters of the names, not every name with every row of its request.
     """
-    named = replies.filter(F.length("name") > 0).select("request_id", "place", F.lower("name").alias("__name"), "rank", "reason")
-    met = salted_join(table, named, ["request_id"]).filter(F.contains(F.lower("term"), F.col("__name")))
-    first = top_k(met, ["request_id", "place"], [F.col("row"), F.col("id")], 1)
+    named = replies.filter(F.length("name") > 0).select("request_id", "place", F.lower("name").alias("name"), "rank", "reason")
+    rows = table.select("request_id", F.lower("term").alias("low"), "row", "id", "term", "genes", "p").filter(F.col("low").isNotNull())
+    terms = top_k(rows, ["request_id", "low"], [F.col("row"), F.col("id")], 1)
+    met = named_terms(named.select("request_id", "name").distinct(), terms).filter(F.contains("low", "name")).drop("low")
+    found = top_k(met, ["request_id", "name"], [F.col("row"), F.col("id")], 1)
+    taken = salted_join(named, found, ["request_id", "name"])
+    first = top_k(taken, ["request_id", "place"], [F.col("row"), F.col("id")], 1)
     once = top_k(first, ["request_id", "id"], [F.col("place")], 1)
     return once.select("request_id", "id", "term", "rank", "reason", "genes", "p")
 
