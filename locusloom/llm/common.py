@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusloom.functions.session import scratch_path
+from locusloom.functions.session import saved  # noqa: F401
 
 BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 
@@ -32,13 +32,6 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here and no executor holds the only copy."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find: (a, b) links -> (node, root), root = smallest node of the component.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from locusloom.functions.columns import log_p
 from locusloom.functions.running import numbered, running, salted_join, top_k
+from locusloom.functions.session import saved
 
 PRIOR_SD = 0.2
 COVERAGE, MIN_ABS_CORR = 0.95, 0.5
@@ -33,12 +34,12 @@ def abf_pips(stats: DataFrame, keys: Sequence[str], prior_sd: float = PRIOR_SD)
 
     ``stats`` has ``z, se``. One partial aggregate sums the Bayes factors per (region, band
     of 50 log units), which cannot overflow; the few bands of a region then fold into its
-    total, and that comes back through a salted join.
+    total, and that comes back through a salted join. The statistics are read twice, so they are computed once and saved.
     """
     keys = list(keys)
     v, w = F.col("se") * F.col("se"), F.lit(prior_sd * prior_sd)
     lbf = 0.5 * F.log(v / (v + w)) + 0.5 * F.col("z") * F.col("z") * w / (v + w)
-    scored = stats.withColumn("lbf", lbf)
+    scored = saved(stats.withColumn("lbf", lbf), "scored")
     band = F.floor(F.col("lbf") / 50)
     bands = scored.groupBy(*keys, band.alias("__b")).agg(F.sum(F.exp(F.col("lbf") - 50 * band)).alias("__s"))
     top = bands.withColumn("__top", F.max("__b").over(Window.partitionBy(*keys)))
@@ -48,8 +49,9 @@ def abf_pips(stats: DataFrame, keys: Sequence[str], prior_sd: float = PRIOR_SD)
 
 
 def credible_set(pips: DataFrame, keys: Sequence[str], order: Sequence[Column], coverage: float = COVERAGE) -> DataFrame:
-    """Smallest leading set reaching ``coverage``: rows whose running sum before them is below it."""
-    out = running(pips, keys, pip_bucket(F.col("pip")), order, F.col("pip"), "__before", exclusive=True)
+    """Smallest leading set reaching ``coverage``: rows whose running sum before them is below it. They are
+    read twice, so they are computed once and saved."""
+    out = running(saved(pips, "pips"), keys, pip_bucket(F.col("pip")), order, F.col("pip"), "__before", exclusive=True)
     return out.filter(F.col("__before") < coverage).drop("__before")
 
 
@@ -74,7 +76,7 @@ def fallback_set(pips: DataFrame, key: str = "region_id") -> DataFrame:
 def run_summary(credible: DataFrame, regions: DataFrame) -> DataFrame:
     """Totals of a run: variants, high-confidence variants, largest set number, regions with and without result."""
     done = credible.select("region_id").distinct().withColumn("__ok", F.lit(1))
-    marked = regions.select("region_id").distinct().join(done, "region_id", "left")
+    marked = saved(regions.select("region_id").distinct().join(done, "region_id", "left"), "regions")
     totals = credible.agg(
         F.count("*").alias("total_variants"), F.count_if(F.col("pip") > 0.5).alias("high_confidence"),
         F.max("cs").alias("max_credible_set"), F.avg(F.abs("z")).alias("mean_abs_z"), F.max("n").alias("max_n"))

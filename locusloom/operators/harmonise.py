@@ -91,7 +91,9 @@ def in_panel(df: DataFrame, bim: DataFrame, missing: bool = False) -> DataFrame:
 def first_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row of each key; rows that lack a part of the key are no repeats of each other and all stay."""
     whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
-    return top_k(df.filter(whole), keys, order, 1).unionByName(df.filter(~whole))
+    # one pass over the rows: a row without a whole key gets a group of its own
+    alone = df.withColumn("__alone", F.when(~whole, F.monotonically_increasing_id()))
+    return top_k(alone, [*keys, "__alone"], order, 1).drop("__alone")
 
 
 def munge(df: DataFrame) -> DataFrame:

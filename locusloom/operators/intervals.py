@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusloom.functions.running import running, shuffled
+from locusloom.functions.session import saved
 
 _BIN, _SALT = "__bin", "__salt"
 GENE_WINDOW_BP = 500_000
@@ -113,6 +114,6 @@ def region_members(leads: DataFrame, sumstats: DataFrame, window_kb: int = 2000,
     ranges = leads.select(
         "region_id", "chr", "center", (F.col("center") - w).alias("__lo"), (F.col("center") + w).alias("__hi")
     )
-    members = range_join(sumstats, ranges, "bp", "__lo", "__hi", 2 * w).drop("__lo", "__hi")
+    members = saved(range_join(sumstats, ranges, "bp", "__lo", "__hi", 2 * w).drop("__lo", "__hi"), "members")  # read twice
     enough = members.groupBy("region_id").count().filter(F.col("count") >= min_rows).select("region_id")
     return members.join(enough, "region_id", "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from locusloom.functions.running import numbered, salted_join
+from locusloom.functions.session import saved
 from locusloom.operators import alignment
 from locusloom.operators import finemap as fm
 from locusloom.operators import heritability as h2
@@ -72,12 +73,13 @@ def _abf(fx):
 
 
 def _abf_sets(fx):
-    return fm.credible_set(_abf(fx), ["region_id"], [F.round("lbf", 9).desc(), F.col("id")]).withColumn("cs", F.lit(1))
+    return saved(fm.credible_set(_abf(fx), ["region_id"], [F.round("lbf", 9).desc(), F.col("id")]).withColumn("cs", F.lit(1)), "sets")
 
 
 @query("abf_pips", with_views("variants", f"with {_ABF} select region_id, id, round(pip,8) as pip from pp"))
 def _(fx):
-    return _abf(fx).select("region_id", "id", F.round("pip", 8).alias("pip"))
+    stats = _stats(fx).select("region_id", "id", "z", "se")
+    return fm.abf_pips(stats, ["region_id"]).select("region_id", "id", F.round("pip", 8).alias("pip"))
 
 
 @query("abf_credible_sets", with_views("variants", f"with {_ABF} select region_id, id, round(pip,6) as pip from cs"))
@@ -97,7 +99,7 @@ def _(fx):
 select region_id, id, 1 as cs from hi union all select region_id, id, 1 from rk where rn<=10"""))
 def _(fx):
     # rounded, so that equal probabilities are equal in every engine
-    return fm.fallback_set(_abf(fx).withColumn("pip", F.round("pip", 12))).select("region_id", "id", "cs")
+    return fm.fallback_set(saved(_abf(fx).select("region_id", "id", F.round("pip", 12).alias("pip")), "pips")).select("region_id", "id", "cs")
 
 
 @query("padded_pips", with_views("variants", f"""with {_ABF}

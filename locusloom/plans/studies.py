@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from locusloom.functions import columns as C
-from locusloom.functions.session import scratch_path
+from locusloom.functions.session import saved, scratch_path
 from locusloom.operators import alignment as al
 from locusloom.operators import evidence as ev
 from locusloom.operators import finemap as fm
@@ -126,24 +126,25 @@ _CHAIN = """
 
 
 def credible_sets(fx):
-    """Raw statistics -> quality control -> significant variants -> leads -> windows -> probabilities -> credible sets."""
+    """Raw statistics -> quality control -> significant variants -> leads -> windows -> probabilities -> credible sets; the
+    sets and the leads."""
     clean = hz.munge(_study(fx).withColumnsRenamed({"#CHROM": "CHROM"})).withColumnRenamed("pos", "bp")
+    clean = saved(clean.select("snp", "chr", "bp", "z", "se", "p", "n"), "clean")
     leads = ev.locus_leads(hz.significant(clean)).select(
         "chr", F.col("bp").alias("center"), F.concat(F.lit("chr"), F.col("chr").cast("string"), F.lit(":"), F.col("bp").cast("string")).alias("region_id"))
-    members = iv.region_members(leads, clean.select("snp", "chr", "bp", "z", "se", "p", "n"), 500)
-    return fm.credible_set(fm.abf_pips(members, ["region_id"]), ["region_id"], [F.round("lbf", 9).desc(), F.col("snp")])
+    members = iv.region_members(leads, clean, 500)
+    return fm.credible_set(fm.abf_pips(members, ["region_id"]), ["region_id"], [F.round("lbf", 9).desc(), F.col("snp")]), leads
 
 
 @query("gwas_to_credible_sets", with_views("variants", f"with {_CHAIN} select region_id, snp, round(z,6) as z, round(pip,6) as pip from cs"))
 def _(fx):
-    return credible_sets(fx).select("region_id", "snp", F.round("z", 6).alias("z"), F.round("pip", 6).alias("pip"))
+    return credible_sets(fx)[0].select("region_id", "snp", F.round("z", 6).alias("z"), F.round("pip", 6).alias("pip"))
 
 
 @query("gwas_summary", with_views("variants", f"""with {_CHAIN}
 select count(*) as total_variants, count_if(pip>0.5)::bigint as high_confidence, 1 as max_credible_set, round(avg(abs(z)),6) as mean_abs_z, max(n) as max_n,
  count(distinct region_id) as regions_ok, (select count(*) from ld)-count(distinct region_id) as regions_failed from cs"""))
 def _(fx):
-    sets = credible_sets(fx).withColumn("cs", F.lit(1))
-    clean = hz.munge(_study(fx).withColumnsRenamed({"#CHROM": "CHROM"})).withColumnRenamed("pos", "bp")
-    leads = ev.locus_leads(hz.significant(clean)).select(F.concat(F.lit("chr"), F.col("chr").cast("string"), F.lit(":"), F.col("bp").cast("string")).alias("region_id"))
+    sets, leads = credible_sets(fx)
+    sets = saved(sets.withColumn("cs", F.lit(1)), "sets")
     return fm.run_summary(sets, leads).withColumn("mean_abs_z", F.round("mean_abs_z", 6))
