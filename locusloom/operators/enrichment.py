@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusloom.functions import columns as C
 from locusloom.functions.running import p_value_bucket, running, salted_join
-from locusloom.functions.session import cut_lineage
+from locusloom.functions.session import cut_lineage, saved
 from locusloom.functions.stats import over_representation_p
 from locusloom.operators.tables import paged
 
@@ -101,12 +101,26 @@ def ordered_lookup(batches: DataFrame, names: DataFrame) -> DataFrame:
     return packed.select("batch_id", F.transform("x", lambda r: r["id"]).alias("ids"))
 
 
-def subset_terms(significant: DataFrame, coexpressed: DataFrame) -> DataFrame:
+def _contained(genes: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """(key, term) whose genes all lie in the set of the key: count shared genes, compare sizes."""
+    sizes = genes.groupBy("term").agg(F.count("*").alias("__size"))
+    shared = sets.select(key, "gene").distinct().join(genes, "gene").groupBy(key, "term").agg(F.count("*").alias("__n"))
+    return shared.join(sizes, "term").filter(F.col("__n") == F.col("__size")).select(key, "term")
+
+
+def subset_terms(significant: DataFrame, coexpressed: DataFrame, modules: DataFrame | None = None) -> DataFrame:
     """(snp, term) whose significant genes all lie in the co-expressed set of the variant.
 
-    ``significant(term, gene)``, ``coexpressed(snp, gene)``: count shared genes, compare sizes.
+    ``significant(term, gene)``, ``coexpressed(snp, gene)``. With ``modules(snp, module)`` the genes are given per module,
+    ``coexpressed(module, gene)``, and a variant's set is the union over its modules: variants of the same modules
+    have one set, which is compared once, so no row per variant and gene is laid out.
     """
     genes = significant.select("term", "gene").distinct()
-    sizes = genes.groupBy("term").agg(F.count("*").alias("__size"))
-    shared = coexpressed.select("snp", "gene").distinct().join(genes, "gene").groupBy("snp", "term").agg(F.count("*").alias("__n"))
-    return shared.join(sizes, "term").filter(F.col("__n") == F.col("__size")).select("snp", "term")
+    if modules is None:
+        return _contained(genes, coexpressed, "snp")
+    of_variant = modules.filter(F.col("module").isNotNull()).groupBy("snp").agg(F.array_sort(F.collect_set("module")).alias("__modules"))
+    of_variant = saved(of_variant, "modules")  # read twice
+    sets = of_variant.select("__modules").distinct().withColumn("module", F.explode("__modules")).join(coexpressed, "module")
+    found = _contained(genes, sets, "__modules")
+    per_set = found.groupBy("__modules").agg(F.collect_list("term").alias("__terms"))  # at most the genes of one set
+    return salted_join(of_variant, per_set, ["__modules"]).select("snp", F.explode("__terms").alias("term"))

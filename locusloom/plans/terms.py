@@ -371,6 +371,5 @@ select co.snp, sig.term from co join sig on sig.gene=co.gene join sz on sz.term=
 def _(fx):
     sig = fx.genes.select(F.concat_ws("/", "p_brand", F.floor(F.col("gene_key") / 66).cast("string")).alias("term"), F.col("gene_id").alias("gene"))
     block = F.floor(F.col("gene_key") / 22)
-    near = fx.variants.select("snp", block.alias("b")).distinct()
-    co = near.join(fx.genes.select(block.alias("b"), F.col("gene_id").alias("gene")), "b").select("snp", "gene")
-    return en.subset_terms(sig, co)
+    near = fx.variants.select("snp", block.alias("module"))
+    return en.subset_terms(sig, fx.genes.select(block.alias("module"), F.col("gene_id").alias("gene")), near)
