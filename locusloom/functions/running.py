@@ -90,6 +90,12 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread(df: DataFrame, *keys: str, times: int = 8) -> DataFrame:
+    """Rows by hash of ``keys`` in ``times`` the session's shuffle partitions: for rows that multiply after the shuffle, whose
+    tasks would else be cut by the size before. A given number is not merged by adaptive execution."""
+    return df.repartition(times * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salt: int = 8) -> DataFrame:
     """Equi-join whose hot keys are spread over ``salt`` tasks; ``small`` is copied per slot."""
     flat = [c for c, kind in big.dtypes if not kind.startswith(("array", "map", "struct", "binary"))]

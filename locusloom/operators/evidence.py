@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusloom.functions.running import salted_join, shuffled, top_k
+from locusloom.functions.running import salted_join, shuffled, spread, top_k
 from locusloom.operators.intervals import (
     ENHANCER_WINDOW_BP,
     GENE_WINDOW_BP,
@@ -26,6 +26,9 @@ RULE_WEIGHTS = {
 }
 
 
+_TARGETS = 1000  # genes of one factor in one array
+
+
 def near_genes(variants: DataFrame, genes: DataFrame, k: int = GENE_WINDOW_BP) -> DataFrame:
     """(snp, gene_key) with the gene within ``k`` bp of the variant."""
     pairs = within_k_distance(
@@ -122,14 +125,19 @@ def coexpressed_relevant(relevant_pairs: DataFrame, coexpressed: DataFrame) -> D
 def rank_tfs(tf_snp: DataFrame, regulates: DataFrame) -> DataFrame:
     """Transcription factors per (snp, target gene) by absolute motif score.
 
-    ``tf_snp(tf, snp, score, effect)``; equal (score, tf) pairs count once.
+    ``tf_snp(tf, snp, score, effect)``; equal (score, tf) pairs count once. A factor's targets travel as arrays of at most
+    ``_TARGETS`` genes and are laid out after the one shuffle by variant, which serves the ranks.
     """
-    changed = tf_snp.filter(F.col("effect").isin("loss", "gain"))
-    hits = salted_join(changed, regulates, ["tf"]).select("snp", "gene_key", "tf", "score").distinct()
-    w = Window.partitionBy("snp", "gene_key").orderBy(F.abs("score").desc(), "tf", "score")
-    return hits.select(
-        "snp", "gene_key", "tf", F.abs("score").alias("abs_score"), F.row_number().over(w).alias("tf_rank")
-    )
+    changed = tf_snp.filter(F.col("effect").isin("loss", "gain")).select("tf", "snp", "score")
+    page = F.pmod(F.xxhash64("gene_key"), F.ceil(F.count("*").over(Window.partitionBy("tf")) / _TARGETS))
+    targets = regulates.select("tf", "gene_key").distinct().withColumn("__page", page).groupBy("tf", "__page").agg(
+        F.collect_list(F.struct("gene_key")).alias("__targets"))
+    by_variant = spread(salted_join(changed, targets.drop("__page"), ["tf"]), "snp")
+    hits = by_variant.select("snp", "tf", "score", F.abs("score").alias("abs_score"), F.inline("__targets"))
+    w = Window.partitionBy("snp", "gene_key").orderBy(F.col("abs_score").desc(), "tf", "score")
+    # equal rows are neighbours in this order: the first of them has its own row number as its rank
+    ranked = hits.select("snp", "gene_key", "tf", "abs_score", F.dense_rank().over(w).alias("tf_rank"), (F.rank().over(w) == F.row_number().over(w)).alias("__first"))
+    return ranked.filter("__first").drop("__first")
 
 
 def symbol_facts(rows: DataFrame, genes: DataFrame, symbol: str) -> DataFrame:

@@ -161,12 +161,11 @@ _TF_SNP = """
 
 def tf_snp(fx: Fixtures) -> DataFrame:
     name = lambda shift: F.concat(F.lit("tf"), F.floor((F.col("gene_key") + shift) / 4).cast("string"))
-    own = fx.variants.filter("beta <> 0").select(
-        "snp", name(0).alias("tf"), F.col("beta").alias("score"),
-        F.when(F.col("beta") < 0, "loss").otherwise("gain").alias("effect"),
-    )
-    other = fx.variants.select("snp", name(7).alias("tf"), F.col("se").alias("score"), F.lit("gain").alias("effect"))
-    return own.union(other)
+    kind = F.when(F.col("beta") < 0, "loss").otherwise("gain")
+    own = F.struct(name(0).alias("tf"), F.col("beta").alias("score"), kind.alias("effect"))
+    other = F.struct(name(7).alias("tf"), F.col("se").alias("score"), F.lit("gain").alias("effect"))
+    both = F.when(F.col("beta") != 0, F.array(own, other)).otherwise(F.array(other))  # one pass over the variants
+    return fx.variants.select("snp", F.inline(both)).select("snp", "tf", "score", "effect")
 
 
 @query("rank_tfs", with_views("variants genes", f"""with {_TF_SNP},
