@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusloom.functions.running import spread
 from locusloom.operators.evidence import RULE_WEIGHTS, regulatory_links, rule_flags
 
 
@@ -44,9 +45,10 @@ def proofs(
 
 
 def proof_edges(proof_rows: DataFrame) -> DataFrame:
-    """Distinct edges per (snp, gene)."""
+    """Distinct edges per (snp, gene). Rows meet by pair before their edges are laid out, so one shuffle of the proofs
+    serves the edges, and the nodes made from them."""
     return (
-        proof_rows.select("snp", "gene", F.explode("edges").alias("e"))
+        spread(proof_rows, "snp", "gene").select("snp", "gene", F.explode("edges").alias("e"))
         .select("snp", "gene", "e.pred", "e.src_type", "e.src", "e.dst_type", "e.dst").distinct()
     )
 

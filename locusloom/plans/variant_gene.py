@@ -32,6 +32,11 @@ def relevant(fx: Fixtures) -> DataFrame:
     return ev.relevant_gene(fx.variants, fx.enhancers, fx.associated_with, fx.evidence)
 
 
+def _links_once(fx: Fixtures) -> Fixtures:
+    """The variants that the enhancer rule and both direct rules read, computed once."""
+    return fx.once("variants", "snp", "chr", "bp", "gene_key", "l_returnflag")
+
+
 def closest(fx: Fixtures) -> DataFrame:
     return fx.variants.select("snp", "gene_key").join(shuffled(fx.genes.select("gene_key")), "gene_key", "left_semi")
 
@@ -255,6 +260,7 @@ union select snp, cast(gene_key as varchar), 'in_regulatory_region', 'snp', snp,
 union select snp, cast(gene_key as varchar), 'associated_with', kind, cast(enh_key as varchar), 'gene', cast(gene_key as varchar) from link
 union select snp, cast(gene_key as varchar), pred, 'snp', snp, 'gene', cast(gene_key as varchar) from evidence"""))
 def _(fx):
+    fx = _links_once(fx)
     return pf.proof_edges(pf.proofs(fx.variants, fx.enhancers, fx.associated_with, fx.evidence))
 
 
@@ -268,6 +274,7 @@ union select snp, cast(gene_key as varchar), kind, cast(enh_key as varchar) from
 union select snp, cast(gene_key as varchar), 'snp', snp from evidence
 union select snp, cast(gene_key as varchar), 'gene', cast(gene_key as varchar) from evidence"""))
 def _(fx):
+    fx = _links_once(fx)
     return pf.proof_nodes(pf.proof_edges(pf.proofs(fx.variants, fx.enhancers, fx.associated_with, fx.evidence)))
 
 
@@ -283,7 +290,7 @@ _FIRST = " ".join(
   drawn as (select snp, gene_key, s.i, case {_FIRST} end as rule from rel, range(1,{_SAMPLES + 1}) s(i) group by snp, gene_key, s.i)
 select snp, cast(gene_key as varchar) as gene, rule, count(*)/{_SAMPLES}::double as prob from drawn where rule is not null group by 1,2,3"""))
 def _(fx):
-    return pf.sampled_proofs(relevant(fx), _SAMPLES)
+    return pf.sampled_proofs(relevant(_links_once(fx)), _SAMPLES)
 
 
 @query("expected_first_proof", with_views("variants genes enhancers associated_with evidence", f"""with {_REL},
@@ -314,6 +321,7 @@ from freq f join (select v.snp, cast(e.enh_key as varchar) as enh, e.kind, cast(
     join enhancers e on e.chr=v.chr and (abs(v.bp-e.e_start)<=50000 or abs(v.bp-e.e_end)<=50000)
     join associated_with a on a.enh_key=e.enh_key) l on l.snp=f.snp and l.gene=f.gene where f.rule='regulatory_effect'"""))
 def _(fx):
+    fx = _links_once(fx)
     rows = pf.proofs(fx.variants, fx.enhancers, fx.associated_with, fx.evidence)
     graphs = pf.proof_graphs(rows, pf.sampled_proofs(relevant(fx), _SAMPLES))
     return graphs.select("snp", "gene", "rule", "graph")
