@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +84,14 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def draws_below(w: float, seed: int, *parts: Column) -> Column:
+    """``uniform(seed, *parts) < w``, compared as hexadecimal text: the draw is the first eight digits over 2^32."""
+    first_above = math.ceil(w * 2**32)
+    if not 0 < first_above < 2**32:
+        return F.lit(first_above > 0)
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])) < f"{first_above:08x}"
+
+
 def sampled_proofs(relevant: DataFrame, samples: int, seed: int = 42) -> DataFrame:
     """(snp, gene, rule, prob): share of samples whose first successful rule it is.
 
@@ -91,7 +101,7 @@ def sampled_proofs(relevant: DataFrame, samples: int, seed: int = 42) -> DataFra
     flags = rule_flags(relevant)
     first = F.lit(None).cast("string")
     for rule, w in reversed(list(RULE_WEIGHTS.items())):
-        hit = (F.col(rule) == 1) & (uniform(seed, F.col("sample"), F.lit(rule), F.col("gene_key"), F.col("snp")) < w)
+        hit = (F.col(rule) == 1) & draws_below(w, seed, F.col("sample"), F.lit(rule), F.col("gene_key"), F.col("snp"))
         first = F.when(hit, F.lit(rule)).otherwise(first)
     return (
         flags.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))

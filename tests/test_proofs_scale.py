@@ -1,8 +1,19 @@
+from pyspark.sql import functions as F
+
 from locusloom.operators import proofs as pf
 from locusloom.plans.fixtures import Fixtures
 from locusloom.plans import variant_gene
 
 
+def test_draws_compared_as_text_equal_draws_as_numbers(spark):
+    for w in (0.0, 1e-9, 0.0176, 0.34, 0.5, 1 - 2**-33, 1.0, 1.5):
+        n = spark.range(500).where((pf.uniform(42, F.col("id"), F.lit("r")) < w) != pf.draws_below(w, 42, F.col("id"), F.lit("r"))).count()
+        assert n == 0
+    first = spark.range(1).select(pf.uniform(7, F.col("id")).alias("x")).head().x
+    same = spark.range(1).select(pf.draws_below(first, 7, F.col("id")), pf.draws_below(first + 2**-32, 7, F.col("id"))).head()
+    assert tuple(same) == (False, True)
+
+
 def _physical(df):
     plan = df._jdf.queryExecution().toString()
     return plan[plan.index("== Physical Plan =="):]
