@@ -2,34 +2,11 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-from contextlib import suppress
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.functions.session import saved  # noqa: F401
-
-BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the text that a Python worker gets at once; limits that the session's start-up settings name are kept."""
-    given = spark.sparkContext.getConf()
-    for key, value in BATCH.items():
-        if not given.contains(key):
-            spark.conf.set(key, value)
-
-
-def release() -> None:
-    """Give a Python worker's freed memory back at the end of a task: workers live on, and wait beside the JVM."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with suppress(OSError, AttributeError):  # no such call outside glibc
-        ctypes.CDLL(None).malloc_trim(0)
+from locusloom.functions.session import BATCH, bounded_batches, release, saved  # noqa: F401
 
 
 def components(edges: DataFrame) -> DataFrame:

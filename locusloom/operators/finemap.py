@@ -197,6 +197,27 @@ class Effects:
             self.last = self.elbo
 
 
+class Entries:
+    """Rows of a correlation matrix by the entries that are given; the others are 0."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.col, self.value, self.shape = row, col, value, shape
+
+    def __matmul__(self, vector: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * vector[self.col], self.shape[0])
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros(self.shape)
+        out[self.row, self.col] = self.value
+        return out
+
+    def lowest(self, rows: np.ndarray, cols: np.ndarray) -> float:
+        """Smallest absolute value where these rows and columns meet, by masks."""
+        inside = rows[self.row] & cols[self.col]
+        every = np.count_nonzero(inside) == np.count_nonzero(rows) * np.count_nonzero(cols)
+        return float(np.abs(self.value[inside]).min()) if every else 0.0
+
+
 class Block:
     """Variants of one region: z-scores and either their unit genotype rows or their rows of the correlation matrix
     (``at`` then tells their places in it, ``lift`` what its diagonal gets)."""
@@ -284,15 +305,24 @@ def purity(u: np.ndarray, members: np.ndarray, block: int = 512) -> float:
     return low
 
 
+def _lowest(r: np.ndarray | Entries, members: np.ndarray) -> float:
+    """Smallest absolute correlation among the members."""
+    if isinstance(r, Entries):
+        mask = np.isin(np.arange(r.shape[0]), members)
+        return r.lowest(mask, mask)
+    return float(np.abs(r[np.ix_(members, members)]).min())
+
+
 def credible_sets(fit: Fit, u: np.ndarray, coverage: float, min_abs_corr: float, matrix: bool = False) -> list[np.ndarray]:
-    """Distinct pure sets, purest first; ``u``: genotype rows, or the correlation matrix where ``matrix`` is set."""
+    """Distinct pure sets, purest first; ``u``: genotype rows, or the correlation matrix, whole or by its entries, where
+    ``matrix`` is set."""
     found: dict[tuple, float] = {}
     for a, v in zip(fit.alpha, fit.v):
         if v <= 1e-9:
             continue
         order = np.lexsort((np.arange(len(a)), -a))
         members = np.sort(order[: int(np.searchsorted(np.cumsum(a[order]), coverage * (1 - 1e-12))) + 1])
-        p = round(float(np.abs(u[np.ix_(members, members)]).min()) if matrix else purity(u, members), 9)  # equal sets stay equal
+        p = round(_lowest(u, members) if matrix else purity(u, members), 9)  # equal sets stay equal
         if p >= min_abs_corr:
             found[tuple(members)] = p
     return [np.array(k) for k, _ in sorted(found.items(), key=lambda kv: -kv[1])]

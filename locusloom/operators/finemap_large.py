@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusloom.functions.running import running, salted_join
-from locusloom.functions.session import cut_lineage
+from locusloom.functions.session import bounded_batches, cut_lineage, release, saved
 from locusloom.operators import finemap as fm
 from locusloom.operators import ld
 
 WAVE_BYTES = 64 << 20
+ENTRY_BYTES = 24  # one entry of a correlation matrix: two places and a value
+STEPS = 60  # Lanczos steps at most
+_MATRIX = ("entry_row", "entry_col", "matrix")
 _STATE = (
     "region_id {key}, effects int, n double, rows long, width long, lift double, phase int, vk double, k int, round int, last double, "
     "elbo double, converged boolean, done boolean, fitted array<double>, others array<double>, v array<double>, lse array<double>, terms array<double>, asked array<double>, before array<double>"
@@ -70,53 +73,63 @@ def genotype_tiles(members: DataFrame, tile_bytes: int) -> DataFrame:
     field = lambda c: F.transform("r", lambda x: x[c])
     return cut_lineage(packed.select(
         "region_id", "tile", "tiles", F.col("n0").alias("n"), "rows", "width", field("id").alias("ids"), field("z").alias("z"),
-        F.lit(None).cast("array<long>").alias("at"), F.flatten(field("u")).alias("matrix")))
+        *[F.lit(None).cast("array<long>").alias(c) for c in ("at", "entry_row", "entry_col")], F.flatten(field("u")).alias("matrix")))
 
 
 def matrix_tiles(stats: DataFrame, pairs: DataFrame, tile_bytes: int) -> DataFrame:
     """The same from ``stats(region_id, place, id, z, n)`` and ``pairs(region_id, i, j, r)``: a tile holds whole rows of the
-    matrix, ``at`` their places."""
+    matrix, ``at`` their places, as the entries that are given: ``matrix`` at the places ``entry_row, entry_col``. So tiles grow
+    with the pairs, not with the square of a region."""
     bad = F.isnan("z") | F.col("z").isNull() | (F.abs("z") == float("inf"))
     rows = stats.select("region_id", F.col("place").cast("long").alias("place"), "id", "z", "n").withColumn("size", F.col("place") + 1)
-    shape = _health(rows, bad).withColumn("per", F.greatest(F.lit(1), F.floor(tile_bytes / (8 * (F.col("width") + 2)))).cast("long"))
-    shape = shape.withColumn("tiles", F.ceil(F.col("width") / F.col("per")).cast("long"))
     flat = pairs.filter("i <> j and r is not null and not isnan(r)").select("region_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "r")
     both = flat.unionByName(flat.select("region_id", F.col("j").alias("i"), F.col("i").alias("j"), "r")).groupBy("region_id", "i", "j").agg(F.max("r").alias("r"))
     entries = both.join(rows.select("region_id", F.col("place").alias("i")), ["region_id", "i"], "left_semi").join(
         rows.select("region_id", F.col("place").alias("j")), ["region_id", "j"], "left_semi")
-    tile = F.floor(F.col("place") / F.col("per"))
-    packed = salted_join(rows.drop("n"), shape, ["region_id"]).withColumn("tile", tile).groupBy("region_id", "tile", "tiles", "n0", "rows", "width").agg(
+    entries = saved(entries.select("region_id", F.col("i").alias("place"), "j", "r"), "entries")  # read twice
+    held = rows.join(entries.groupBy("region_id", "place").agg(F.count("*").alias("__k")), ["region_id", "place"], "left")
+    weight = (F.coalesce("__k", F.lit(0)) + 2) * ENTRY_BYTES
+    order = running(held, ["region_id"], F.floor(F.col("place") / 1024), [F.col("place")], weight, "__before", exclusive=True)
+    placed = saved(order.withColumn("tile", F.floor(F.col("__before") / tile_bytes)).drop("__before", "__k"), "placed")
+    shape = _health(rows, bad).join(placed.groupBy("region_id").agg((F.max("tile") + 1).alias("tiles")), "region_id")
+    packed = salted_join(placed.drop("n"), shape, ["region_id"]).groupBy("region_id", "tile", "tiles", "n0", "rows", "width").agg(
         F.sort_array(F.collect_list(F.struct("place", "id", "z"))).alias("r"))
-    cells = salted_join(entries.withColumnRenamed("i", "place"), shape.select("region_id", "per"), ["region_id"]).groupBy("region_id", tile.alias("tile")).agg(
-        F.collect_list(F.struct("place", "j", "r")).alias("cells"))  # at most ``per`` rows of the matrix
-    key = dict(rows.dtypes)["region_id"]
-    id_type = dict(rows.dtypes)["id"]
-
+    cells = entries.join(placed.select("region_id", "place", "tile"), ["region_id", "place"]).groupBy("region_id", "tile").agg(
+        F.collect_list(F.struct("place", "j", "r")).alias("cells"))  # at most ``tile_bytes`` and one row of the matrix
     field = lambda r, c: F.transform(r, lambda x: x[c])
-    listed = packed.join(cells, ["region_id", "tile"], "left").select(
+    return cut_lineage(packed.join(cells, ["region_id", "tile"], "left").select(
         "region_id", "tile", "tiles", F.col("n0").alias("n"), "rows", "width", field("r", "id").alias("ids"), field("r", "z").alias("z"),
-        field("r", "place").alias("at"), *[field("cells", c).alias(c) for c in ("place", "j", "r")])
+        field("r", "place").alias("at"), field("cells", "place").alias("entry_row"), field("cells", "j").alias("entry_col"), field("cells", "r").alias("matrix")))
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            full = []
-            for row in pdf.itertuples(index=False):
-                at = np.asarray(row.at, np.int64)
-                matrix = np.zeros((len(at), int(row.width)))
-                matrix[np.arange(len(at)), at] = 1.0
-                if row.place is not None:
-                    matrix[np.searchsorted(at, np.asarray(row.place, np.int64)), np.asarray(row.j, np.int64)] = np.asarray(row.r, float)
-                full.append(matrix.ravel())
-            yield pdf.drop(columns=["place", "j", "r"]).assign(matrix=full)
 
-    kinds = f"region_id {key}, tile long, tiles long, n double, rows long, width long, ids array<{id_type}>, z array<double>, at array<long>, matrix array<double>"
-    return cut_lineage(listed.mapInPandas(fill, kinds))
+def entries_of(row, columns: np.ndarray | None = None) -> fm.Entries:
+    """Rows of the correlation matrix that a tile holds, with the diagonal; columns are places, or indices of ``columns``."""
+    at = np.asarray(row.at, np.int64)
+    from_, to, r = (np.zeros(0), np.zeros(0), np.zeros(0)) if row.matrix is None else (row.entry_row, row.entry_col, row.matrix)
+    line = np.concatenate([np.searchsorted(at, np.asarray(from_, np.int64)), np.arange(len(at))])
+    to, width = np.concatenate([np.asarray(to, np.int64), at]), int(row.width)
+    if columns is not None:
+        to, width = np.searchsorted(columns, to), len(columns)
+    return fm.Entries(line, to, np.concatenate([np.asarray(r, float), np.ones(len(at))]), (len(at), width))
 
 
 def block_of(row, lift: float = 0.0) -> fm.Block:
     z = np.asarray(row.z, float)
-    at = None if row.at is None else np.asarray(row.at, np.int64)
-    return fm.Block(z, np.asarray(row.matrix, float).reshape(len(z), -1), float(row.n), at, lift)
+    if row.at is not None:
+        return fm.Block(z, entries_of(row), float(row.n), np.asarray(row.at, np.int64), lift)
+    return fm.Block(z, np.asarray(row.matrix, float).reshape(len(z), -1), float(row.n))
+
+
+def _whole_block(row) -> fm.Block:
+    """Block of a tile that holds its whole region; places without statistics are gaps and take no part."""
+    if row.at is None:
+        return block_of(row)
+    z, n = np.asarray(row.z, float), float(row.n)
+    every = np.arange(len(z))
+    entries = entries_of(row, np.asarray(row.at, np.int64))
+    if 8 * len(z) * (len(z) + 2) <= fm.TILE_BYTES:
+        return fm.Block(z, fm.psd_repair(entries.dense()), n, every)
+    return fm.Block(z, entries, n, every, fm.psd_lift(_smallest(entries)))
 
 
 # ---- fits -----------------------------------------------------------------------------
@@ -124,21 +137,21 @@ def block_of(row, lift: float = 0.0) -> fm.Block:
 
 def fit_tiles(tiles: DataFrame, square: bool, grid: Sequence[int], coverage: float, min_abs_corr: float, key_type: str, id_type: str) -> DataFrame:
     """(region_id, id, pip, cs, effects, elbo, converged); the number of effects is chosen from ``grid`` by the evidence bound."""
+    bounded_batches(tiles.sparkSession)  # a task gets its tiles one by one
     schema = f"region_id {key_type}, id {id_type}, pip double, cs int, effects int, elbo double, converged boolean"
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                n, matrix = float(row.n), np.asarray(row.matrix, float).reshape(len(row.z), -1)
-                if square:  # places without statistics are gaps; they take no part
-                    matrix = fm.psd_repair(matrix[:, np.asarray(row.at, np.int64)])
-                block = fm.Block(np.asarray(row.z, float), matrix, n, np.arange(len(row.z)) if square else None)
+                n, block = float(row.n), _whole_block(row)
                 fits = [(k, f.elbo, f.converged, f) for k in _counts(grid, len(row.z)) for f in [fm.fit_block(block, n, k)]]
                 count, elbo, converged, fit = fm.best_count(fits)
                 cs = np.zeros(len(row.z), dtype=int)
-                for i, found in enumerate(fm.credible_sets(fit, matrix, coverage, min_abs_corr, square)):
+                for i, found in enumerate(fm.credible_sets(fit, block.rows, coverage, min_abs_corr, square)):
                     cs[found] = i + 1
                 yield pd.DataFrame({"region_id": row.region_id, "id": row.ids, "pip": fit.pip, "cs": cs, "effects": count, "elbo": elbo, "converged": converged})
+                del block, fits, fit
+        release()
 
     fitted = tiles.filter("tiles = 1").mapInPandas(whole, schema)
     several = tiles.filter("tiles > 1").select("region_id", "n", "rows", "width").distinct()
@@ -252,11 +265,37 @@ def _answers(tiles: DataFrame, asked: DataFrame, hint, answer, key_type: str) ->
         if held:
             yield pd.DataFrame([(r, e, t, s) for (r, e), (t, s) in held.items()], columns=["region_id", "effects", "top", "sums"])
 
-    data = tiles.select("region_id", "n", "z", "at", "matrix")
+    data = tiles.select("region_id", "n", "z", "at", "width", *_MATRIX)
     return data.join(hint(questions), "region_id").mapInPandas(run, _ANSWER.format(key=key_type))
 
 
-def _lifts(tiles: DataFrame, regions: DataFrame, hint, key_type: str, steps: int = 60) -> DataFrame:
+def _lanczos(basis: np.ndarray, alpha: list, beta: list, product: np.ndarray, steps: int) -> tuple[np.ndarray, list, list, float, bool]:
+    """One step with the product of the newest vector: vectors, diagonals, smallest eigenvalue so far, whether it is settled."""
+    alpha = [*alpha, float(basis[-1] @ product)]
+    rest = product - basis.T @ (basis @ product)
+    rest -= basis.T @ (basis @ rest)  # twice, so that the vectors stay orthogonal
+    size = float(np.linalg.norm(rest))
+    least = float(np.linalg.eigvalsh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))[0])
+    settled = len(alpha) >= min(steps, len(product)) or size < 1e-10 or least < -fm.ROUNDING
+    if not settled:
+        basis, beta = np.vstack([basis, rest / size]), [*beta, size]
+    return basis, alpha, beta, least, settled
+
+
+def _start(width: int) -> np.ndarray:
+    q = np.random.default_rng(7).normal(size=width)
+    return q / np.linalg.norm(q)
+
+
+def _smallest(entries: fm.Entries, steps: int = STEPS) -> float:
+    """The smallest eigenvalue of a whole matrix by the same steps."""
+    basis, alpha, beta, settled = _start(entries.shape[1])[None, :], [], [], False
+    while not settled:
+        basis, alpha, beta, least, settled = _lanczos(basis, alpha, beta, entries @ basis[-1], steps)
+    return least
+
+
+def _lifts(tiles: DataFrame, regions: DataFrame, hint, key_type: str, steps: int = STEPS) -> DataFrame:
     """``regions`` with ``lift``: what the diagonal gets, from the smallest eigenvalue by Lanczos steps. Each step is one
     product of all tiles with one vector per region; the vectors so far are kept, as their number is at most ``steps``."""
     kind = f"region_id {key_type}, effects int, basis array<double>, alpha array<double>, beta array<double>, smallest double, done boolean"
@@ -264,8 +303,7 @@ def _lifts(tiles: DataFrame, regions: DataFrame, hint, key_type: str, steps: int
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                q = np.random.default_rng(7).normal(size=int(row.width))
-                yield pd.DataFrame({"region_id": [row.region_id], "effects": 0, "basis": [q / np.linalg.norm(q)], "alpha": [[]], "beta": [[]], "smallest": 0.0, "done": False})
+                yield pd.DataFrame({"region_id": [row.region_id], "effects": 0, "basis": [_start(int(row.width))], "alpha": [[]], "beta": [[]], "smallest": 0.0, "done": False})
 
     def answer(phase: int, vk: float, asked: np.ndarray, before: np.ndarray, block: fm.Block) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(1), block.vector(block.times(asked))
@@ -276,14 +314,7 @@ def _lifts(tiles: DataFrame, regions: DataFrame, hint, key_type: str, steps: int
             return held
         product = np.sum([np.asarray(s, float) for s in parts["sums"]], axis=0)
         basis = np.asarray(row.basis, float).reshape(-1, len(product))
-        alpha, beta = [*row.alpha, float(basis[-1] @ product)], list(row.beta)
-        rest = product - basis.T @ (basis @ product)
-        rest -= basis.T @ (basis @ rest)  # twice, so that the vectors stay orthogonal
-        size = float(np.linalg.norm(rest))
-        least = float(np.linalg.eigvalsh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))[0])
-        settled = len(alpha) >= min(steps, len(product)) or size < 1e-10 or least < -fm.ROUNDING
-        if not settled:
-            basis, beta = np.vstack([basis, rest / size]), [*beta, size]
+        basis, alpha, beta, least, settled = _lanczos(basis, list(row.alpha), list(row.beta), product, steps)
         return pd.DataFrame({"region_id": [row.region_id], "effects": 0, "basis": [basis.ravel()], "alpha": [alpha], "beta": [beta], "smallest": least, "done": settled})
 
     newest = F.slice("basis", -(F.size("basis") / (F.size("alpha") + 1)).cast("int"), (F.size("basis") / (F.size("alpha") + 1)).cast("int"))
@@ -315,7 +346,7 @@ def _sets(tiles, state, hint, square, coverage, min_abs_corr, key_type, id_type)
                 yield pd.DataFrame({"region_id": row.region_id, "id": row.ids, "place": place, "pip": np.clip(1 - np.prod(1 - live, axis=1), 0, 1), "alpha": alphas.tolist()})
 
     fits = state.select("region_id", "others", "v", "lse", "lift")
-    per_variant = cut_lineage(tiles.select("region_id", "ids", "n", "z", "at", "matrix").join(hint(fits), "region_id").mapInPandas(
+    per_variant = cut_lineage(tiles.select("region_id", "ids", "n", "z", "at", "width", *_MATRIX).join(hint(fits), "region_id").mapInPandas(
         probabilities, f"region_id {key_type}, id {id_type}, place long, pip double, alpha array<double>"))
     live = state.select("region_id", F.posexplode("v").alias("effect", "vk")).filter(F.col("vk") > 1e-9).select("region_id", "effect")
     spread = salted_join(per_variant.select("region_id", "id", "place", F.posexplode("alpha").alias("effect", "a")), live, ["region_id", "effect"])
@@ -360,10 +391,10 @@ def _purity_of_matrix(tiles: DataFrame, members: DataFrame, key_type: str) -> Da
     def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                matrix = np.asarray(row.matrix, float).reshape(len(row.at), -1)
-                inside = np.isin(np.asarray(row.at), np.asarray(row.places))
+                inside, places = np.isin(np.asarray(row.at), np.asarray(row.places)), np.zeros(int(row.width), bool)
+                places[np.asarray(row.places, np.int64)] = True
                 if inside.any():
-                    low = float(np.abs(matrix[np.ix_(inside, np.asarray(row.places))]).min())
+                    low = entries_of(row).lowest(inside, places)
                     yield pd.DataFrame({"region_id": [row.region_id], "effect": row.effect, "low": low})
 
-    return tiles.select("region_id", "at", "matrix").join(places, "region_id").mapInPandas(lowest, f"region_id {key_type}, effect int, low double")
+    return tiles.select("region_id", "at", "width", *_MATRIX).join(places, "region_id").mapInPandas(lowest, f"region_id {key_type}, effect int, low double")
