@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from locusloom.functions import columns as C
+from locusloom.functions.running import spread
 from locusloom.functions.session import scratch_path
 from locusloom.operators import harmonise as hz
 from locusloom.plans.fixtures import with_views
@@ -74,9 +75,11 @@ def _(fx):
         F.round(F.lit(1.0) / (1 + F.abs(k - region * 10 - step)), 6).cast("string"))
     line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), cell), "\t")
     rows = fx.supplier.select(region.alias("region"), k, F.concat(F.lit("v"), k.cast("string")).alias("label"), line.alias("value"))
-    rows = rows.repartition("region").sortWithinPartitions("region", "s_suppkey")
-    rows.select("region", "value").write.partitionBy("region").text(f"{path}/m")
-    rows.select("region", F.col("label").alias("value")).write.partitionBy("region").text(f"{path}/l")
+    # many small files: tasks share them and move their own to the place, else the driver moves one after the other
+    rows = spread(rows, "region", times=1).sortWithinPartitions("region", "s_suppkey")
+    files = lambda value: rows.select("region", value).write.partitionBy("region").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    files("value").text(f"{path}/m")
+    files(F.col("label").alias("value")).text(f"{path}/l")
     return rd.read_ld_matrix(fx.spark, f"{path}/m", f"{path}/l")
 
 

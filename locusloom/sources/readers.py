@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusloom.functions.running import numbered
+from locusloom.functions.session import saved
 from locusloom.sources import blockgzip
 
 BIM_SCHEMA = "chr int, snp string, cm double, pos bigint, a1 string, a2 string"
@@ -119,13 +120,14 @@ def with_line_number(scan: DataFrame, name: str = "line", keys: Sequence[str] =
     """Number the rows of a file scan from 0, in order of file name and place in the file.
 
     ``keys`` (folder partitions) restart the count. Rows of one file block reach one task
-    in file order; blocks are numbered by their counts, so no task sees more than one block.
+    in file order; blocks are numbered by their counts, so no task sees more than one block. The scan is read twice, so it is
+    computed once and saved: opening many small files costs more than their lines.
     """
     placed = scan.select(
         "*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__seq"),
     )
-    ranked = numbered(placed, keys, F.col("__block"), [F.col("__seq")], "__k")
+    ranked = numbered(saved(placed, "lines"), keys, F.col("__block"), [F.col("__seq")], "__k")
     return ranked.withColumn(name, (F.col("__k") - 1).cast("long")).drop("__block", "__seq", "__k")
 
 
