@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusloom.functions.running import salted_join
@@ -103,10 +103,11 @@ def _order(band: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def star(band: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted by band: index of the first row of each band, and each row's index into those; rows in band order."""
-    order = np.lexsort((_order(band, key), band))
-    head = np.flatnonzero(np.diff(band[order], prepend=band[order[0]] - 1) != 0)
-    return order, order[head], np.searchsorted(head, np.arange(len(order)), side="right") - 1
+    """Rows sorted by band, the start of each band among them, and the key of its first line in the band's order."""
+    order = np.argsort(band)
+    band = band[order]
+    head = np.flatnonzero(np.diff(band, prepend=band[0] - 1) != 0)
+    return order, head, _order(band[head], np.minimum.reduceat(_order(band, key[order]), head))
 
 
 def several(batches: Iterator[pa.RecordBatch], size: int = 6 << 20) -> Iterator[pa.Array]:
@@ -132,39 +133,23 @@ def candidates(docs: DataFrame) -> DataFrame:
                 continue
             band = bands_of(signatures(lines.filter(pa.array(long)).to_pylist())).ravel()
             key = np.tile(keys[long], BANDS)
-            order, head, of = star(band, key)
-            first = key[head][of]
-            same = first != key[order]
+            order, head, first = star(band, key)
+            each = np.repeat(first, np.diff(head, append=len(order)))
+            same = each != key[order]
             # forwarded rows (band, first line, null), and links found here (the link's own number, line, first line)
-            a, b = key[order][same], first[same]
+            a, b = key[order][same], each[same]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([band[head], a ^ b])), pa.array(np.concatenate([key[head], a])),
+                pa.array(np.concatenate([band[order[head]], a ^ b])), pa.array(np.concatenate([first, a])),
                 pa.array(np.concatenate([np.zeros(len(head), np.int64), b]), mask=np.arange(len(head) + len(a)) < len(head)),
             ], ["band", "a", "b"])
         release()
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_band, last_first = None, None
-        for batch in batches:
-            ready = batch.filter(pc.is_valid(batch.column(2)))
-            if len(ready):
-                yield ready.select(["a", "b"])
-            band, key = (c.to_numpy() for c in batch.filter(pc.is_null(batch.column(2))).columns[:2])
-            if not len(band):
-                continue
-            head = np.flatnonzero(np.diff(band, prepend=band[0] - 1) != 0)
-            first = key[head]
-            if band[0] == last_band:
-                first[0] = last_first
-            mine = first[np.searchsorted(head, np.arange(len(band)), side="right") - 1]
-            last_band, last_first = band[-1], mine[-1]
-            found = mine != key
-            if found.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[found]), pa.array(mine[found])], ["a", "b"])
-
     proposed = docs.select("text").mapInArrow(propose, "band long, a long, b long")
-    by_turn = F.when(F.col("band").bitwiseAND(F.lit(1)) == 1, F.bitwise_not("a")).otherwise(F.col("a"))
-    met = proposed.repartition("band").sortWithinPartitions("band", by_turn).mapInArrow(join, "a long, b long")
+    odd = F.col("band").bitwiseAND(F.lit(1)) == 1
+    first = F.min(F.when(odd, F.bitwise_not("a")).otherwise(F.col("a"))).over(Window.partitionBy("band"))
+    met = proposed.repartition("band").withColumn("first", first).select(
+        "a", F.coalesce("b", F.when(odd, F.bitwise_not("first")).otherwise(F.col("first"))).alias("b")
+    ).filter("a <> b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -191,23 +176,57 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return found.join(keys, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
 
 
-def _shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+def shingles(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingles of each line as sorted numbers: equal ones are equal shingles, among these lines."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(x) for x in lines])
+    if len(codes) < SHINGLE:
+        return [np.empty(0, np.uint64) for _ in lines]
+    top = int(codes.max())
+    if top > 255:  # only the characters that occur get a number
+        used = np.zeros(top + 1, bool)
+        used[codes] = True
+        codes, top = (np.cumsum(used) - 1)[codes], int(used.sum()) - 1
+    if top <= 255:  # eight characters of a byte each are one number
+        whole = np.ndarray(len(codes) - SHINGLE + 1, np.uint64, codes.astype(np.uint8), 0, (1,)).copy()
+    else:  # pieces of one, two and four characters meet in one number, and are numbered when that has too few bits
+        whole, bits, step = codes.astype(np.uint64), top.bit_length(), 1
+        while step < SHINGLE:
+            if 2 * bits > 64:
+                whole = np.unique(whole, return_inverse=True)[1].astype(np.uint64)
+                bits = len(whole).bit_length()
+            whole = whole[:-step] << np.uint64(bits) | whole[step:]
+            bits, step = 2 * bits, 2 * step
+    out = []
+    for end, line in zip(ends.tolist(), lines, strict=True):
+        part = np.sort(whole[end - len(line) : max(end - SHINGLE + 1, end - len(line))])
+        out.append(part[np.append(True, part[1:] != part[:-1])] if len(part) else part)
+    return out
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of shingles in both."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs whose shingle sets have Jaccard similarity SIMILAR or more."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, set()
         for batch in batches:
+            if not len(batch):
+                continue
+            a = batch.column(0).to_numpy()
+            head = np.flatnonzero(np.diff(a, prepend=a[0] - 1) != 0)  # a line that comes in several rows on end is read once
+            sets = shingles(batch.column(2).take(pa.array(head)).to_pylist() + batch.column(3).to_pylist())
+            of = np.repeat(np.arange(len(head)), np.diff(head, append=len(a))).tolist()
             keep = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != last:
-                    last, known = a, _shingles(x)
-                other = _shingles(y)
-                both = len(known & other)
-                keep.append(both >= SIMILAR * (len(known) + len(other) - both))
+            for x, y in zip((sets[i] for i in of), sets[len(head) :], strict=True):
+                alike = min(len(x), len(y)) >= SIMILAR * max(len(x), len(y))
+                both = common(x, y) if alike else 0
+                keep.append(alike and both >= SIMILAR * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
         release()
 
@@ -216,20 +235,23 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _overlaps(sets: list[set[str]]) -> np.ndarray:
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every two sets. Shingles of one line alone are left out, they are in none."""
-    ids: dict[str, int] = {}
-    token = np.array([ids.setdefault(x, len(ids)) for s in sets for x in s], np.int64)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    often = np.bincount(token, minlength=len(ids)) > 1
-    number = np.cumsum(often) - 1
-    row, token = row[often[token]], number[token[often[token]]]
-    order = np.argsort(token, kind="stable")
+    token = np.concatenate(sets)
+    order = np.argsort(token)
     row, token = row[order], token[order]
+    new, last = np.ones((2, len(token)), bool)
+    new[1:] = token[1:] != token[:-1]
+    last[:-1] = new[1:]
+    often = ~(new & last)
+    row, token = row[often], np.cumsum(new[often]) - 1
     out = np.zeros((len(sets), len(sets)))
-    for low in range(0, int(often.sum()), _WIDE):
-        a, b = np.searchsorted(token, [low, low + _WIDE])
-        part = np.zeros((len(sets), _WIDE), np.float32)
+    all_ = int(token[-1]) + 1 if len(token) else 0
+    for low in range(0, all_, _WIDE):
+        wide = min(_WIDE, all_ - low)
+        a, b = np.searchsorted(token, [low, low + wide])
+        part = np.zeros((len(sets), wide), np.float32)
         part[row[a:b], token[a:b] - low] = 1
         out += part @ part.T
     return out
@@ -237,16 +259,19 @@ def _overlaps(sets: list[set[str]]) -> np.ndarray:
 
 def similar_roots(lines: list[str], roots: np.ndarray, sides: np.ndarray, one_block: bool) -> np.ndarray:
     """Pairs (columns) of different roots with similar lines, of every two lines or of those on different sides."""
-    sets = [_shingles(x) for x in lines]
+    i, j = np.triu_indices(len(lines), 1)
+    meet = (roots[i] != roots[j]) & (one_block | (sides[i] != sides[j]))
+    i, j = i[meet], j[meet]
+    if not len(i):
+        return np.empty((2, 0), roots.dtype)
+    sets = shingles(lines)
     size = np.array([len(s) for s in sets], np.int64)
-    i, j = np.triu_indices(len(sets), 1)
-    long, short = np.maximum(size[i], size[j]), np.minimum(size[i], size[j])
-    meet = (roots[i] != roots[j]) & (short >= SIMILAR * long) & (one_block | (sides[i] != sides[j]))
+    meet = np.minimum(size[i], size[j]) >= SIMILAR * np.maximum(size[i], size[j])
     i, j = i[meet], j[meet]
     if len(i) > 2 * len(sets):
         both = _overlaps(sets)[i, j]
     else:
-        both = np.array([len(sets[x] & sets[y]) for x, y in zip(i, j, strict=True)], float)
+        both = np.array([common(sets[x], sets[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], float)
     alike = both >= SIMILAR * (size[i] + size[j] - both)
     a, b = roots[i[alike]], roots[j[alike]]
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -317,7 +342,7 @@ def grouped(lines: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text`` cut to its kept lines, and ``n_lines`` and ``n_kept``."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 10_000)
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null and text <> ''")
     pairs = saved(candidates(given), "candidates")
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()

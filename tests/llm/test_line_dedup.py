@@ -142,3 +142,41 @@ def test_odd_rows(spark, documents, odd_rows):
     assert by[1, "a"].text is None and by[2, "a"].text == "" and by[3, None].text == "  \n\t "
     assert by[7, "c"].n_kept == 2 and by[8, None].text == "" and by[8, None].n_kept == 0
     assert line_dedup.deduplicate(documents([])).count() == 0
+
+
+def test_shingles_are_those_of_the_text():
+    """Numbers of shingles agree with plain sets, for few characters, many, and those beyond 16 bits."""
+    rng = random.Random(4)
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 900)))
+    for letters in ("ab", "abcdeé", "aбвгд", many, many + "".join(chr(0x20000 + i) for i in range(70_000))):
+        for _ in range(30):
+            lines = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 7, 8, 9, 60]))) for _ in range(rng.randint(1, 5))]
+            lines += [x[2:] + x[:30] for x in lines]
+            got, want = line_dedup.shingles(lines), [shingles(x) for x in lines]
+            assert [len(x) for x in got] == [len(x) for x in want]
+            both = line_dedup._overlaps(got)
+            for i, x in enumerate(want):
+                for j, y in enumerate(want[:i]):
+                    assert line_dedup.common(got[i], got[j]) == both[i, j] == len(x & y)
+
+
+def test_lines_of_a_band_meet_without_python(spark):
+    """The rows of all bands, a dozen for each line, do not pass through Python a second time."""
+    docs = spark.createDataFrame(fuzzy_documents(n=5), "doc_id long, text string")
+    assert line_dedup.candidates(docs)._jdf.queryExecution().executedPlan().toString().count("MapInArrow ") == 1
+
+
+def test_many_scripts_match_brute_force(spark):
+    """Lines of more characters than a byte holds, some equal but for a few characters."""
+    rng = random.Random(8)
+    letters = "".join(map(chr, range(0x4E00, 0x4E00 + 500)))
+    base = ["".join(rng.choice(letters) for _ in range(120)) for _ in range(10)]
+    docs = []
+    for i in range(60):
+        line = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 5])):
+            line[rng.randrange(120)] = rng.choice(letters)
+        docs.append((i, "".join(line) + "\nзаголовок " + str(i % 3)))
+    got = line_dedup.deduplicate(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    want = plain(docs)
+    assert sum(r.text != want[r.doc_id] for r in got) <= 1
