@@ -360,6 +360,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.sort_array(F.collect_set("place")).alias("dropped")
     )
     cut = saved(dropped.select(F.col("id").alias("__id"), F.col("hash").alias("__of"), F.col("dropped").alias("__dropped")), "dropped")
+    bounded_batches(docs.sparkSession)  # what follows has no Python step
     text, gone = F.col(text_col), F.col("__dropped")
     lines_of = F.split(text, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), gone)  # by a hash set, so linear

@@ -180,3 +180,9 @@ def test_many_scripts_match_brute_force(spark):
     got = line_dedup.deduplicate(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
     want = plain(docs)
     assert sum(r.text != want[r.doc_id] for r in got) <= 1
+
+
+def test_session_keeps_the_usual_batches(spark):
+    """The larger batches hold for the operator's own steps only."""
+    line_dedup.deduplicate(spark.createDataFrame(fuzzy_documents(n=5), "doc_id long, text string"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "500"
