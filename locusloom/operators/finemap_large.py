@@ -204,10 +204,11 @@ def _fit_wave(tiles, regions, square, grid, coverage, min_abs_corr, key_type, id
         state.take(row.vk, float(top[0] + np.log(sums[0])), sums[1:5] / sums[0], sums[5:] / sums[0])
         return _dump(row.region_id, state, row.lift, 0, 0.0)
 
-    while not state.filter("not done").isEmpty():  # two passes an update; every fit ends by its own stop rule
+    # two passes an update; every fit ends by its own stop rule. Each state is written: a checkpoint keeps what the plan knew, which doubles
+    while not state.filter("not done").isEmpty():
         asked = state.filter("not done").select("region_id", "effects", "phase", "vk", "lift", "asked", "before")
         parts = _answers(mine, asked, hint, answer, key_type)
-        state = cut_lineage(state.groupBy("region_id", "effects").cogroup(parts.groupBy("region_id", "effects")).applyInPandas(move, state_kind))
+        state = saved(state.groupBy("region_id", "effects").cogroup(parts.groupBy("region_id", "effects")).applyInPandas(move, state_kind), "state")
     usable = F.col("converged") & ~F.isnan("elbo") & (F.abs("elbo") < float("inf"))
     order = Window.partitionBy("region_id").orderBy(F.desc(usable), F.desc("elbo"), "effects")  # one row per number of effects
     chosen = cut_lineage(state.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place"))
@@ -324,7 +325,7 @@ def _lifts(tiles: DataFrame, regions: DataFrame, hint, key_type: str, steps: int
         asked = state.filter("not done").select(
             "region_id", "effects", F.lit(0).alias("phase"), none.alias("vk"), none.alias("lift"), newest.alias("asked"), newest.alias("before"))
         parts = _answers(tiles, asked, hint, answer, key_type)
-        state = cut_lineage(state.groupBy("region_id", "effects").cogroup(parts.groupBy("region_id", "effects")).applyInPandas(move, kind))
+        state = saved(state.groupBy("region_id", "effects").cogroup(parts.groupBy("region_id", "effects")).applyInPandas(move, kind), "state")
     lift = F.when(F.col("smallest") < -fm.ROUNDING, 1e-6).otherwise(0.0)
     return regions.join(state.select("region_id", lift.alias("lift")), "region_id")
 
