@@ -96,6 +96,14 @@ def spread(df: DataFrame, *keys: str, times: int = 8) -> DataFrame:
     return df.repartition(times * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def paged(df: DataFrame, keys: Sequence[str], items: Sequence[str], out: str, size: int = 1000) -> DataFrame:
+    """The rows of ``keys`` as arrays ``out`` of some ``size`` structs of ``items``: one row that meets a page stands for
+    ``size`` rows that meet one item each. Which page an item is on follows from its values."""
+    pages = F.ceil(F.count("*").over(Window.partitionBy(*keys)) / size)
+    dealt = df.select(*keys, *items).withColumn("__page", F.pmod(F.xxhash64(*items), pages))
+    return dealt.groupBy(*keys, "__page").agg(F.collect_list(F.struct(*items)).alias(out)).drop("__page")
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salt: int = 8) -> DataFrame:
     """Equi-join whose hot keys are spread over ``salt`` tasks; ``small`` is copied per slot."""
     flat = [c for c, kind in big.dtypes if not kind.startswith(("array", "map", "struct", "binary"))]

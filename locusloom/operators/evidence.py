@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusloom.functions.running import salted_join, shuffled, spread, top_k
+from locusloom.functions.running import paged, salted_join, shuffled, spread, top_k
 from locusloom.operators.intervals import (
     ENHANCER_WINDOW_BP,
     GENE_WINDOW_BP,
+    arrays_within_k_distance,
     contained_in,
     within_k_distance,
 )
@@ -27,6 +28,7 @@ RULE_WEIGHTS = {
 
 
 _TARGETS = 1000  # genes of one factor in one array
+_DOMAIN_SLOTS = 8  # shares of the variants of one domain
 
 
 def near_genes(variants: DataFrame, genes: DataFrame, k: int = GENE_WINDOW_BP) -> DataFrame:
@@ -58,25 +60,69 @@ def regulatory_effect(variants: DataFrame, enhancers: DataFrame, associated_with
     return regulatory_links(variants, enhancers, associated_with).select("snp", "gene_key").distinct()
 
 
+def _ids(genes: DataFrame, column: str) -> DataFrame:
+    return genes.select("gene_key", column).distinct()
+
+
+def _domain_pages(closest: DataFrame, tads: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(snp, __genes): the closest gene and the genes of its domains, by key or by the second column of ``ids``, in pages.
+
+    Equal (snp, domain) rows meet in one slot of the domain, so they become one row without a shuffle of their own.
+    """
+    item = ids.columns[1] if ids else "gene_key"
+    named = (lambda df: df.join(shuffled(ids), "gene_key")) if ids else (lambda df: df)
+    member = tads.select("gene_key", "tad_id").filter(F.col("tad_id").isNotNull()).distinct()
+    homes = closest.select("snp", "gene_key").join(shuffled(member), "gene_key", "left")
+    alone = named(homes.filter(F.col("tad_id").isNull())).select("snp", F.array(F.struct(item)).alias("__genes"))
+    slot = F.pmod(F.xxhash64("snp"), F.lit(_DOMAIN_SLOTS)).cast("int")
+    domains = homes.filter(F.col("tad_id").isNotNull()).select("snp", "tad_id", slot.alias("__slot"))
+    pages = paged(named(member), ["tad_id"], [item], "__genes").withColumn(
+        "__slot", F.explode(F.sequence(F.lit(0), F.lit(_DOMAIN_SLOTS - 1))))
+    shared = domains.repartition("tad_id", "__slot").distinct().join(shuffled(pages), ["tad_id", "__slot"])
+    return alone.unionByName(shared.select("snp", "__genes"))
+
+
+def _near_pages(variants: DataFrame, genes: DataFrame, ids: DataFrame | None = None, k: int = GENE_WINDOW_BP) -> DataFrame:
+    """(snp, __genes): the genes within ``k`` bp of the variant, by key or by the second column of ``ids``, in pages."""
+    item = ids.columns[1] if ids else "gene_key"
+    placed = genes.select("gene_key", "chr", "g_start", "g_end")
+    if ids:
+        placed = placed.join(shuffled(ids), "gene_key")
+    met = arrays_within_k_distance(
+        variants.select("snp", "chr", "bp"), placed.select(item, "chr", "g_start", "g_end"), k, "bp", "g_start", "g_end", [item], "__genes")
+    return met.select("snp", "__genes")
+
+
+def _each_once(pages: DataFrame, item: str = "gene_key") -> DataFrame:
+    """The distinct pairs of pages: these are shuffled once, by variant, as sorted plain values, and laid out after it."""
+    plain = pages.select("snp", F.sort_array(F.col("__genes")[item]).alias("__genes"))
+    return spread(plain, "snp").select("snp", F.explode("__genes").alias(item)).distinct()
+
+
 def in_tad_with(closest: DataFrame, tads: DataFrame) -> DataFrame:
     """The closest gene of a variant and every gene sharing one of its domains."""
-    member = tads.select("gene_key", "tad_id").distinct()
-    domains = closest.join(shuffled(member), "gene_key").select("snp", "tad_id").distinct()
-    shared = salted_join(domains, member, ["tad_id"]).select("snp", "gene_key")
-    return closest.select("snp", "gene_key").union(shared).distinct()
+    return _each_once(_domain_pages(closest, tads))
 
 
-def candidate_genes(variants: DataFrame, genes: DataFrame, closest: DataFrame, tads: DataFrame) -> DataFrame:
-    """Distinct (snp, gene_key) from the domain rule and the 500 kb rule."""
-    return in_tad_with(closest, tads).union(near_genes(variants, genes)).distinct()
+def candidate_genes(variants: DataFrame, genes: DataFrame, closest: DataFrame, tads: DataFrame, column: str = "gene_key") -> DataFrame:
+    """Distinct (snp, gene_key) from the domain rule and the 500 kb rule; for another ``column`` of ``genes``, that of the
+    candidates which ``genes`` holds, written beside the keys of the rules before these meet the variants."""
+    ids = None if column == "gene_key" else _ids(genes, column)
+    return _each_once(_domain_pages(closest, tads, ids).unionByName(_near_pages(variants, genes, ids)), column)
 
 
 def candidate_sets(candidates: DataFrame, genes: DataFrame) -> DataFrame:
-    """One row per variant; the list is bounded by the genes around one position."""
-    named = candidates.join(shuffled(genes.select("gene_key", "gene_id")), "gene_key")
-    return named.groupBy("snp").agg(
-        F.array_join(F.array_sort(F.collect_set(F.upper("gene_id"))), ",").alias("genes"),
-        F.count_distinct("gene_id").alias("n_genes"),
+    """One row per variant; the list is bounded by the genes around one position.
+
+    ``candidates`` has (snp, gene_key), or (snp, gene_id) as ``candidate_genes`` gives it.
+    """
+    named = candidates
+    if "gene_id" not in candidates.columns:
+        named = candidates.join(shuffled(genes.select("gene_key", "gene_id")), "gene_key")
+    ids = F.collect_set("gene_id")
+    return named.groupBy("snp").agg(ids.alias("__ids")).select(
+        "snp", F.array_join(F.array_sort(F.array_distinct(F.transform("__ids", F.upper))), ",").alias("genes"),
+        F.size("__ids").cast("long").alias("n_genes"),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.functions.running import running, shuffled
+from locusloom.functions.running import paged, running, shuffled
 from locusloom.functions.session import saved
 
 _BIN, _SALT = "__bin", "__salt"
@@ -32,21 +32,56 @@ def range_join(
     a bin holding a large share of all points is worked on by several tasks.
     """
     on = list(on)
-    left = points.withColumn(_BIN, F.floor(F.col(pos) / width)).withColumn(
-        _SALT, F.pmod(F.xxhash64(*points.columns), F.lit(salt)).cast("int")
-    )
-    right = (
-        ranges.filter(F.col(lo) <= F.col(hi))
-        .withColumn(_BIN, F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
-        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    )
+    right = _slots(_bins(ranges, lo, hi, width), salt)
     return (
-        left.join(shuffled(right), [*on, _BIN, _SALT])
+        _placed(points, pos, width, salt).join(shuffled(right), [*on, _BIN, _SALT])
         .filter((F.col(pos) >= F.col(lo)) & (F.col(pos) <= F.col(hi)))
         .drop(_BIN, _SALT)
     )
 
 
+def range_arrays(
+    points: DataFrame,
+    ranges: DataFrame,
+    pos: str,
+    lo: str,
+    hi: str,
+    width: int,
+    items: Sequence[str],
+    out: str,
+    on: Sequence[str] = ("chr",),
+    salt: int = 4,
+) -> DataFrame:
+    """The pairs of :func:`range_join` with the ``items`` of a point's ranges in arrays ``out``; points in no range drop out.
+
+    The ranges of a bin meet its points in pages, so the pairs of a point are one row, or one for each page of a crowded bin.
+    """
+    on, items = list(on), list(items)
+    pages = paged(_bins(ranges, lo, hi, width), [*on, _BIN], [lo, hi, *items], out)
+    met = _placed(points, pos, width, salt).join(shuffled(_slots(pages, salt)), [*on, _BIN, _SALT])
+    # positions travel as an argument: a column used inside a function of an array is overlooked when filters move below a join
+    held = F.zip_with(out, F.array_repeat(pos, F.size(out)), lambda r, at: F.when(
+        (r[lo] <= at) & (at <= r[hi]), F.struct(*[r[c].alias(c) for c in items])))
+    return met.withColumn(out, F.filter(held, lambda r: r.isNotNull())).filter(F.size(out) > 0).drop(_BIN, _SALT)
+
+
+def _placed(points: DataFrame, pos: str, width: int, salt: int) -> DataFrame:
+    """Points with their bin and a slot by hash of the row."""
+    slot = F.pmod(F.xxhash64(*points.columns), F.lit(salt)).cast("int")
+    return points.withColumn(_BIN, F.floor(F.col(pos) / width)).withColumn(_SALT, slot)
+
+
+def _bins(ranges: DataFrame, lo: str, hi: str, width: int) -> DataFrame:
+    """A row for each bin that a range touches."""
+    touched = F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))
+    return ranges.filter(F.col(lo) <= F.col(hi)).withColumn(_BIN, F.explode(touched))
+
+
+def _slots(ranges: DataFrame, salt: int) -> DataFrame:
+    """A copy for each slot."""
+    return ranges.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+
+
 def distance_ranges(features: DataFrame, start: str, end: str, k: int, include_spanning: bool = False) -> DataFrame:
     """Disjoint ranges ``lo..hi`` of positions within ``k`` of either end of a feature.
 
@@ -73,6 +108,14 @@ def within_k_distance(
     return range_join(variants, ranges, pos, "__lo", "__hi", max(2 * k, 1)).drop("__lo", "__hi")
 
 
+def arrays_within_k_distance(
+    variants: DataFrame, features: DataFrame, k: int, pos: str, start: str, end: str, items: Sequence[str], out: str,
+) -> DataFrame:
+    """The pairs of :func:`within_k_distance` with a variant's ``items`` in arrays ``out``."""
+    ranges = distance_ranges(features, start, end, k)
+    return range_arrays(variants, ranges, pos, "__lo", "__hi", max(2 * k, 1), items, out)
+
+
 def contained_in(
     inner: DataFrame, outer: DataFrame, inner_start: str, inner_end: str,
     outer_start: str, outer_end: str, width: int = 20_000,

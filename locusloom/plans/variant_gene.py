@@ -37,12 +37,17 @@ def _links_once(fx: Fixtures) -> Fixtures:
     return fx.once("variants", "snp", "chr", "bp", "gene_key", "l_returnflag")
 
 
+def placed_once(fx: Fixtures) -> Fixtures:
+    """The variants that the domain rule and the distance rule read, computed once."""
+    return fx.once("variants", "snp", "chr", "bp", "gene_key")
+
+
 def closest(fx: Fixtures) -> DataFrame:
     return fx.variants.select("snp", "gene_key").join(shuffled(fx.genes.select("gene_key")), "gene_key", "left_semi")
 
 
-def candidates(fx: Fixtures) -> DataFrame:
-    return ev.candidate_genes(fx.variants, fx.genes, closest(fx), fx.tads)
+def candidates(fx: Fixtures, column: str = "gene_key") -> DataFrame:
+    return ev.candidate_genes(fx.variants, fx.genes, closest(fx), fx.tads, column)
 
 
 @query("variant_to_gene", with_views("variants genes enhancers associated_with evidence", f"""
@@ -114,14 +119,15 @@ _CAND = f"""
 
 @query("candidate_genes", with_views("variants genes tads", f"with {_CAND} select snp, gene_key from cand"))
 def _(fx):
-    return candidates(fx)
+    return candidates(placed_once(fx))
 
 
 @query("candidate_sets", with_views("variants genes tads", f"""with {_CAND}
 select snp, array_to_string(list_sort(list(distinct upper(g.gene_id))), ',') as genes, count(distinct g.gene_id) as n_genes
 from cand c join genes g on g.gene_key=c.gene_key group by snp"""))
 def _(fx):
-    return ev.candidate_sets(candidates(fx), fx.genes)
+    fx = placed_once(fx)
+    return ev.candidate_sets(candidates(fx, "gene_id"), fx.genes)
 
 
 @query("relevant_gene_edges", with_views("variants genes enhancers associated_with evidence", f"""with {_REL}
