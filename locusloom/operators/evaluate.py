@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.functions.running import running, unit_bucket
+from locusloom.functions.running import running, shuffled, spread, unit_bucket
 from locusloom.functions.session import cut_lineage
 
 
@@ -78,11 +78,14 @@ def truth_membership(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """
     clean = lambda c: F.lower(F.trim(c))
     want = gold.select(clean("snp").alias("snp"), clean("gene").alias("gene"))
-    have = predicted.select(clean("snp").alias("snp"), clean("gene").alias("gene")).distinct()
-    sizes = have.groupBy("snp").agg(F.count("*").alias("num_pred"))
-    hit = have.withColumn("pred", F.lit(1))
-    joined = want.join(hit, ["snp", "gene"], "left").join(sizes, "snp", "left")
-    return joined.select("snp", "gene", F.coalesce("pred", F.lit(0)).alias("pred"), F.coalesce("num_pred", F.lit(0)).cast("long").alias("num_pred"))
+    # one set for each spelling of a variant, where predictions dealt by variant already lie; only the sets are shuffled
+    spelt = predicted.groupBy("snp").agg(F.collect_set(F.struct(clean("gene").alias("gene"))).alias("__genes"))
+    plain = spread(spelt.select(clean("snp").alias("snp"), F.sort_array(F.col("__genes")["gene"]).alias("__genes")), "snp")
+    have = plain.groupBy("snp").agg(F.array_distinct(F.flatten(F.collect_list("__genes"))).alias("__genes"))
+    joined = want.join(shuffled(have), "snp", "left")
+    return joined.select(
+        "snp", "gene", F.coalesce(F.array_contains("__genes", F.col("gene")).cast("int"), F.lit(0)).alias("pred"),
+        F.coalesce(F.array_size("__genes"), F.lit(0)).cast("long").alias("num_pred"))
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -12,7 +12,7 @@ from locusloom.operators import learning as le
 from locusloom.operators import ontology as on
 from locusloom.plans.fixtures import with_views
 from locusloom.plans.registry import query
-from locusloom.plans.variant_gene import candidates, relevant
+from locusloom.plans.variant_gene import candidates, placed_once, relevant
 from locusloom.operators.evidence import RULE_WEIGHTS, rule_flags
 
 RULES = list(RULE_WEIGHTS)
@@ -123,6 +123,7 @@ with near as (select v.snp, g.gene_key from variants v join genes g on g.chr=v.c
 select v.snp, cast(v.gene_key+44*(v.bp%6) as varchar) as gene, case when x.snp is null then 0 else 1 end as pred, coalesce(n.c,0) as num_pred
 from variants v left join near x on x.snp=v.snp and x.gene_key=v.gene_key+44*(v.bp%6) left join n on n.snp=v.snp"""))
 def _(fx):
+    fx = placed_once(fx)
     gold = fx.variants.select(
         F.concat(F.lit(" "), F.upper("snp")).alias("snp"), (F.col("gene_key") + 44 * (F.col("bp") % 6)).cast("string").alias("gene"))
     return ev.truth_membership(gold, candidates(fx).select("snp", F.col("gene_key").cast("string").alias("gene")))

@@ -1,10 +1,15 @@
 """Candidate genes: pages of genes meet the variants, pairs are laid out after the one shuffle by variant."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from locusloom.functions.running import paged
 from locusloom.operators import evaluate as el
 from locusloom.operators import evidence as ev
+from locusloom.plans import catalog  # noqa: F401
+from locusloom.plans.fixtures import Fixtures
+from locusloom.plans.registry import JOBS
 
 VARIANTS = [("rs1", 1, 600_000, 1), ("rs1", 1, 9_000_000, 3), ("RS1", 1, 600_000, 1), ("rs2", 2, 100, 7), ("rs3", 3, 5, 2), (None, 1, 1_000_000, 2)]
 GENES = [
@@ -72,3 +77,24 @@ def test_pairs_are_laid_out_after_the_last_shuffle(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         above, laid_out, _ = plan.partition("Generate explode(__genes")
         assert laid_out and "Exchange" not in above.split("Initial Plan")[-1], plan
+
+
+def test_truth_counts_equal_names_once_and_does_not_shuffle_pairs(spark):
+    predicted = [("rs1", "G1"), (" RS1", "g1 "), ("RS1", "g2"), ("rs1", None), ("rs1 ", None), ("rs2", "g1"), (None, "g1")]
+    gold = [(" RS1", "g1"), (" RS1", "g1"), ("rs1", "G2"), ("rs2", "g2"), ("rs3", "g1"), ("rs1", None), (None, "g1")]
+    clean = lambda x: x and x.strip(" ").lower()
+    have = {(clean(s), clean(g)) for s, g in predicted}
+    want = [
+        (clean(s), clean(g), int(None not in (s, g) and (clean(s), clean(g)) in have), sum(s is not None and x == clean(s) for x, _ in have)) for s, g in gold]
+    pairs = spark.createDataFrame(predicted, "snp string, gene string")
+    assert _rows(el.truth_membership(spark.createDataFrame(gold, "snp string, gene string"), pairs)) == sorted(want, key=repr)
+    found = ev.candidate_genes(*_tables(spark)).select("snp", F.col("gene_key").cast("string").alias("gene"))
+    plan = el.truth_membership(pairs, found)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(snp#\d+, gene#", plan), plan
+    assert el.truth_membership(pairs, found).count() == len(predicted)
+
+
+def test_variants_of_both_rules_are_computed_once(spark, sf_dir):
+    for name in ("candidate_genes", "candidate_sets", "truth_membership"):
+        plan = JOBS[name](Fixtures(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+        assert "l_orderkey" not in plan, name
