@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.functions.running import salted_join, shuffled
+from locusloom.functions.running import paged, salted_join, shuffled
 from locusloom.functions.session import cut_lineage
 
+_SLOTS = 8  # shares of the genes of one term
+
 
 def ancestors(edges: DataFrame) -> DataFrame:
     """(node, ancestor, depth) incl. the node itself at depth 0; depth is the shortest path.
 
     Semi-naive: only pairs new in the last step are extended, and pairs already known are
     anti-joined away, so cycles end. Steps are cut by reliable checkpoints. The step join is
-    salted because a root is the ancestor of nearly every node.
+    salted because a root is the ancestor of nearly every node; only links that the step
+    climbs are copied to the slots, and these get fewer with every step up.
     """
     links = edges.select("child", "parent").distinct()
     nodes = links.select(F.col("child").alias("node")).union(links.select("parent")).distinct()
@@ -24,7 +27,8 @@ def ancestors(edges: DataFrame) -> DataFrame:
     depth = 0
     while True:  # a pair is new once, so it ends
         depth += 1
-        step = salted_join(frontier, up, ["ancestor"]).select("node", F.col("parent").alias("ancestor")).distinct()
+        climbed = up.join(shuffled(frontier.select("ancestor").distinct()), "ancestor", "left_semi")
+        step = salted_join(frontier, climbed, ["ancestor"]).select("node", F.col("parent").alias("ancestor")).distinct()
         new = step.join(shuffled(known.select("node", "ancestor")), ["node", "ancestor"], "left_anti")
         frontier = cut_lineage(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -33,9 +37,16 @@ def ancestors(edges: DataFrame) -> DataFrame:
 
 
 def term_members(base: DataFrame, closure: DataFrame) -> DataFrame:
-    """(gene, term, depth): genes of a term and of the terms below it, smallest depth."""
-    climbed = salted_join(base.select("gene", F.col("term").alias("node")), closure, ["node"])
-    return climbed.groupBy("gene", F.col("ancestor").alias("term")).agg(F.min("depth").alias("depth"))
+    """(gene, term, depth): genes of a term and of the terms below it, smallest depth.
+
+    A term's ancestors meet its genes in pages. Equal rows of ``base`` meet in one slot of the term and become one there.
+    """
+    slot = F.pmod(F.xxhash64("gene"), F.lit(_SLOTS)).cast("int")
+    given = base.select("gene", F.col("term").alias("node"), slot.alias("__slot"))
+    ways = paged(closure, ["node"], ["ancestor", "depth"], "__ways").withColumn(
+        "__slot", F.explode(F.sequence(F.lit(0), F.lit(_SLOTS - 1))))
+    climbed = given.repartition("node", "__slot").distinct().join(shuffled(ways), ["node", "__slot"])
+    return climbed.select("gene", F.inline("__ways")).groupBy("gene", F.col("ancestor").alias("term")).agg(F.min("depth").alias("depth"))
 
 
 def descendant_map(descendants: DataFrame) -> DataFrame:

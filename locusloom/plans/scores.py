@@ -37,7 +37,7 @@ def _(fx):
 @query("ontology_members", f"""with recursive {_TREE}
 select l_suppkey as gene, ancestor as term, min(depth) as depth from (select distinct l_suppkey, l_partkey from lineitem) b join up on up.node=b.l_partkey group by 1,2""")
 def _(fx):
-    base = fx.lineitem.select(F.col("l_suppkey").alias("gene"), F.col("l_partkey").alias("term")).distinct()
+    base = fx.lineitem.select(F.col("l_suppkey").alias("gene"), F.col("l_partkey").alias("term"))
     return on.term_members(base, on.ancestors(_tree(fx)))
 
 
